@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher exact p of the tables [[a, b], [c, d]].
 
@@ -60,7 +61,7 @@ def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Serie
     return pd.Series(np.minimum(tail_w / total_w, 1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi_square_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution by its finite series in erfc and exp."""
     import math

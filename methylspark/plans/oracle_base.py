@@ -5,6 +5,8 @@ Used only to check results: each entry is ``name -> (names it reads, SQL)``.
 
 from __future__ import annotations
 
+import re
+
 from methylspark.plans import star
 
 WINDOW = 200
@@ -12,6 +14,18 @@ MIN_LENGTH = 100
 MIN_MAPQ = 20
 MIN_BASEQ = 20
 
+#: ``lf(a, b, c, d, x)``: log probability of x in the first cell, margins as given.
+_LF = re.compile(r"\blf\(a, b, c, d, (\w)\)")
+
+
+def _log_point(match: re.Match) -> str:
+    x = match.group(1)
+    up = ("a + b", "c + d", "a + c", "b + d")
+    down = ("a + b + c + d", x, f"a + b - {x}", f"a + c - {x}", f"d - a + {x}")
+    return "(" + " + ".join(f"lgamma({v} + 1)" for v in up) + " - " + " - ".join(
+        f"lgamma({v} + 1)" for v in down) + ")"
+
+
 _SECTION = ("'{code}' || CASE WHEN {n} > 0 THEN ',' ELSE '' END || "
             "coalesce(array_to_string(list_transform(range(0, {n}), "
             "lambda i: CAST((i * {step} + z) % 3 AS VARCHAR)), ','), '') || ';'")
@@ -238,6 +252,75 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT DISTINCT chrom, pos FROM cells) s
         LEFT JOIN annotation a ON a.chrom = s.chrom AND a."start" < s.pos AND s.pos <= a."end"
         GROUP BY s.chrom, s.pos"""),
+    "gated": (("matrix", "flags"), """
+        SELECT * EXCLUDE (n) FROM (
+            SELECT m.*, count(*) OVER (PARTITION BY region_id, pos) AS n
+            FROM matrix m JOIN flags f USING (chrom, pos) WHERE NOT f.in_pmd)
+        WHERE n >= 5"""),
+    "all_pairs": (("pairs",), """
+        SELECT a.region_id, a.read_id AS read_i, b.read_id AS read_j
+        FROM pairs a JOIN pairs b ON a.region_id = b.region_id AND a.read_id < b.read_id"""),
+    "common": (("gated",), """
+        SELECT a.region_id, a.read_id AS read_i, b.read_id AS read_j,
+               CAST(a.ml AS BIGINT) AS x, CAST(b.ml AS BIGINT) AS y, a.bin AS p, b.bin AS q
+        FROM gated a JOIN gated b ON a.region_id = b.region_id AND a.pos = b.pos
+         AND a.read_id < b.read_id"""),
+    "nhd": (("all_pairs", "common"), """
+        SELECT region_id, read_i, read_j, coalesce(n, 0) AS n_common,
+               CASE WHEN n > 0 THEN s::DOUBLE / n END AS dist
+        FROM all_pairs LEFT JOIN (
+            SELECT region_id, read_i, read_j, count(*) AS n, sum(abs(p - q)) AS s FROM common
+            WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY ALL)
+        USING (region_id, read_i, read_j)"""),
+    "filled": (("nhd",), """
+        SELECT region_id, read_i, read_j, n_common,
+               CASE WHEN n_common >= 3 AND dist IS NOT NULL THEN dist ELSE 1.0 END AS dist
+        FROM nhd"""),
+    "both_ways": (("filled",), """
+        SELECT region_id, read_i, read_j, dist FROM filled
+        UNION ALL SELECT region_id, read_j, read_i, dist FROM filled"""),
+    "labels": (("pairs",), """
+        SELECT region_id, read_id, hp + 1 AS cluster_id FROM pairs"""),
+    "labelled": (("labels", "rr"), """
+        SELECT l.region_id, l.read_id, l.cluster_id, r.hp, r.alt_support, r.is_tumor
+        FROM labels l JOIN rr r ON l.region_id = r.region_id AND l.read_id = r.read_id"""),
+    "stats": (("labelled",), """
+        SELECT region_id, cluster_id, count(*) AS size,
+               count(*) FILTER (hp = 1) AS count_hp1, count(*) FILTER (hp = 2) AS count_hp2,
+               count(*) FILTER (hp NOT IN (1, 2)) AS count_hp_unknown,
+               count(*) FILTER (is_tumor) AS count_tumor,
+               count(*) FILTER (NOT is_tumor) AS count_normal,
+               count(*) FILTER (alt_support = 'ALT') AS count_alt,
+               count(*) FILTER (alt_support = 'REF') AS count_ref
+        FROM labelled GROUP BY ALL"""),
+    "tables": (("stats",), """
+        SELECT region_id, cluster_id, factor, a, b,
+               CAST(sum(a) OVER w - a AS BIGINT) AS c, CAST(sum(b) OVER w - b AS BIGINT) AS d
+        FROM (SELECT region_id, cluster_id, 'hp' AS factor, count_hp1 AS a, count_hp2 AS b
+              FROM stats
+              UNION ALL SELECT region_id, cluster_id, 'allele', count_alt, count_ref FROM stats
+              UNION ALL SELECT region_id, cluster_id, 'sample', count_tumor, count_normal
+              FROM stats)
+        WINDOW w AS (PARTITION BY region_id, factor)"""),
+    "tests": (("tables",), """
+        SELECT t.*, p.p_value FROM tables t JOIN (
+            SELECT a, b, c, d, floor(least(1.0, sum(exp(lp)) FILTER (lp <= lobs + 1e-7))
+                                     * 1e6 + 0.5) / 1e6 AS p_value
+            FROM (SELECT a, b, c, d, x, lf(a, b, c, d, a) AS lobs, lf(a, b, c, d, x) AS lp
+                  FROM (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)),
+                                               least(a + b, a + c) + 1)) AS x
+                        FROM (SELECT DISTINCT a, b, c, d FROM tables)))
+            GROUP BY a, b, c, d) p USING (a, b, c, d)"""),
+    "bh": (("tests",), """
+        SELECT *, least(1.0, min(raw) OVER (PARTITION BY region_id, factor
+                        ORDER BY p_value DESC, cluster_id DESC
+                        ROWS UNBOUNDED PRECEDING)) AS q_value
+        FROM (SELECT *, p_value * count(*) OVER (PARTITION BY region_id, factor)
+                     / row_number() OVER (PARTITION BY region_id, factor
+                                          ORDER BY p_value, cluster_id) AS raw FROM tests)"""),
+    "crossed": (("labelled",), """
+        SELECT region_id, cluster_id, alt_support AS level, count(*) AS n
+        FROM labelled WHERE alt_support <> 'UNKNOWN' GROUP BY ALL"""),
     "result": (("status", "pairs", "cells"), """
         SELECT s.region_id, s.snv_id, coalesce(n_reads, 0) AS num_reads,
                coalesce(n_cpgs, 0) AS num_cpgs, success, error_message
@@ -261,4 +344,5 @@ def sql(body: str, *names: str) -> str:
     for name in names:
         visit(name)
     ctes = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
+    ctes = _LF.sub(_log_point, ctes)
     return f"WITH {ctes}\n{body.strip()}" if ctes else body.strip()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -11,10 +12,12 @@ from methylspark.operators import calls as calls_ops
 from methylspark.operators import matrix as matrix_ops
 from methylspark.operators import reads as reads_ops
 from methylspark.operators import report
+from methylspark.operators.cluster import cluster_reads
 from methylspark.operators.distance import fill_missing_pairs, pair_distances
 from methylspark.operators.intervals import classes_at
 from methylspark.operators.regions import make_regions, region_status
 from methylspark.params import Params
+from methylspark.plans.staging import keep_lazy
 from methylspark.sources import reference
 
 
@@ -22,9 +25,11 @@ from methylspark.sources import reference
 class RegionRun:
     """Tables of a run over ``snvs``, ``alignments`` and ``contigs``.
 
-    Each property is a DataFrame; nothing runs before an action. Only reads that
-    overlap a window are decoded, each of them once, and only reference tiles
-    under a window are searched for CpG sites.
+    Each property is a DataFrame. With the default ``store`` nothing runs before
+    an action; a ``Store`` writes the numbered reads, the cells and the gated
+    matrix when they are first asked for. Only reads that overlap a window are
+    decoded, each of them once, and only reference tiles under a window are
+    searched for CpG sites.
     """
 
     snvs: DataFrame
@@ -32,6 +37,8 @@ class RegionRun:
     contigs: DataFrame
     params: Params = Params()
     annotation: DataFrame | None = None
+    #: Where to cut the plan: called with a name and a table that later steps share.
+    store: Callable[[str, DataFrame], DataFrame] = keep_lazy
 
     @cached_property
     def regions(self) -> DataFrame:
@@ -52,12 +59,13 @@ class RegionRun:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        return reads_ops.read_ids(self.overlaps)
+        return self.store("numbered", reads_ops.read_ids(self.overlaps))
 
     @cached_property
     def reads(self) -> DataFrame:
         """Kept reads per region with ``read_id`` and ``alt_support``."""
-        return reads_ops.with_alt_support(self.numbered, self.alignments, self.params)
+        return self.store("reads", reads_ops.with_alt_support(
+            self.numbered, self.alignments, self.params))
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -67,13 +75,13 @@ class RegionRun:
 
     @cached_property
     def calls(self) -> DataFrame:
-        wanted = self.alignments.join(self.overlaps.select("read_key").distinct(), "read_key",
+        wanted = self.alignments.join(self.numbered.select("read_key").distinct(), "read_key",
                                       "left_semi")
         return calls_ops.methylation_calls(wanted, self.sites, self.params)
 
     @cached_property
     def cells(self) -> DataFrame:
-        return matrix_ops.region_calls(self.numbered, self.calls)
+        return self.store("cells", matrix_ops.region_calls(self.numbered, self.calls))
 
     @cached_property
     def matrix(self) -> DataFrame:
@@ -92,11 +100,11 @@ class RegionRun:
         kept = self.matrix
         if self.annotation is not None and self.params.pmd_gating:
             kept = matrix_ops.gate_pmd(kept, self.flags)
-        return matrix_ops.gate_coverage(kept, self.params)
+        return self.store("gated", matrix_ops.gate_coverage(kept, self.params))
 
     @cached_property
     def result(self) -> DataFrame:
-        return matrix_ops.region_result(self.status, self.overlaps, self.cells)
+        return matrix_ops.region_result(self.status, self.numbered, self.cells)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -105,4 +113,9 @@ class RegionRun:
     @cached_property
     def distances(self) -> DataFrame:
         raw = pair_distances(self.numbered, self.gated, self.params.metric)
-        return fill_missing_pairs(raw, self.params)
+        return self.store("distances", fill_missing_pairs(raw, self.params))
+
+    @cached_property
+    def leaves(self) -> DataFrame:
+        """Dendrogram of each region under average linkage."""
+        return self.store("leaves", cluster_reads(self.numbered, self.distances))

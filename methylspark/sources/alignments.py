@@ -10,17 +10,18 @@ from methylspark.sources.variants import read_lines
 MANDATORY = 11
 
 
-def _tag(name: str, kind: str) -> Column:
-    """Value of an optional SAM field, null when absent."""
-    prefix = f"{name}:{kind}:"
+def _tag(prefix: str) -> Column:
+    """Rest of the optional SAM field that starts with ``prefix``, null when absent."""
     hit = F.get(F.filter("tags", lambda t: t.startswith(prefix)), F.lit(0))
     return F.substring(hit, F.lit(len(prefix) + 1), F.length(hit))
 
 
 def _byte_array(name: str) -> Column:
-    """Array field of unsigned bytes; other subtypes count as absent."""
-    numbers = F.filter(F.split(_tag(name, "B:C"), ","), lambda v: v != "")
-    return F.transform(numbers, lambda v: v.cast("smallint"))
+    """Array field of unsigned bytes; one of another subtype is present but empty."""
+    numbers = F.filter(F.split(_tag(f"{name}:B:C"), ","), lambda v: v != "")
+    values = F.transform(numbers, lambda v: v.cast("smallint"))
+    other = F.when(_tag(f"{name}:").isNotNull(), F.array().cast("array<smallint>"))
+    return F.coalesce(values, other)
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def parse_sam(lines: DataFrame) -> DataFrame:
         F.col("c")[2].alias("chrom"), (F.col("c")[3].cast("int") - 1).alias("align_start"),
         F.col("c")[4].cast("int").alias("mapq"), F.col("c")[5].alias("cigar"),
         F.col("c")[9].alias("seq"), F.col("c")[10].alias("qual"),
-        _tag("HP", "i").cast("int").alias("hp"), _tag("PS", "i").cast("int").alias("ps"),
-        _tag("MM", "Z").alias("mm"), _byte_array("ML").alias("ml"))
+        _tag("HP:i:").cast("int").alias("hp"), _tag("PS:i:").cast("int").alias("ps"),
+        _tag("MM:Z:").alias("mm"), _byte_array("ML").alias("ml"))
 
 
 def load_alignments(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -27,18 +27,18 @@ def write_jsonl(lines: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 
 def write_region_tables(tables: dict[str, DataFrame], path: str, fmt: str = "parquet",
-                        mode: str = "errorifexists") -> None:
+                        mode: str = "errorifexists", by_chrom: bool = True) -> None:
     """Write each table to ``path/name``, sorted by region inside its files.
 
-    Tables with a ``chrom`` column are partitioned by it. Rows are spread over
-    regions as well, so a large chromosome does not end up in one task.
+    Tables with a ``chrom`` column get one directory per chromosome; switch that
+    off for references of very many contigs, where the sort order alone lets
+    readers skip files. Rows are cut by range over chromosome and region, so a
+    large chromosome does not end up in one task.
     """
     for name, df in tables.items():
-        if "chrom" in df.columns:
-            order = [c for c in ("region_id", "read_id", "cpg_id") if c in df.columns]
-            spread = df.repartitionByRange("chrom", *order).sortWithinPartitions("chrom", *order)
-            writer = spread.write.partitionBy("chrom")
-        else:
-            writer = df.sortWithinPartitions("region_id").write
+        order = [c for c in ("chrom", "region_id", "read_id", "cpg_id") if c in df.columns]
+        writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write
+        if by_chrom and "chrom" in df.columns:
+            writer = writer.partitionBy("chrom")
         writer.mode(mode).format(fmt).options(**({"header": True} if fmt == "csv" else {})) \
             .save(f"{path}/{name}")
