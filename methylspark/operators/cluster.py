@@ -10,7 +10,7 @@ Both linkages follow from exact integer sums over pairs of reads. Distances are
 taken at a resolution of 1e-9, ties go to the smaller read, and all mutually
 nearest clusters merge per round; this yields the tree of one-by-one merging
 since both linkages are reducible. Regions up to ``max_local_reads`` are handled
-in one Arrow call each; larger ones run as joins and aggregations per round, with
+in an Arrow kernel; larger ones run as joins and aggregations per round, with
 the same sums and hence the same tree.
 """
 
@@ -21,6 +21,7 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from methylspark.functions.grouping import apply_to_runs
 from methylspark.operators.distance import both_directions
 from methylspark.operators.ranking import dense_row_number, running_sum
 
@@ -35,12 +36,12 @@ TREES = "region_id INT, newick STRING"
 def _cluster_kernel(method: str, want_tree: bool):
     """All merges of one region from its integer pair sums."""
 
-    def kernel(table):
+    def kernel(group):
         import numpy as np
         import pyarrow as pa
 
-        region = table.column("region_id")[0].as_py()
-        i, j, unit = (table.column(c).to_numpy() for c in ("read_i", "read_j", "unit"))
+        region = group["region_id"][0]
+        i, j, unit = group["read_i"], group["read_j"], group["unit"]
         names = np.unique(np.concatenate([i, j]))
         n = len(names)
         i, j = np.searchsorted(names, i), np.searchsorted(names, j)
@@ -88,15 +89,15 @@ def _cluster_kernel(method: str, want_tree: bool):
                 sums[:, a] += sums[:, b]
             live = np.delete(live, near[mutual])
         if want_tree:
-            return pa.table({"region_id": pa.array([region], pa.int32()),
-                             "newick": [f"{tree[0]};"]})
-        return pa.table({
-            "region_id": pa.array(np.full(n, region, np.int32)),
-            "read_id": pa.array(names.astype(np.int32)),
-            "leaf_pos": pa.array(place.astype(np.int32)),
+            return {"region_id": np.full(1, region, np.int32),
+                    "newick": pa.array([f"{tree[0]};"])}
+        return {
+            "region_id": np.full(n, region, np.int32),
+            "read_id": names.astype(np.int32),
+            "leaf_pos": place.astype(np.int32),
             "join_read": pa.array(names[join].astype(np.int32), mask=join < 0),
             "height": pa.array(height, mask=join < 0),
-        })
+        }
 
     return kernel
 
@@ -224,8 +225,8 @@ def _build(reads: DataFrame, distances: DataFrame, method: str, max_local_reads:
     alone = small_members.select("region_id", F.col("read_id").alias("read_i"),
                                  F.col("read_id").alias("read_j"),
                                  F.lit(0).cast("bigint").alias("unit"))
-    out = small_pairs.unionByName(alone).groupBy("region_id").applyInArrow(
-        _cluster_kernel(method, want_tree), TREES if want_tree else LEAVES)
+    out = apply_to_runs(small_pairs.unionByName(alone), ["region_id"],
+                        _cluster_kernel(method, want_tree), TREES if want_tree else LEAVES)
     if some_large:
         rounds = _merge_rounds(pairs.join(large, "region_id", "left_semi"),
                                members.join(large, "region_id", "left_semi"), method, want_tree)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from methylspark.functions.grouping import apply_to_runs
 from methylspark.params import METRICS, Params
 from methylspark.schemas import DISTANCES
 
@@ -18,25 +19,17 @@ BLOCK_READS = 256
 
 
 def _block_kernel(metric: str):
-    """Distances between the two read blocks of one group, as an Arrow table."""
+    """Distances between the two read blocks of one group."""
 
-    def kernel(table):
+    def kernel(group):
         import numpy as np
         import pyarrow as pa
 
-        table = table.combine_chunks()
-        region = table.column("region_id")[0].as_py()
-        block_i, block_j = (table.column(c)[0].as_py() for c in ("block_i", "block_j"))
-        ids = table.column("read_id").to_numpy()
-        blocks = table.column("block").to_numpy()
-
-        def flat(name):
-            column = table.column(name).chunk(0)
-            bounds = column.offsets.to_numpy()
-            return column.values.to_numpy()[bounds[0]:bounds[-1]], np.diff(bounds)
-
-        sites, counts = flat("sites")
-        levels, _ = flat("levels")
+        region = group["region_id"][0]
+        block_i, block_j = group["block_i"][0], group["block_j"][0]
+        ids, blocks = group["read_id"], group["block"]
+        sites, counts = group["sites"]
+        levels = group["levels"][0]
         row = np.repeat(np.arange(len(ids)), counts)
         names, col = np.unique(sites, return_inverse=True)
         seen = np.zeros((len(ids), max(len(names), 1)))
@@ -45,7 +38,7 @@ def _block_kernel(metric: str):
         seen[row, col] = 1.0
         value[row, col] = levels
         if metric == "nhd_weighted" and len(sites):
-            weight[col] = flat("weights")[0]
+            weight[col] = group["weights"][0]
 
         order = np.argsort(ids, kind="stable")
         left, right = order[blocks[order] == block_i], order[blocks[order] == block_j]
@@ -78,13 +71,13 @@ def _block_kernel(metric: str):
         i, j = (np.triu_indices(len(left), 1) if block_i == block_j
                 else tuple(a.ravel() for a in np.indices(n.shape)))
         d = dist[i, j]
-        return pa.table({
-            "region_id": pa.array(np.full(len(i), region, np.int32)),
-            "read_i": pa.array(ids[left][i].astype(np.int32)),
-            "read_j": pa.array(ids[right][j].astype(np.int32)),
-            "n_common": pa.array(n[i, j].astype(np.int32)),
+        return {
+            "region_id": np.full(len(i), region, np.int32),
+            "read_i": ids[left][i].astype(np.int32),
+            "read_j": ids[right][j].astype(np.int32),
+            "n_common": n[i, j].astype(np.int32),
             "dist": pa.array(d, mask=~np.isfinite(d)),
-        })
+        }
 
     return kernel
 
@@ -123,8 +116,8 @@ def pair_distances(reads: DataFrame, matrix: DataFrame, metric: str = "nhd",
         "other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
     grouped = spread.withColumn("block_i", F.least("block", "other")).withColumn(
         "block_j", F.greatest("block", "other")).drop("other")
-    return grouped.groupBy("region_id", "block_i", "block_j").applyInArrow(
-        _block_kernel(metric), DISTANCES)
+    return apply_to_runs(grouped, ["region_id", "block_i", "block_j"],
+                         _block_kernel(metric), DISTANCES)
 
 
 def read_pairs(reads: DataFrame, matrix: DataFrame) -> DataFrame:

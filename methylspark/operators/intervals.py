@@ -9,6 +9,13 @@ from methylspark.schemas import CLASSES
 
 BIN_BP = 16384
 SALTS = 8
+#: Largest row count of a narrow table that is copied to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a narrow table is small enough to broadcast; reads at most one row more."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def _bins(lo: str, hi: str, width: int):
@@ -17,14 +24,18 @@ def _bins(lo: str, hi: str, width: int):
 
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
                  right_span: tuple[str, str], left_key: str, width: int = BIN_BP,
-                 salts: int = SALTS) -> DataFrame:
+                 salts: int = SALTS, copy_right: bool = False) -> DataFrame:
     """Pairs of rows on one ``chrom`` whose inclusive spans intersect.
 
     Both sides go to every bin they touch; a pair is kept only in the first bin
-    they share, so no ``distinct`` follows. ``left`` is the large side: its rows
-    are spread over ``salts`` sub-keys, so that a bin with a large share of all
-    rows is worked on by several tasks. ``right`` (narrow rows) is repeated per salt.
+    they share, so no ``distinct`` follows. ``left`` is the large side. With
+    ``copy_right`` (checked by ``fits_broadcast``) it is not shuffled at all.
+    Otherwise its rows are spread over ``salts`` sub-keys, so that a bin with a
+    large share of all rows is worked on by several tasks, and ``right`` (narrow
+    rows) is repeated per salt.
     """
+    if copy_right:
+        salts = 1
     l_lo, l_hi = left_span
     r_lo, r_hi = right_span
     lhs = (left.withColumn("_lb", F.expr(f"{l_lo} div {width}"))
@@ -38,7 +49,26 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
            & (F.col("_salt") == F.col("_rsalt"))
            & (F.col("_bin") == F.greatest("_lb", "_rb"))
            & (F.col(l_lo) <= F.col(r_hi)) & (F.col(l_hi) >= F.col(r_lo)))
-    return lhs.join(rhs, hit).drop("_lb", "_rb", "_bin", "_rbin", "_salt", "_rsalt", "_chrom")
+    return lhs.join(F.broadcast(rhs) if copy_right else rhs, hit).drop("_lb", "_rb", "_bin", "_rbin", "_salt", "_rsalt", "_chrom")
+
+
+def in_touched_bins(rows: DataFrame, spans: DataFrame, row_span: tuple[str, str],
+                    span: tuple[str, str], width: int = BIN_BP) -> DataFrame:
+    """Rows that share a bin with some span: a cheap superset of those that overlap one.
+
+    A row goes to each of its bins and stays at the first touched one. Touched
+    bins know the touched bin before them, so this needs no ``distinct`` and,
+    while the bins fit a broadcast, no shuffle of ``rows``.
+    """
+    bins = spans.select(F.col("chrom").alias("_chrom"), _bins(*span, width).alias("_at")).distinct()
+    before = F.lag("_at", 1, -1).over(Window.partitionBy("_chrom").orderBy("_at"))
+    touched = bins.withColumn("_before", before)
+    if fits_broadcast(bins):
+        touched = F.broadcast(touched)
+    spread = rows.withColumn("_first", F.expr(f"{row_span[0]} div {width}")).withColumn(
+        "_bin", _bins(*row_span, width))
+    here = (F.col("chrom") == F.col("_chrom")) & (F.col("_bin") == F.col("_at"))
+    return spread.join(touched, here).filter("_before < _first").select(*rows.columns)
 
 
 def classes_at(sites: DataFrame, intervals: DataFrame, width: int = BIN_BP) -> DataFrame:

@@ -9,16 +9,23 @@ from methylspark.operators.intervals import overlap_join
 from methylspark.params import Params
 
 
-def region_calls(reads: DataFrame, calls: DataFrame) -> DataFrame:
+def region_calls(reads: DataFrame, calls: DataFrame,
+                 sites: DataFrame | None = None) -> DataFrame:
     """Calls inside the window of each region their read belongs to.
 
     The outermost bases of a window carry no call, since the base after a site
     must lie in the window too and fetched bases start one past ``win_start``.
+    Calls not yet validated are checked against ``sites`` here, after most of
+    them have dropped out by position.
     """
     keys = reads.select("region_id", "read_id", "read_key", "win_start", "win_end")
-    return keys.join(calls.drop("prob"), "read_key").filter(
+    cells = keys.join(calls.drop("prob"), "read_key").filter(
         (F.col("pos") > F.col("win_start")) & (F.col("pos") < F.col("win_end"))
     ).select("region_id", "read_id", "read_key", "chrom", "pos", "ml")
+    if sites is None:
+        return cells
+    return cells.join(sites.select("chrom", "pos").distinct(), ["chrom", "pos"],
+                      "left_semi").select(*cells.columns)
 
 
 def cpg_index(cells: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methylspark.functions import cigar as cg
-from methylspark.operators.intervals import overlap_join
+from methylspark.operators.intervals import fits_broadcast, overlap_join
 from methylspark.operators.ranking import dense_row_number
 from methylspark.params import Params
 
@@ -101,13 +101,27 @@ def read_state(reads: DataFrame) -> DataFrame:
 
 def overlapping_reads(alignments: DataFrame, regions: DataFrame,
                       params: Params = Params()) -> DataFrame:
-    """Kept reads per region window, without numbering and allele support."""
-    spans = read_info(filter_reads(alignments, params)).withColumn(
-        "_lo", F.col("align_start") + 1)
-    windows = regions.select("region_id", "chrom", "win_start", "win_end",
-                             "pos", "ref", "alt")
-    return overlap_join(spans, windows, ("_lo", "align_end"), ("win_start", "win_end"),
-                        "read_key").drop("_lo")
+    """Kept reads per region window, with allele support but without ``read_id``.
+
+    A window table of checked size is copied to the executors, and bases are looked
+    at in the same pass over the alignments, which are then never shuffled. Beyond
+    that size only narrow columns enter the (salted) interval join, and bases and
+    qualities come back by ``read_key``.
+    """
+    windows = regions.select("region_id", "chrom", "win_start", "win_end", "pos", "ref", "alt")
+    kept = filter_reads(alignments, params)
+    copied = fits_broadcast(windows)
+    payload = ["cigar", "seq", "qual"]
+    spans = kept.select(
+        "read_key", "qname", "chrom", "align_start",
+        cg.reference_end(F.col("cigar"), F.col("align_start")).alias("align_end"), "mapq",
+        F.coalesce("hp", F.lit(0)).alias("hp"), "ps", "is_tumor",
+        (F.col("align_start") + 1).alias("_lo"), *(payload if copied else []))
+    pairs = overlap_join(spans, windows, ("_lo", "align_end"), ("win_start", "win_end"),
+                         "read_key", copy_right=copied).drop("_lo")
+    if not copied:
+        pairs = pairs.join(kept.select("read_key", *payload), "read_key")
+    return alt_support(pairs, params.min_base_quality).drop(*payload)
 
 
 def read_ids(pairs: DataFrame) -> DataFrame:
@@ -117,20 +131,8 @@ def read_ids(pairs: DataFrame) -> DataFrame:
 
 def region_reads(alignments: DataFrame, regions: DataFrame,
                  params: Params = Params()) -> DataFrame:
-    """Kept reads per region with ``read_id`` and allele support.
-
-    Only narrow columns enter the interval join; bases and qualities come back
-    by ``read_key`` afterwards, for reads that overlap a window.
-    """
-    numbered = read_ids(overlapping_reads(alignments, regions, params))
-    return with_alt_support(numbered, alignments, params)
-
-
-def with_alt_support(pairs: DataFrame, alignments: DataFrame,
-                     params: Params = Params()) -> DataFrame:
-    payload = alignments.select("read_key", "cigar", "seq", F.col("qual"))
-    joined = pairs.join(payload, "read_key")
-    return alt_support(joined, params.min_base_quality).drop("cigar", "seq", "qual")
+    """Kept reads per region with ``read_id`` and allele support."""
+    return read_ids(overlapping_reads(alignments, regions, params))
 
 
 def phase_set_check(reads: DataFrame, min_share: float = 0.9) -> DataFrame:

@@ -38,10 +38,12 @@ def run_of(spark: SparkSession, sf_dir: str) -> RegionRun:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _runs:
         store = Store(spark, sf_dir.strip("/").replace("/", "_"))
+        reads_by_place = star.alignments(spark, sf_dir).sortWithinPartitions(
+            "chrom", "align_start")
         _runs[key] = RegionRun(
-            snvs=star.snvs(spark, sf_dir),
-            alignments=store("alignments", star.alignments(spark, sf_dir)),
-            contigs=star.contigs(spark, sf_dir), params=PARAMS,
+            snvs=store("snvs", star.snvs(spark, sf_dir)),
+            alignments=store("alignments", reads_by_place),
+            contigs=store("contigs", star.contigs(spark, sf_dir)), params=PARAMS,
             annotation=star.annotation(spark, sf_dir), store=store)
     return _runs[key]
 
@@ -53,12 +55,12 @@ def lazy_run(spark: SparkSession, sf_dir: str) -> RegionRun:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lazy_run(spark, sf_dir).result
+    return run_of(spark, sf_dir).result
 
 
 def given_labels(run: RegionRun) -> DataFrame:
     """A fixed labelling, for operators that take clusters as input."""
-    return run.numbered.select("region_id", "read_id", (F.col("hp") + 1).alias("cluster_id"))
+    return run.reads.select("region_id", "read_id", (F.col("hp") + 1).alias("cluster_id"))
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -141,7 +143,7 @@ def write_region_tables(spark, sf_dir):
 @query
 def matrix_csv_lines(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return report.matrix_csv_lines(matrix.region_matrix_wide(run.numbered, run.matrix))
+    return report.matrix_csv_lines(matrix.region_matrix_wide(run.reads, run.matrix))
 
 
 @query
@@ -212,9 +214,7 @@ def read_info(spark, sf_dir):
 
 @query
 def alt_support(spark, sf_dir):
-    run = lazy_run(spark, sf_dir)
-    pairs = reads.with_alt_support(run.overlaps, run.alignments, PARAMS)
-    return pairs.select("region_id", "read_key", "alt_support")
+    return lazy_run(spark, sf_dir).overlaps.select("region_id", "read_key", "alt_support")
 
 
 @query
@@ -225,7 +225,7 @@ def read_state(spark, sf_dir):
 
 @query
 def phase_set_check(spark, sf_dir):
-    return reads.phase_set_check(run_of(spark, sf_dir).numbered)
+    return reads.phase_set_check(run_of(spark, sf_dir).reads)
 
 
 # --- from reads to calls -----------------------------------------------------
@@ -288,7 +288,7 @@ def read_methyl_summary(spark, sf_dir):
 def read_audit(spark, sf_dir):
     run = run_of(spark, sf_dir)
     counts = run.cells.groupBy("region_id", "read_id").agg(F.count(F.lit(1)).alias("n_sites"))
-    return reads.read_audit(run.numbered, run.alignments, counts, PARAMS)
+    return reads.read_audit(run.reads, run.alignments, counts, PARAMS)
 
 
 # --- joins -------------------------------------------------------------------
@@ -326,7 +326,7 @@ def region_status(spark, sf_dir):
 @query
 def read_pairs(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return distance.read_pairs(run.numbered, run.gated)
+    return distance.read_pairs(run.reads, run.gated)
 
 
 @query
@@ -351,7 +351,7 @@ def region_matrix(spark, sf_dir):
 @query
 def region_matrix_wide(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    wide = matrix.region_matrix_wide(run.numbered, run.matrix)
+    wide = matrix.region_matrix_wide(run.reads, run.matrix)
     cell = F.transform("probs", lambda p: F.coalesce(
         F.floor(p * 255 + 0.5).cast("string"), F.lit("NA")))
     return wide.select("region_id", "read_id", F.size("positions").alias("n_sites"),
@@ -378,7 +378,7 @@ def gate_coverage(spark, sf_dir):
 @query
 def drop_empty_reads(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return matrix.drop_empty_reads(run.numbered, run.gated).select("region_id", "read_id")
+    return matrix.drop_empty_reads(run.reads, run.gated).select("region_id", "read_id")
 
 
 @query
@@ -408,19 +408,19 @@ def check_dimensions(spark, sf_dir):
     run = run_of(spark, sf_dir)
     # Gating changes the tables but not the reported counts, so mismatches do occur.
     gated = matrix.region_matrix(matrix.gate_coverage(run.cells, PARAMS))
-    return report.check_dimensions(run.result, run.numbered, gated)
+    return report.check_dimensions(run.result, run.reads, gated)
 
 
 @query
 def site_asm(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return matrix.site_asm(run.cells, run.numbered)
+    return matrix.site_asm(run.cells, run.reads)
 
 
 @query
 def site_tumor_normal(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return matrix.site_tumor_normal(run.cells, run.numbered)
+    return matrix.site_tumor_normal(run.cells, run.reads)
 
 
 # --- distances ---------------------------------------------------------------
@@ -431,7 +431,7 @@ def _distance_query(metric: str) -> Query:
         cells = run.gated
         if metric == "nhd_weighted":
             cells = distance.site_weights(run.matrix, run.flags)
-        return distance.pair_distances(run.numbered, cells, metric).select(
+        return distance.pair_distances(run.reads, cells, metric).select(
             "region_id", "read_i", "read_j", "n_common", r6(F.col("dist")).alias("dist"))
     fn.__name__ = f"dist_{metric}"
     return fn
@@ -450,7 +450,7 @@ def fill_missing_pairs(spark, sf_dir):
 @query
 def distance_matrix(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return distance.distance_matrix(run.numbered, run.distances).withColumn(
+    return distance.distance_matrix(run.reads, run.distances).withColumn(
         "dist", r6(F.col("dist")))
 
 
@@ -459,13 +459,13 @@ def distance_matrix(spark, sf_dir):
 @query
 def cluster_reads_upgma(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return cluster.cluster_reads(run.numbered, run.distances, "upgma")
+    return cluster.cluster_reads(run.reads, run.distances, "upgma")
 
 
 @query
 def cluster_reads_ward(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return cluster.cluster_reads(run.numbered, run.distances, "ward")
+    return cluster.cluster_reads(run.reads, run.distances, "ward")
 
 
 @query
@@ -494,7 +494,7 @@ def silhouette(spark, sf_dir):
 @query
 def newick(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return cluster.newick(run.numbered, run.distances)
+    return cluster.newick(run.reads, run.distances)
 
 
 @query
@@ -581,7 +581,7 @@ def truth_report(spark, sf_dir):
 
 @query
 def read_ids(spark, sf_dir):
-    return lazy_run(spark, sf_dir).numbered.select("region_id", "read_key", "read_id")
+    return lazy_run(spark, sf_dir).reads.select("region_id", "read_key", "read_id")
 
 
 @query

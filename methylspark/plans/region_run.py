@@ -7,14 +7,16 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from methylspark.functions.cigar import reference_end
 from methylspark.operators import calls as calls_ops
 from methylspark.operators import matrix as matrix_ops
 from methylspark.operators import reads as reads_ops
 from methylspark.operators import report
 from methylspark.operators.cluster import cluster_reads
 from methylspark.operators.distance import fill_missing_pairs, pair_distances
-from methylspark.operators.intervals import classes_at
+from methylspark.operators.intervals import classes_at, in_touched_bins
 from methylspark.operators.regions import make_regions, region_status
 from methylspark.params import Params
 from methylspark.plans.staging import keep_lazy
@@ -25,11 +27,15 @@ from methylspark.sources import reference
 class RegionRun:
     """Tables of a run over ``snvs``, ``alignments`` and ``contigs``.
 
-    Each property is a DataFrame. With the default ``store`` nothing runs before
-    an action; a ``Store`` writes the numbered reads, the cells and the gated
-    matrix when they are first asked for. Only reads that overlap a window are
-    decoded, each of them once, and only reference tiles under a window are
-    searched for CpG sites.
+    Each property is a DataFrame. A ``Store`` writes the tables that several later
+    steps read (windows, read pairs, cells, gated matrix, distances) when they are
+    first asked for; with the default ``store`` the analysis stays one plan, and
+    only the sizes of the window table are looked at beforehand.
+
+    Alignments are scanned twice, once for the read x window pairs and once to
+    decode the reads near a window, and shuffled in neither pass when the windows
+    fit a broadcast. Each read is decoded once however many windows it spans, and
+    only reference tiles under a window are searched for CpG sites.
     """
 
     snvs: DataFrame
@@ -50,22 +56,18 @@ class RegionRun:
 
     @cached_property
     def live_regions(self) -> DataFrame:
-        return self.status.filter("success")
+        return self.store("live_regions", self.status.filter("success"))
 
     @cached_property
     def overlaps(self) -> DataFrame:
-        """Read x region pairs, narrow columns only."""
-        return reads_ops.overlapping_reads(self.alignments, self.live_regions, self.params)
-
-    @cached_property
-    def numbered(self) -> DataFrame:
-        return self.store("numbered", reads_ops.read_ids(self.overlaps))
+        """Kept read x region pairs with allele support."""
+        return self.store("overlaps", reads_ops.overlapping_reads(
+            self.alignments, self.live_regions, self.params))
 
     @cached_property
     def reads(self) -> DataFrame:
-        """Kept reads per region with ``read_id`` and ``alt_support``."""
-        return self.store("reads", reads_ops.with_alt_support(
-            self.numbered, self.alignments, self.params))
+        """The pairs with ``read_id``."""
+        return self.store("reads", reads_ops.read_ids(self.overlaps))
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -75,13 +77,16 @@ class RegionRun:
 
     @cached_property
     def calls(self) -> DataFrame:
-        wanted = self.alignments.join(self.numbered.select("read_key").distinct(), "read_key",
-                                      "left_semi")
-        return calls_ops.methylation_calls(wanted, self.sites, self.params)
+        """Placed calls of reads near a window, not yet checked for CpG context."""
+        kept = reads_ops.filter_reads(self.alignments, self.params).withColumn(
+            "_end", reference_end(F.col("cigar"), F.col("align_start")))
+        near = in_touched_bins(kept, self.live_regions, ("align_start", "_end"),
+                               ("win_start", "win_end"))
+        return calls_ops.project_calls(calls_ops.modified_bases(near, self.params))
 
     @cached_property
     def cells(self) -> DataFrame:
-        return self.store("cells", matrix_ops.region_calls(self.numbered, self.calls))
+        return self.store("cells", matrix_ops.region_calls(self.reads, self.calls, self.sites))
 
     @cached_property
     def matrix(self) -> DataFrame:
@@ -104,7 +109,7 @@ class RegionRun:
 
     @cached_property
     def result(self) -> DataFrame:
-        return matrix_ops.region_result(self.status, self.numbered, self.cells)
+        return matrix_ops.region_result(self.status, self.reads, self.cells)
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -112,10 +117,10 @@ class RegionRun:
 
     @cached_property
     def distances(self) -> DataFrame:
-        raw = pair_distances(self.numbered, self.gated, self.params.metric)
+        raw = pair_distances(self.reads, self.gated, self.params.metric)
         return self.store("distances", fill_missing_pairs(raw, self.params))
 
     @cached_property
     def leaves(self) -> DataFrame:
         """Dendrogram of each region under average linkage."""
-        return self.store("leaves", cluster_reads(self.numbered, self.distances))
+        return self.store("leaves", cluster_reads(self.reads, self.distances))

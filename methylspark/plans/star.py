@@ -35,11 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(cid, chrom, seq)``: the whole text of each document, letter by letter."""
     seq = F.regexp_replace(F.translate("text", LETTERS, BASES), "[^acgtACGT]", "N")
-    return table(spark, sf_dir, "documents").select(
+    texts = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return texts.select(
         F.col("doc_id").alias("cid"), F.concat(F.lit("chr"), "doc_id").alias("chrom"),
         seq.alias("seq"))
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over as many tasks as a shuffle has: each grows a lot in what follows."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, key)
+
+
 def _n_contigs(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).scalar()
 
@@ -114,8 +121,11 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"),
         (120 + 8 * F.col("l_quantity").cast("int")).alias("want"),
         (F.col("l_returnflag") != "A").alias("is_tumor"))
-    lengths = contigs(spark, sf_dir).select("cid", "chrom", F.length("seq").alias("len"))
-    placed = lines.withColumn(
+    # Each letter becomes one base, so a contig is as long as its text.
+    lengths = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("cid"), F.concat(F.lit("chr"), "doc_id").alias("chrom"),
+        F.length("text").alias("len"))
+    placed = _spread(lines, "k").withColumn(
         "cid", (k * 31 + F.col("part") * 17 + F.col("supp")) % _n_contigs(spark, sf_dir)
     ).join(lengths, "cid").withColumn("start", (z * 7919 + k * 104729) % F.col("len"))
     placed = placed.withColumn("avail", F.col("len") - F.col("start")) \

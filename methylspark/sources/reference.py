@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methylspark.functions import placement
+from methylspark.operators.ranking import running_sum
+from methylspark.sources.variants import read_lines
 
 TILE_BP = 4096
 
@@ -23,17 +25,54 @@ def tile_reference(contigs: DataFrame, tile: int = TILE_BP, overlap: int = 1) ->
     """Uppercase tiles ``(chrom, tile, tile_start, core, seq)``.
 
     ``seq`` runs ``overlap`` bases past the ``core`` bases the tile stands for;
-    contigs without sequence give no tile.
+    contigs without sequence give no tile. A contig is cut in one linear pass.
     """
-    starts = F.expr(f"explode(sequence(0, (length(seq) - 1) div {tile}))")
-    return (contigs.filter(F.length("seq") > 0)
-            .select("chrom", "seq", starts.alias("tile"))
-            .select("chrom", F.col("tile").cast("int").alias("tile"),
-                    (F.col("tile") * tile).cast("int").alias("tile_start"),
-                    F.least(F.lit(tile), F.length("seq") - F.col("tile") * tile)
-                    .cast("int").alias("core"),
-                    F.upper(F.substring(F.col("seq"), (F.col("tile") * tile + 1).cast("int"),
-                                        F.lit(tile + overlap))).alias("seq")))
+    if not 0 <= overlap <= tile:
+        raise ValueError("overlap must lie between 0 and the tile width")
+    cut = F.regexp_extract_all(F.upper("seq"), F.lit("(?s).{1,%d}" % tile), F.lit(0))
+    pieces = F.transform("cut", lambda piece, i: F.struct(
+        piece.alias("piece"),
+        F.substring(F.coalesce(F.get("cut", i + 1), F.lit("")), 1, overlap).alias("next")))
+    return (contigs.filter(F.length("seq") > 0).select("chrom", cut.alias("cut"))
+            .select("chrom", F.posexplode(pieces).alias("tile", "p"))
+            .select("chrom", "tile", (F.col("tile") * tile).alias("tile_start"),
+                    F.length("p.piece").alias("core"),
+                    F.concat("p.piece", "p.next").alias("seq")))
+
+
+def load_fasta_tiles(spark: SparkSession, path: str, tile: int = TILE_BP,
+                     overlap: int = 1) -> DataFrame:
+    """The same tiles straight from FASTA lines, without a contig ever being one row.
+
+    Running sums over the lines give each line its contig and its offset there;
+    lines are then cut at tile borders and put together per tile.
+    """
+    lines = read_lines(spark, path).withColumn(
+        "head", F.when(F.col("value").startswith(">"), 1).otherwise(0))
+    numbered = running_sum(lines, [], "ord", "head", "contig")
+    names = numbered.filter("head = 1").select("contig", F.split(
+        F.substring(F.col("value"), F.lit(2), F.length("value")), r"\s+")[0].alias("chrom"))
+    bases = numbered.filter("head = 0").select(
+        "contig", "ord", F.upper(F.regexp_replace("value", r"\s", "")).alias("line"))
+    bases = running_sum(bases.withColumn("n", F.length("line")).filter("n > 0"),
+                        ["contig"], "ord", "n", "upto").withColumn(
+        "from", F.col("upto") - F.col("n"))
+    parts = bases.withColumn("tile", F.explode(F.sequence(
+        F.greatest(F.lit(0), F.expr(f"(from - {overlap}) div {tile}")),
+        F.expr(f"(upto - 1) div {tile}"))))
+    lo = F.greatest("from", F.col("tile") * tile)
+    hi = F.least("upto", F.col("tile") * tile + (tile + overlap))
+    parts = parts.withColumn("lo", lo).filter(hi > lo).select(
+        "contig", "tile", "lo", F.substring(
+            F.col("line"), (F.col("lo") - F.col("from") + 1).cast("int"),
+            (hi - F.col("lo")).cast("int")).alias("piece"))
+    whole = parts.groupBy("contig", "tile").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("lo", "piece"))), lambda p: p["piece"]), "")
+        .alias("seq"))
+    return whole.join(names, "contig").select(
+        "chrom", F.col("tile").cast("int").alias("tile"),
+        (F.col("tile") * tile).cast("int").alias("tile_start"),
+        F.least(F.lit(tile), F.length("seq")).alias("core"), "seq")
 
 
 def contig_lengths(contigs: DataFrame, names: DataFrame | None = None) -> DataFrame:
