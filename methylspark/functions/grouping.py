@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def apply_to_runs(df: DataFrame, keys: Sequence[str], kernel: Callable, schema: str) -> DataFrame:
@@ -90,5 +91,8 @@ def apply_to_runs(df: DataFrame, keys: Sequence[str], kernel: Callable, schema:
         if held:
             yield from solve(pa.Table.from_batches(held).combine_chunks())
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys)
+    # Partitioning by a hash of the keys, not by the keys: a repartition that an input
+    # happens to satisfy is optimised away, and adaptive execution may then change
+    # that input's partitioning without knowing that groups must stay whole.
+    ordered = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
     return ordered.mapInArrow(walk, schema)
