@@ -21,13 +21,27 @@ def _preceding(window):
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+#: Groups up to this size may be sorted in one task (it spills to disk if need be).
+TASK_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, parts: Sequence[str]) -> int:
+    """Rows of the largest group; pre-aggregated, for use on a written table."""
+    sizes = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n").alias("n")).first().n or 0
+
+
 def dense_row_number(df: DataFrame, parts: Sequence[str], order: Sequence[str], out: str,
-                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+                     block_rows: int = BLOCK_ROWS, largest: int | None = None) -> DataFrame:
     """Number rows 0..n-1 within ``parts`` by ``order``.
 
     The last order column must be a unique BIGINT; the ones before it should
     have a bounded number of distinct values per group (positions in a window).
+    Where ``largest`` says that every group fits a task, one window does it.
     """
+    if largest is not None and largest <= TASK_ROWS:
+        number = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+        return df.withColumn(out, number - 1)
     parts, coarse, last = list(parts), list(order[:-1]), order[-1]
     fine = parts + coarse
     keys = fine + ["_blk"]

@@ -124,9 +124,13 @@ def overlapping_reads(alignments: DataFrame, regions: DataFrame,
     return alt_support(pairs, params.min_base_quality).drop(*payload)
 
 
-def read_ids(pairs: DataFrame) -> DataFrame:
-    """``read_id``: rank of a kept read in file order within its region."""
-    return dense_row_number(pairs, ["region_id"], ["align_start", "read_key"], "read_id")
+def read_ids(pairs: DataFrame, largest: int | None = None) -> DataFrame:
+    """``read_id``: rank of a kept read in file order within its region.
+
+    ``largest`` is the size of the largest region, where it is known.
+    """
+    return dense_row_number(pairs, ["region_id"], ["align_start", "read_key"], "read_id",
+                            largest=largest)
 
 
 def region_reads(alignments: DataFrame, regions: DataFrame,

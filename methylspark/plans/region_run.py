@@ -17,6 +17,7 @@ from methylspark.operators import report
 from methylspark.operators.cluster import cluster_reads
 from methylspark.operators.distance import fill_missing_pairs, pair_distances
 from methylspark.operators.intervals import classes_at, in_touched_bins
+from methylspark.operators.ranking import largest_group
 from methylspark.operators.regions import make_regions, region_status
 from methylspark.params import Params
 from methylspark.plans.staging import keep_lazy
@@ -67,7 +68,9 @@ class RegionRun:
     @cached_property
     def reads(self) -> DataFrame:
         """The pairs with ``read_id``."""
-        return self.store("reads", reads_ops.read_ids(self.overlaps))
+        written = self.store is not keep_lazy
+        largest = largest_group(self.overlaps, ["region_id"]) if written else None
+        return self.store("reads", reads_ops.read_ids(self.overlaps, largest))
 
     @cached_property
     def sites(self) -> DataFrame:
