@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methylspark.llm import chat, quality, secrets, sentencepiece_bpe
+from methylspark.llm import chat, minhash, quality, secrets, sentencepiece_bpe
 from methylspark.llm.tables import Written, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,11 @@ def op8_quality(spark, sf_dir):
         "base_failed", "kept")
 
 
+@query
+def op9_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 @query
 def op10_sentencepiece(spark, sf_dir):
     path = tokenizer_path("piece_bpe_32k.model")

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Characters looked at in one go, and words kept between batches.
-STRETCH, MEMORY = 1_000_000, 400_000
+STRETCH, MEMORY = 1_000_000, 250_000
 _NONE = np.iinfo(np.int32).max
 
 
