@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methylspark.llm import chat, minhash, quality, secrets, sentencepiece_bpe
+from methylspark.llm import (chat, html_text, minhash, quality, secrets, sentencepiece_bpe,
+                             toxicity)
 from methylspark.llm.tables import Written, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,17 @@ def op1_secrets(spark, sf_dir):
                         told(F.col("spans")).alias("spans"))
 
 
+@query
+def op2_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_chat(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
