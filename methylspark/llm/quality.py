@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methylspark.llm.tables import BLANK, let, words
+from methylspark.llm.tables import BLANK, Written, let, maybe_small, words
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
 #: Guards: shorter texts, and texts with fewer common words, have no such distance.
@@ -57,10 +57,15 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
 
+def row_key() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """Counts and histograms of every text, keyed by row; ``text`` itself is dropped."""
+    """Counts and histograms of every row, without its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "lang", text.alias("text"))
+    base = docs.select("doc_id", row_key().alias("row_key"), "lang", text.alias("text"))
     split = base.select("*", words(F.col("text")).alias("w"))
     windows = F.when(F.size("w") > 2, F.transform(
         F.sequence(F.lit(0), F.size("w") - 3),
@@ -82,7 +87,7 @@ def measures(docs: DataFrame) -> DataFrame:
         listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, members))).otherwise(listed)
     counts = [_chars_of(F.col("text"), c) for c in CLASSES]
     first = split.select(
-        "doc_id", "lang", F.size("w").cast("long").alias("n_words"),
+        "doc_id", "row_key", "lang", F.size("w").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
         _chars_of(F.col("text"), "#*$%&|<>").cast("long").alias("n_symbols"),
         n_dup.cast("long").alias("n_dup_lines"), n_repeat.cast("long").alias("n_repeat_words"),
@@ -140,5 +145,16 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
                             F.col("n_chars") < LONG_CHARS, F.lit(MAX_CLASS_DISTANCE))
                             .otherwise(F.lit(MAX_CLASS_DISTANCE_LONG)))
                         & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE))
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+            .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"))
+
+
+def keep_good(docs: DataFrame, keep: Written | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    keep = keep or Written(docs.sparkSession)
+    measured = keep(measures(docs))
+    bad = keep(judge(measured, references(measured)).filter("not kept").select("row_key")
+               .distinct())
+    # rows are told apart by a key of their own; the given columns lie in a struct
+    rows = docs.select(row_key().alias("row_key"), F.struct(*docs.columns).alias("doc"))
+    return rows.join(maybe_small(bad), "row_key", "left_anti").select("doc.*")

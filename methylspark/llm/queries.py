@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methylspark.llm import (chat, html_text, minhash, quality, secrets, sentencepiece_bpe,
-                             toxicity)
-from methylspark.llm.tables import Written, table
+from methylspark.llm import (chat, embedding_dedup, html_text, minhash, mixing, quality, secrets,
+                             sentencepiece_bpe, token_rollup, toxicity)
+from methylspark.llm.tables import Written, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,11 +57,56 @@ def op2_html(spark, sf_dir):
         "n_chars", F.char_length("text").cast("long"))
 
 
+@query
+def op3_mix(spark, sf_dir):
+    mixed, told = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
+    return mixed.withColumn("source", F.get("pattern", F.lit(0))).join(
+        F.broadcast(told), "source").select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op4_embeddings(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: What counts as a token, by tokenizer version.
+TOKENIZERS = {"words": mixing.WORD, "letters": r"[\p{L}\p{N}]+"}
+
+
+@query
+def op6_rollup(spark, sf_dir):
+    """Load all documents; take down those of low quality; recount toxic ones by a new tokenizer;
+    and commit a batch twice."""
+    docs = table(spark, sf_dir, "documents")
+    counts = {f"n_{k}": F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long")
+              for k, p in TOKENIZERS.items()}
+    counted = Written(spark)(docs.select("doc_id", "source", "lang", *(
+        c.alias(k) for k, c in counts.items())))
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    marked = counted.join(marks, "doc_id").select("source", "lang", *counts, "quality", "toxic")
+
+    def changes(rows: DataFrame, op: str, version: str) -> DataFrame:
+        return rows.select(F.lit(op).alias("op"), "source", "lang",
+                           F.lit(version).alias("tokenizer"),
+                           F.col(f"n_{version}").alias("n_tokens"), F.lit(0).alias("old_tokens"))
+
+    low = marked.filter("quality = 0")
+    toxic = marked.filter("toxic = 1 and coalesce(quality, 1) <> 0")
+    rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", changes(counted, "insert", "words"))
+    for _ in range(2):  # the second commit finds the first
+        rollup.commit("takedown", changes(low, "delete", "words"))
+    rollup.commit("recount", changes(toxic, "delete", "words").union(
+        changes(toxic, "insert", "letters")))
+    return rollup.totals()
+
+
 @query
 def op7_chat(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -106,5 +152,23 @@ def op10_sentencepiece(spark, sf_dir):
                           digest(F.col("text")).alias("decoded_sha256"))
 
 
+WORDS_SQL = r"[^\x20\x09-\x0D]+"
+ORACLE: dict[str, str] = {
+    "op6_rollup": rf"""
+        WITH c AS (
+            SELECT d.source, d.lang,
+                   len(regexp_extract_all(coalesce(d.text, ''), '{WORDS_SQL}')) AS n_words,
+                   len(regexp_extract_all(coalesce(d.text, ''), '[\p{{L}}\p{{N}}]+')) AS n_letters,
+                   coalesce(l.quality, 1) = 0 AS low, coalesce(l.toxic, 0) = 1 AS toxic
+            FROM documents d LEFT JOIN (
+                SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic
+                FROM labels GROUP BY doc_id) l USING (doc_id))
+        SELECT source, lang, CASE WHEN toxic THEN 'letters' ELSE 'words' END AS tokenizer,
+               count(*) AS n_docs,
+               CAST(sum(CASE WHEN toxic THEN n_letters ELSE n_words END) AS BIGINT) AS n_tokens
+        FROM c WHERE NOT low GROUP BY ALL""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

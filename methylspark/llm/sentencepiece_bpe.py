@@ -257,15 +257,16 @@ def _model(path: str) -> bytes:
         return file.read()
 
 
-def encode(docs: DataFrame, model_path: str, end_id: bool = True) -> DataFrame:
-    """``(doc_id, ids)`` of every row. The driver reads the model, whose size is fixed."""
+def encode(docs: DataFrame, model_path: str, end_id: bool = True,
+           carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry`` and ``ids`` of every row. The driver reads the model, whose size is fixed."""
     model = _model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         tail = [table.end] if end_id else []
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(len(carry))
             at = 0
             while at < len(texts):
                 some, size = [], 0
@@ -282,26 +283,28 @@ def encode(docs: DataFrame, model_path: str, end_id: bool = True) -> DataFrame:
                 offsets = np.append(0, ends + len(tail) * np.arange(1, len(some) + 1))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
                                                  pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), lists],
-                                                 ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(at, len(some)) for c in batch.columns[:-1]), lists],
+                    [*carry, "ids"])
                 at += len(some)
 
-    rows = docs.select("doc_id", F.col("text").cast("string"))
+    rows = docs.select(*carry, F.col("text").cast("string").alias("text to encode"))
     return rows.mapInArrow(run, T.StructType([
-        rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+        *rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """``(doc_id, ids, text)``: the text that the ids stand for; null ids give an empty text."""
+def decode(encoded: DataFrame, model_path: str,
+           carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry``, ``ids`` and the ``text`` that they stand for; null ids give an empty text."""
     model = _model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            texts = [table.decode(x.as_py() or []) for x in batch.column(1)]
+            texts = [table.decode(x.as_py() or []) for x in batch.column(len(carry))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             ["doc_id", "ids", "text"])
+                                             [*carry, "ids", "text"])
 
-    rows = encoded.select("doc_id", "ids")
+    rows = encoded.select(*carry, "ids")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields,
                                               T.StructField("text", T.StringType())]))

@@ -57,6 +57,15 @@ class Written:
                 target, True)
 
 
+#: Rows up to which a table of one or two 64-bit keys is broadcast: about 16 MB.
+SMALL = 1_000_000
+
+
+def maybe_small(df: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if its rows are few enough."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` uses it in a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
