@@ -1,4 +1,4 @@
-"""Vectorised p-values (Arrow UDFs); Spark has no hypergeometric or gamma functions."""
+"""Vectorised p-values in log form (Arrow UDFs); Spark has no hypergeometric or gamma functions."""
 
 from __future__ import annotations
 
@@ -6,79 +6,95 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Terms that are held in memory at once.
+CHUNK = 4_000_000
+
+
+def log_factorial(n):
+    """Natural log of ``n!`` for an array of whole numbers: exact sums, then Stirling's series."""
+    import numpy as np
+
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1.0, 257.0)))])
+    n = np.asarray(n, np.float64)
+    x = np.maximum(n, 256.0) + 1.0
+    series = ((x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi)
+              + 1 / (12 * x) - 1 / (360 * x ** 3) + 1 / (1260 * x ** 5))
+    return np.where(n <= 256, small[np.minimum(n, 256).astype(np.int64)], series)
+
+
+def _chunks(length):
+    """Slices of rows whose terms together stay near ``CHUNK``."""
+    import numpy as np
+
+    start = 0
+    until = np.cumsum(length)
+    while start < len(length):
+        base = until[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(until, base + CHUNK, "right")))
+        yield slice(start, end)
+        start = end
+
 
 @F.pandas_udf(DoubleType())
-def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided Fisher exact p of the tables [[a, b], [c, d]].
+def fisher_log10(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """Log10 of the two-sided Fisher exact p of the tables [[a, b], [c, d]].
 
-    Point probabilities relative to the mode follow from ratios of neighbours;
-    the walk in either direction ends once terms no longer count, so time grows
-    with the spread of the distribution and memory with the batch only.
+    All tables with the same margins are weighed by log factorials; those no likelier than the
+    observed one are summed relative to the likeliest of them, so no p is too small.
     """
     import numpy as np
 
-    a, b, c, d = (s.to_numpy(dtype=np.float64) for s in (a, b, c, d))
-    row, col, total = a + b, a + c, a + b + c + d
-    lo, hi = np.maximum(0.0, row + col - total), np.minimum(row, col)
-    mode = np.clip(np.floor((row + 1) * (col + 1) / (total + 2)), lo, hi)
-
-    def walk(direction, visit):
-        x, w = mode.copy(), np.ones_like(mode)
-        while True:
-            if direction > 0:
-                ratio = (row - x) * (col - x) / ((x + 1) * (total - row - col + x + 1))
-            else:
-                ratio = x * (total - row - col + x) / ((row - x + 1) * (col - x + 1))
-            live = (x < hi) if direction > 0 else (x > lo)
-            w = np.where(live, w * ratio, 0.0)
-            live &= w > 1e-30
-            if not live.any():
-                return
-            x = np.where(live, x + direction, x)
-            visit(x, w, live)
-
-    seen = np.where(mode == a, 1.0, 0.0)
-
-    def find(x, w, live):
-        hit = live & (x == a)
-        seen[hit] = w[hit]
-
-    limit = None
-    total_w, tail_w = np.ones_like(mode), np.zeros_like(mode)
-
-    def add(x, w, live):
-        total_w[live] += w[live]
-        inside = live & (w <= limit)
-        tail_w[inside] += w[inside]
-
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for direction in (1, -1):
-            walk(direction, find)
-        limit = seen * (1 + 1e-7)
-        tail_w += np.where(1.0 <= limit, 1.0, 0.0)
-        for direction in (1, -1):
-            walk(direction, add)
-    return pd.Series(np.minimum(tail_w / total_w, 1.0))
+    cells = [s.to_numpy(dtype=np.float64) for s in (a, b, c, d)]
+    out = np.zeros(len(a))
+    row, col, total = cells[0] + cells[1], cells[0] + cells[2], sum(cells)
+    low, high = np.maximum(0.0, row + col - total), np.minimum(row, col)
+    length = (high - low + 1).astype(np.int64)
+    for part in _chunks(length):
+        n = length[part]
+        first = np.cumsum(n) - n
+
+        def spread(values, n=n, part=part):
+            return np.repeat(values[part], n)
+
+        x = spread(low) + np.arange(n.sum()) - np.repeat(first, n)
+        r, k, t = spread(row), spread(col), spread(total)
+        log_w = -(log_factorial(x) + log_factorial(r - x) + log_factorial(k - x)
+                  + log_factorial(t - r - k + x))
+        seen = -sum(log_factorial(v[part]) for v in cells)
+        tail = np.where(log_w <= np.repeat(seen + 1e-7, n), log_w, -np.inf)
+        top, best = np.maximum.reduceat(log_w, first), np.maximum.reduceat(tail, first)
+        every = top + np.log(np.add.reduceat(np.exp(log_w - np.repeat(top, n)), first))
+        some = best + np.log(np.add.reduceat(np.exp(tail - np.repeat(best, n)), first))
+        out[part] = np.minimum(some - every, 0.0) / np.log(10.0)
+    return pd.Series(out)
 
 
 @F.pandas_udf(DoubleType())
 def chi_square_p(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution by its finite series in erfc and exp."""
+    """Upper tail of the chi-square distribution by its finite series, summed in log form."""
     import math
 
-    def tail(x: float, k: int) -> float:
-        if x is None or x != x:
-            return float("nan")
-        half = x / 2.0
-        if k % 2:
-            total, power = math.erfc(math.sqrt(half)), 0.5
-        else:
-            total, power = 0.0, 0.0
-        term = math.exp(-half) * half ** power / math.gamma(power + 1)
-        while power < k / 2.0:
-            total += term
-            power += 1
-            term *= half / power
-        return min(total, 1.0)
-
-    return pd.Series([tail(x, int(k)) for x, k in zip(stat, dof)])
+    import numpy as np
+
+    x, k = stat.to_numpy(dtype=np.float64), dof.fillna(0).to_numpy(dtype=np.int64)
+    out = np.full(len(x), np.nan)
+    good = np.flatnonzero(~np.isnan(x) & (k > 0))
+    half, odd, terms = np.maximum(x[good], 0.0) / 2, k[good] % 2, k[good] // 2
+    # odd degrees begin with erfc, and their powers lie halfway between whole numbers
+    values = np.where(odd == 1, [math.erfc(math.sqrt(h)) for h in half], 0.0)
+    for part in _chunks(np.maximum(terms, 1)):
+        n = terms[part]
+        rows = np.repeat(np.arange(len(n)), n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        log_gamma = [log_factorial(np.arange(max(n, default=0) + 1.0)),
+                     np.cumsum(np.log(np.arange(max(n, default=0) + 1.0) + 0.5))
+                     + 0.5 * np.log(np.pi)]
+        is_odd = odd[part][rows]
+        h = half[part][rows]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            power = step + 0.5 * is_odd
+            log_term = np.where(power == 0, 0.0, power * np.log(h)) - h - np.where(
+                is_odd == 1, log_gamma[1][step], log_gamma[0][step])
+        values[part] += np.bincount(rows, np.exp(log_term), minlength=len(n))
+    out[good] = np.minimum(values, 1.0)
+    return pd.Series(out)

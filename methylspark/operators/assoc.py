@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methylspark.functions.stats import chi_square_p, fisher_p
+from methylspark.functions.stats import chi_square_p, fisher_log10
 from methylspark.operators.cluster import label_reads
 
 # Factor name and the two ClusterStats counts it compares.
@@ -30,10 +30,14 @@ def contingency(stats: DataFrame) -> DataFrame:
 
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
-    """Add the two-sided exact p; each distinct table is evaluated once."""
+    """Add the two-sided exact p and its log10; each distinct table is evaluated once.
+
+    ``p_value`` is 0 only below 1e-308; ``log10_p`` tells such tables apart.
+    """
     cells = ["a", "b", "c", "d"]
-    solved = tables.select(*cells).distinct().withColumn("p_value", fisher_p(*cells))
-    return tables.join(solved, cells).select(*tables.columns, "p_value")
+    solved = tables.select(*cells).distinct().withColumn("log10_p", fisher_log10(*cells))
+    return tables.join(solved, cells).select(
+        *tables.columns, F.pow(F.lit(10.0), "log10_p").alias("p_value"), "log10_p")
 
 
 def chi_square(tables: DataFrame) -> DataFrame:

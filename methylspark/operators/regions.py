@@ -27,8 +27,7 @@ def top_snvs(snvs: DataFrame, n: int = 10) -> DataFrame:
 
 def sample_snvs(snvs: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` variants in a seeded pseudo-random order that any engine can repeat."""
-    # Multiplier and modulus of a Lehmer generator.
-    key = F.pmod((F.col("snv_id").cast("bigint") + seed) * 48271, F.lit(2147483647))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("snv_id").cast("string")))
     return snvs.withColumn("_key", key).orderBy("_key", "snv_id").limit(n).drop("_key")
 
 

@@ -163,7 +163,7 @@ def cluster_summary_csv(spark, sf_dir):
     run = run_of(spark, sf_dir)
     stats = cluster.cluster_stats(given_labels(run), run.reads)
     tests = assoc.fisher_exact(assoc.contingency(stats)).withColumn(
-        "p_value", r6(F.col("p_value")))
+        "p_value", r6(F.col("p_value")))  # the text has six decimals
     return report.cluster_summary(stats, tests, run.regions)
 
 
@@ -523,29 +523,29 @@ def contingency(spark, sf_dir):
 
 @query
 def fisher_exact(spark, sf_dir):
-    return assoc.fisher_exact(_tables(run_of(spark, sf_dir))).withColumn(
-        "p_value", r6(F.col("p_value")))
+    return assoc.fisher_exact(_tables(run_of(spark, sf_dir))).withColumns(
+        {name: r6(F.col(name)) for name in ("p_value", "log10_p")})
 
 
 @query
 def chi_square(spark, sf_dir):
-    return assoc.chi_square(_tables(run_of(spark, sf_dir))).withColumn(
-        "chi2", r6(F.col("chi2"))).drop("p_value")
+    return assoc.chi_square(_tables(run_of(spark, sf_dir))).withColumns(
+        {name: r6(F.col(name)) for name in ("chi2", "p_value")})
 
 
 @query
 def chi_square_table(spark, sf_dir):
     run = run_of(spark, sf_dir)
     return assoc.chi_square_table(given_labels(run), run.reads, "allele").select(
-        "region_id", r6(F.col("chi2")).alias("chi2"), "dof")
+        "region_id", r6(F.col("chi2")).alias("chi2"), "dof",
+        r6(F.col("p_value")).alias("p_value"))
 
 
 @query
 def fdr_bh(spark, sf_dir):
-    tests = assoc.fisher_exact(_tables(run_of(spark, sf_dir))).withColumn(
-        "p_value", r6(F.col("p_value")))
-    return assoc.fdr_bh(tests).select("region_id", "cluster_id", "factor", "p_value",
-                                      r6(F.col("q_value")).alias("q_value"))
+    tests = assoc.fisher_exact(_tables(run_of(spark, sf_dir)))
+    return assoc.fdr_bh(tests).select("region_id", "cluster_id", "factor", *(
+        r6(F.col(name)).alias(name) for name in ("p_value", "q_value")))
 
 
 @query
@@ -572,7 +572,7 @@ def label_distance_corr(spark, sf_dir):
 @query
 def truth_report(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    tests = assoc.fisher_exact(_tables(run)).withColumn("p_value", r6(F.col("p_value")))
+    tests = assoc.fisher_exact(_tables(run))
     return assoc.truth_report(assoc.fdr_bh(tests.filter("factor = 'allele'")),
                               star.truth(run.snvs), run.live_regions)
 

@@ -303,14 +303,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               FROM stats)
         WINDOW w AS (PARTITION BY region_id, factor)"""),
     "tests": (("tables",), """
-        SELECT t.*, p.p_value FROM tables t JOIN (
-            SELECT a, b, c, d, floor(least(1.0, sum(exp(lp)) FILTER (lp <= lobs + 1e-7))
-                                     * 1e6 + 0.5) / 1e6 AS p_value
+        SELECT t.*, p.p_value, p.log10_p FROM tables t JOIN (
+            SELECT a, b, c, d, exp(log_p) AS p_value, log_p / ln(10) AS log10_p FROM (
+            SELECT a, b, c, d, least(0.0, max(lp) FILTER (lp <= lobs + 1e-7)
+                   + ln(sum(exp(lp - lmax)) FILTER (lp <= lobs + 1e-7))) AS log_p
+            FROM (SELECT *, max(lp) FILTER (lp <= lobs + 1e-7)
+                         OVER (PARTITION BY a, b, c, d) AS lmax
             FROM (SELECT a, b, c, d, x, lf(a, b, c, d, a) AS lobs, lf(a, b, c, d, x) AS lp
                   FROM (SELECT *, unnest(range(greatest(0, a + b + a + c - (a + b + c + d)),
                                                least(a + b, a + c) + 1)) AS x
-                        FROM (SELECT DISTINCT a, b, c, d FROM tables)))
-            GROUP BY a, b, c, d) p USING (a, b, c, d)"""),
+                        FROM (SELECT DISTINCT a, b, c, d FROM tables))))
+            GROUP BY a, b, c, d)) p USING (a, b, c, d)"""),
     "bh": (("tests",), """
         SELECT *, least(1.0, min(raw) OVER (PARTITION BY region_id, factor
                         ORDER BY p_value DESC, cluster_id DESC

@@ -48,6 +48,13 @@ _SPREAD = """SELECT '{m}' AS measure, min({m}) AS min, max({m}) AS max, median({
     FROM result WHERE success"""
 
 
+def _chi_tail(x: str, k: str) -> str:
+    """1 minus the series of the lower tail; its terms are all positive."""
+    h = f"greatest({x}, 1e-300) / 2"
+    return (f"(1.0 - least(1.0, list_sum(list_transform(range(0, 400), lambda i: exp(-({h}) "
+            f"+ (i + {k} / 2.0) * ln({h}) - lgamma(i + {k} / 2.0 + 1))))))")
+
+
 def statements() -> dict[str, str]:
     """SQL text per query name."""
     out: dict[str, str] = {}
@@ -126,18 +133,19 @@ def statements() -> dict[str, str]:
         SELECT s.region_id, r.chrom AS chr, r.pos, s.cluster_id, size, count_hp1 AS hp1,
                count_hp2 AS hp2, count_hp_unknown AS hpNA, count_tumor AS tumor,
                count_normal AS normal, count_alt AS alt, count_ref AS ref,
-               h.p_value AS p_hp, a.p_value AS p_somatic
+               {h} AS p_hp, {a} AS p_somatic
         FROM stats s JOIN regions r ON r.region_id = s.region_id
         JOIN tests h ON h.region_id = s.region_id AND h.cluster_id = s.cluster_id
           AND h.factor = 'hp'
         JOIN tests a ON a.region_id = s.region_id AND a.cluster_id = s.cluster_id
-          AND a.factor = 'allele'""", "stats", "regions", "tests")
+          AND a.factor = 'allele'""".format(h=r6("h.p_value"), a=r6("a.p_value")),
+        "stats", "regions", "tests")
 
     # Projections, filters, row selection.
     add("make_regions", "SELECT * FROM regions", "regions")
     add("limit_snvs", "SELECT snv_id, chrom, pos FROM snvs ORDER BY snv_id LIMIT 32", "snvs")
     add("sample_snvs", """SELECT snv_id, chrom, pos FROM snvs
-        ORDER BY (CAST(snv_id + 42 AS BIGINT) * 48271) % 2147483647, snv_id LIMIT 32""", "snvs")
+        ORDER BY md5('42:' || snv_id), snv_id LIMIT 32""", "snvs")
     add("top_snvs", f"""SELECT snv_id, chrom, pos, ref, alt, qual,
         {r6('somatic_conf')} AS somatic_conf FROM snvs ORDER BY snv_id LIMIT 10""", "snvs")
     add("filter_reads", "SELECT read_key, flag, mapq, cigar FROM kept", "kept")
@@ -318,19 +326,28 @@ def statements() -> dict[str, str]:
 
     # Association.
     add("contingency", "SELECT * FROM tables", "tables")
-    add("fisher_exact", "SELECT * FROM tests", "tests")
+    add("fisher_exact", f"""SELECT * REPLACE ({r6('p_value')} AS p_value,
+        {r6('log10_p')} AS log10_p) FROM tests""", "tests")
     add("chi_square", f"""
-        SELECT *, CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN
+        SELECT * EXCLUDE (chi2_raw), CASE WHEN (a + b) * (c + d) * (a + c) * (b + d) > 0 THEN
             {r6('(a + b + c + d)::DOUBLE * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * (a + c) * (b + d))')}
-            END AS chi2 FROM tables""", "tables")
+            END AS chi2,
+            CASE WHEN chi2_raw IS NOT NULL THEN {r6(_chi_tail("chi2_raw", "1"))} END AS p_value
+        FROM (SELECT *, (a + b + c + d)::DOUBLE * (a * d - b * c) * (a * d - b * c)
+              / nullif((a + b) * (c + d) * (a + c) * (b + d), 0) AS chi2_raw FROM tables)""",
+        "tables")
     add("chi_square_table", f"""
-        SELECT region_id, {r6('any_value(total) * (sum(n * n / (r::DOUBLE * c)) - 1.0)')} AS chi2,
+        SELECT region_id, {r6('x')} AS chi2, dof,
+               CASE WHEN dof > 0 THEN {r6(_chi_tail("greatest(x, 0)", "dof"))} END AS p_value
+        FROM (
+        SELECT region_id, any_value(total) * (sum(n * n / (r::DOUBLE * c)) - 1.0) AS x,
                (count(DISTINCT cluster_id) - 1) * (count(DISTINCT level) - 1) AS dof
         FROM (SELECT *, sum(n) OVER (PARTITION BY region_id, cluster_id) AS r,
                      sum(n) OVER (PARTITION BY region_id, level) AS c,
                      sum(n) OVER (PARTITION BY region_id) AS total FROM crossed)
-        GROUP BY region_id""", "crossed")
-    add("fdr_bh", f"""SELECT region_id, cluster_id, factor, p_value, {r6('q_value')} AS q_value
+        GROUP BY region_id)""", "crossed")
+    add("fdr_bh", f"""SELECT region_id, cluster_id, factor, {r6('p_value')} AS p_value,
+        {r6('q_value')} AS q_value
         FROM bh""", "bh")
     add("adjusted_rand", f"""
         SELECT region_id, {r6('''(i - e) / nullif((r + c) / 2 - e, 0)''')} AS ari

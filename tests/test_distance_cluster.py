@@ -208,11 +208,14 @@ def hypergeometric_p(a, b, c, d):
 def test_fisher_and_chi_square(spark):
     rng = random.Random(19)
     rows = [(0, i, "hp", *[rng.choice([0, 1, 3, 8, 20, 60]) for _ in range(4)]) for i in range(80)]
-    rows += [(0, 99, "hp", 0, 0, 0, 0), (0, 98, "hp", 300, 100, 90, 310)]
+    rows += [(0, 99, "hp", 0, 0, 0, 0), (0, 98, "hp", 300, 100, 90, 310),
+             (0, 97, "hp", 80, 0, 0, 80)]
     df = spark.createDataFrame(
         rows, "region_id INT, cluster_id INT, factor STRING, a BIGINT, b BIGINT, c BIGINT, d BIGINT")
     for r in assoc.fisher_exact(df).collect():
-        assert r.p_value == pytest.approx(hypergeometric_p(r.a, r.b, r.c, r.d), rel=1e-6, abs=1e-12)
+        exact = hypergeometric_p(r.a, r.b, r.c, r.d)
+        assert r.p_value == pytest.approx(exact, rel=1e-9)
+        assert r.log10_p == pytest.approx(math.log10(exact), rel=1e-9, abs=1e-12)
     for r in assoc.chi_square(df).collect():
         margins = (r.a + r.b) * (r.c + r.d) * (r.a + r.c) * (r.b + r.d)
         if margins == 0:
@@ -224,6 +227,25 @@ def test_fisher_and_chi_square(spark):
             assert r.p_value == pytest.approx(math.erfc(math.sqrt(stat / 2)), abs=1e-12)
 
 
+def test_fisher_of_many_reads(spark):
+    df = spark.createDataFrame([(0, 1, "hp", 2500, 0, 0, 2500)], "region_id INT, cluster_id INT, "
+                               "factor STRING, a BIGINT, b BIGINT, c BIGINT, d BIGINT")
+    exact = math.log10(2) - (math.lgamma(5001) - 2 * math.lgamma(2501)) / math.log(10)
+    assert assoc.fisher_exact(df).first().log10_p == pytest.approx(exact, rel=1e-9)
+
+
+def test_chi_square_of_many_degrees(spark):
+    from pyspark.sql import functions as F
+
+    from methylspark.functions.stats import chi_square_p
+    df = spark.createDataFrame([(1400.0, 1400), (2000.0, 2000), (2001.0, 2001), (0.0, 3)],
+                               "x DOUBLE, k INT")
+    got = [r.p for r in df.select(chi_square_p("x", "k").alias("p")).collect()]
+    # the median lies at about k - 2 / 3
+    assert all(0.49 < p < 0.5 for p in got[:3]) and got[3] == 1.0
+    assert df.select(chi_square_p("x", F.lit(None).cast("int")).alias("p")).count() == 4
+
+
 def test_chi_square_tail(spark):
     from pyspark.sql import functions as F
 
