@@ -32,7 +32,7 @@ from methylspark.llm.shingles import _LOWER, _SPACE, mix, word_hashes
 
 ORDER, SLOTS, DISCOUNT, FLOOR, MAX_FIT = 5, 1 << 21, 0.75, 2.0, 20_000
 #: Bytes of texts looked at in one go.
-STRETCH = 4_000_000
+STRETCH = 1_000_000
 
 
 def distinct_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,14 +64,14 @@ def grams(raw: bytes, start: np.ndarray, end: np.ndarray):
     slots, code = [], np.zeros(len(at), np.uint64)
     for n in range(1, ORDER + 1):  # the n bytes that end here, the last one lowest
         code = code | (flat[at - n + 1] << np.uint64(8 * (n - 1)))
-        slots.append((mix(code + np.uint64(n << 56)) % np.uint64(SLOTS)).astype(np.int64))
+        slots.append((mix(code + np.uint64(n << 56)) % np.uint64(SLOTS)).astype(np.int32))
     history = []
     for n in range(2, ORDER + 1):
         context = np.zeros(len(at), np.uint64)
         for k in range(1, n):
             context |= flat[at - k] << np.uint64(8 * (k - 1))
         history.append((mix(context + np.uint64((n - 1) << 56)) % np.uint64(SLOTS)).astype(
-            np.int64))
+            np.int32))
     return word[at], slots, history
 
 
