@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from methylspark.llm.shingles import _LOWER, _SPACE, mix, word_hashes
+from methylspark.llm.tables import Written, maybe_small
 
 ORDER, SLOTS, DISCOUNT, FLOOR, MAX_FIT = 5, 1 << 21, 0.75, 2.0, 20_000
 #: Bytes of texts looked at in one go.
@@ -240,9 +241,10 @@ def remainder(doc_id: str) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``."""
     spark = docs.sparkSession
-    known = labels.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id") != 0)).groupBy(
-        F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("label_id"))
+    known = Written(spark)(labels.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id") != 0)).groupBy(
+        F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic")))
+    labelled = docs.select("doc_id", "text").join(
+        maybe_small(known), F.col("doc_id") == F.col("label_id"))
     counted = count_grams(labelled.filter(remainder("doc_id") < 4))
     model = spark.sparkContext.broadcast(Model(counted.toArrow()))
     fit = labelled.filter(remainder("doc_id") == 4).select("doc_id", "toxic", "text")
