@@ -72,7 +72,7 @@ def project_calls(bases: DataFrame) -> DataFrame:
 
 def validate_cpg(calls: DataFrame, sites: DataFrame) -> DataFrame:
     """Calls whose reference position is the C of a CG."""
-    return calls.join(sites.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi") \
+    return calls.join(sites.select("chrom", "pos"), ["chrom", "pos"], "left_semi") \
         .select("read_key", "chrom", "pos", "ml")
 
 

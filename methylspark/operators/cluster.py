@@ -16,14 +16,13 @@ the same sums and hence the same tree.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from methylspark.functions.grouping import apply_to_runs
 from methylspark.operators.distance import both_directions
 from methylspark.operators.ranking import dense_row_number, running_sum
+from methylspark.shared import shared_folder
 
 METHODS = ("upgma", "ward")
 UNITS = 1_000_000_000
@@ -74,8 +73,8 @@ def _cluster_kernel(method: str, want_tree: bool):
                 h = (np.sqrt(max(d, 0.0) / UNITS) if method == "ward" else d / UNITS)
                 join[b], height[b] = a, h
                 if tree:
-                    tree[a] = (f"({tree[a]}:{(h - top[a]) / 2:.6f},"
-                               f"{tree[b]}:{(h - top[b]) / 2:.6f})")
+                    left, right = (np.floor((h - top[x]) / 2 * 1e6 + 0.5) / 1e6 for x in (a, b))
+                    tree[a] = f"({tree[a]}:{left:.6f},{tree[b]}:{right:.6f})"
                     tree[b] = None
                     top[a] = h
                 moved = owner == b
@@ -116,13 +115,17 @@ def _linkage_value(method: str) -> Column:
             * (cross - F.col("w_a") / (na * na) - F.col("w_b") / (nb * nb)))
 
 
+def _branch(x: str) -> Column:
+    """Half the rise in height, rounded half up before it becomes text, as in the kernel."""
+    return F.floor((F.col("h") - F.col(f"top_{x}")) / 2 * F.lit(1e6) + 0.5) / F.lit(1e6)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder; a temporary one only where none is named."""
+    """Checkpoint to the cluster's shared folder."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -170,8 +173,8 @@ def _merge_rounds(pairs: DataFrame, reads: DataFrame, method: str, want_tree: bo
         merges = cut_lineage(merges.select(
             "region_id", "a", "b", "s", "h", F.col("n_a").alias("shift"),
             F.when(F.lit(want_tree), F.format_string(
-                "(%s:%.6f,%s:%.6f)", "tree_a", (F.col("h") - F.col("top_a")) / 2,
-                "tree_b", (F.col("h") - F.col("top_b")) / 2)).otherwise("").alias("tree")))
+                "(%s:%.6f,%s:%.6f)", "tree_a", _branch("a"), "tree_b", _branch("b")))
+            .otherwise("").alias("tree")))
         ended = merges.select("region_id", F.col("b").alias("old"), F.col("a").alias("new"),
                               "shift", F.col("h"))
 

@@ -24,7 +24,7 @@ def region_calls(reads: DataFrame, calls: DataFrame,
     ).select("region_id", "read_id", "read_key", "chrom", "pos", "ml")
     if sites is None:
         return cells
-    return cells.join(sites.select("chrom", "pos").distinct(), ["chrom", "pos"],
+    return cells.join(sites.select("chrom", "pos"), ["chrom", "pos"],
                       "left_semi").select(*cells.columns)
 
 

@@ -334,6 +334,94 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def _merging(method: str) -> str:
+    """One merge per region and step: the nearest two clusters, those with smaller names on ties.
+
+    A state holds the cluster and leaf place of every read and, by cluster name, the size, the sum
+    of inner distances, the height of the last merge and the tree as text.
+    """
+    value = "s::DOUBLE / (na * nb)"
+    height = "m.d / 1e9"
+    if method == "ward":
+        value = (f"2.0 * (na * nb) / (na + nb) * ({value} - wa::DOUBLE / (na * na)"
+                 " - wb::DOUBLE / (nb * nb))")
+        height = "sqrt(greatest(m.d, 0.0) / 1e9)"
+    branch = "printf('%.6f', floor(({h} - tops[m.{x} + 1]) / 2 * 1e6 + 0.5) / 1e6)"
+    left, right = (branch.format(h=height, x=x) for x in "ab")
+
+    def put(values: str, new: str) -> str:
+        return f"list_transform({values}, lambda v, i: CASE WHEN i = m.a + 1 THEN {new} ELSE v END)"
+
+    return f"""
+        SELECT region_id, list(read_id ORDER BY read_id) AS owners,
+               list(0::BIGINT ORDER BY read_id) AS places, list(1::BIGINT ORDER BY read_id) AS sizes,
+               list(0::HUGEINT ORDER BY read_id) AS inners, list(0.0::DOUBLE ORDER BY read_id) AS tops,
+               list(read_id::VARCHAR ORDER BY read_id) AS trees,
+               NULL::INT AS a, NULL::INT AS b, NULL::DOUBLE AS h, 0 AS step
+        FROM pairs GROUP BY region_id
+        UNION ALL
+        SELECT region_id, list_transform(owners, lambda o: CASE WHEN o = m.b THEN m.a ELSE o END),
+               list_transform(places, lambda p, i: CASE WHEN owners[i] = m.b
+                              THEN p + sizes[m.a + 1] ELSE p END),
+               {put("sizes", "v + sizes[m.b + 1]")}, {put("inners", "v + inners[m.b + 1] + m.s")},
+               {put("tops", height)},
+               {put("trees", f"'(' || v || ':' || {left} || ',' || trees[m.b + 1] || ':' || {right} || ')'")},
+               m.a, m.b, {height}, step + 1
+        FROM (
+            SELECT region_id, min({{'d': {value}, 'a': a, 'b': b, 's': s}}) AS m
+            FROM (SELECT t.*, sizes[t.a + 1]::DOUBLE AS na, sizes[t.b + 1]::DOUBLE AS nb,
+                         inners[t.a + 1] AS wa, inners[t.b + 1] AS wb
+                  FROM (SELECT region_id, least(oi, oj) AS a, greatest(oi, oj) AS b, sum(unit) AS s
+                        FROM (SELECT region_id, owners[read_i + 1] AS oi, owners[read_j + 1] AS oj,
+                                     unit
+                              FROM state_{method} JOIN units_{method} USING (region_id))
+                        WHERE oi <> oj GROUP BY ALL) t
+                  JOIN state_{method} USING (region_id))
+            GROUP BY region_id)
+        JOIN state_{method} USING (region_id)"""
+
+
+for _method, _dist in (("upgma", "dist"), ("ward", "dist * dist")):
+    CTES[f"units_{_method}"] = (("filled",), f"""
+        SELECT region_id, read_i, read_j, CAST(floor({_dist} * 1e9 + 0.5) AS BIGINT) AS unit
+        FROM filled""")
+    CTES[f"state_{_method}"] = (("pairs", f"units_{_method}"), _merging(_method))
+    CTES[f"leaves_{_method}"] = ((f"state_{_method}", "pairs"), f"""
+        SELECT p.region_id, p.read_id, CAST(e.places[p.read_id + 1] AS INT) AS leaf_pos,
+               m.a AS join_read, m.h AS height
+        FROM pairs p
+        JOIN (SELECT region_id, arg_max(places, step) AS places FROM state_{_method}
+              GROUP BY region_id) e ON e.region_id = p.region_id
+        LEFT JOIN state_{_method} m ON m.region_id = p.region_id AND m.b = p.read_id""")
+#: Leaves with, by lateness, the merges that a cut undoes first.
+CTES["late"] = (("leaves_upgma",), """
+    SELECT *, CASE WHEN height IS NOT NULL THEN row_number() OVER (
+        PARTITION BY region_id, height IS NULL
+        ORDER BY height DESC, join_read DESC, read_id DESC) END AS late FROM leaves_upgma""")
+CTES["cuts"] = (("late",), """
+    SELECT region_id, k, read_id, dense_rank() OVER (
+               PARTITION BY region_id, k ORDER BY first) AS cluster_id
+    FROM (SELECT *, min(read_id) OVER (PARTITION BY region_id, k, seg) AS first
+          FROM (SELECT *, sum(CASE WHEN height IS NULL OR late <= k - 1 THEN 1 ELSE 0 END) OVER (
+                       PARTITION BY region_id, k ORDER BY leaf_pos) AS seg
+                FROM late CROSS JOIN (SELECT unnest([2, 3, 4, 5]) AS k)))""")
+CTES["cut_scores"] = (("cuts", "both_ways"), """
+    SELECT region_id, k, avg(CASE WHEN b IS NULL THEN NULL
+                             WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0
+                             ELSE (b - a) / greatest(a, b) END) AS mean
+    FROM cuts LEFT JOIN (
+        SELECT m.region_id, m.k, m.read_i, max(mean) FILTER (m.other = o.cluster_id) AS a,
+               min(mean) FILTER (m.other <> o.cluster_id) AS b
+        FROM (SELECT w.region_id, t.k, w.read_i, t.cluster_id AS other,
+                     sum(CAST(floor(dist * 1e9 + 0.5) AS BIGINT))::DOUBLE / count(*) AS mean
+              FROM both_ways w JOIN cuts t
+                ON t.region_id = w.region_id AND t.read_id = w.read_j GROUP BY ALL) m
+        JOIN cuts o ON o.region_id = m.region_id AND o.k = m.k AND o.read_id = m.read_i
+        GROUP BY ALL) s
+      ON s.region_id = cuts.region_id AND s.k = cuts.k AND s.read_i = cuts.read_id
+    GROUP BY cuts.region_id, cuts.k""".replace("SELECT region_id, k, avg", "SELECT cuts.region_id, cuts.k, avg"))
+
+
 def sql(body: str, *names: str) -> str:
     """``WITH`` the named tables and all they read, then ``body``."""
     order: list[str] = []
@@ -348,4 +436,4 @@ def sql(body: str, *names: str) -> str:
         visit(name)
     ctes = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
     ctes = _LF.sub(_log_point, ctes)
-    return f"WITH {ctes}\n{body.strip()}" if ctes else body.strip()
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}" if ctes else body.strip()

@@ -298,6 +298,24 @@ def statements() -> dict[str, str]:
         FROM both_ways UNION ALL SELECT region_id, read_id, read_id, 0.0 FROM pairs""",
         "both_ways", "pairs")
 
+    # Dendrograms and their cuts.
+    for method in ("upgma", "ward"):
+        add(f"cluster_reads_{method}", f"SELECT * FROM leaves_{method}", f"leaves_{method}")
+    add("newick", """SELECT region_id, arg_max(trees, step)[1] || ';' AS newick
+        FROM state_upgma GROUP BY region_id""", "state_upgma")
+    add("cut_height", """
+        SELECT region_id, read_id, dense_rank() OVER (
+                   PARTITION BY region_id ORDER BY first) AS cluster_id
+        FROM (SELECT *, min(read_id) OVER (PARTITION BY region_id, seg) AS first
+              FROM (SELECT *, sum(CASE WHEN height IS NULL OR height > 0.5 THEN 1 ELSE 0 END) OVER (
+                           PARTITION BY region_id ORDER BY leaf_pos) AS seg
+                    FROM leaves_upgma))""", "leaves_upgma")
+    add("cut_k", "SELECT region_id, read_id, cluster_id FROM cuts WHERE k = 3", "cuts")
+    add("cut_silhouette", """
+        SELECT region_id, read_id, cluster_id, k FROM cuts
+        JOIN (SELECT region_id, -max({'m': coalesce(floor(mean * 1e9), -2e9), 'neg': -k}).neg AS k
+              FROM cut_scores GROUP BY region_id) USING (region_id, k)""", "cuts", "cut_scores")
+
     # Clusters, from the fixed labelling.
     add("silhouette", f"""
         SELECT l.region_id, l.read_id, l.cluster_id, {r6('''CASE WHEN b IS NULL THEN NULL

@@ -7,38 +7,42 @@ by position.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from methylspark.shared import shared_folder
 
 
 class Store:
-    """Named tables of one application below the shared folder."""
+    """Tables below a folder of their own in the shared folder, until ``drop``.
+
+    A table is found again by its name and by what it was computed from: another analysis on the
+    same store, with other inputs or parameters, writes tables of its own.
+    """
 
     def __init__(self, spark: SparkSession, scope: str) -> None:
-        app = spark.sparkContext.applicationId
         self._spark = spark
-        self._root = f"{shared_folder(spark).rstrip('/')}/methylspark/{app}/{scope}"
-        self._done: set[str] = set()
+        self._root = f"{shared_folder(spark)}/methylspark/{scope}-{uuid.uuid4().hex[:12]}"
+        self._done: dict[str, list[DataFrame]] = {}
 
-    def path(self, name: str) -> str:
-        return f"{self._root}/{name}"
+    def _path(self, name: str, number: int) -> str:
+        return f"{self._root}/{name}-{number}"
 
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
-        path = self.path(name)
-        if name not in self._done:
-            df.write.mode("overwrite").parquet(path)
-            self._done.add(name)
-        return self._spark.read.schema(df.schema).parquet(path)
+        known = self._done.setdefault(name, [])
+        number = next((k for k, old in enumerate(known) if old.sameSemantics(df)), len(known))
+        if number == len(known):
+            df.write.parquet(self._path(name, number))
+            known.append(df)
+        return self._spark.read.schema(df.schema).parquet(self._path(name, number))
+
+    def drop(self) -> None:
+        """Delete all tables of this store; tables read from it can no longer be used."""
+        path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._root)
+        path.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).delete(
+            path, True)
+        self._done.clear()
 
 
 def keep_lazy(name: str, df: DataFrame) -> DataFrame:

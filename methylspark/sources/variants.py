@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from methylspark.operators.ranking import dense_row_number
@@ -11,8 +11,22 @@ BASES = ("A", "C", "G", "T")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with ``ord``, their order within and across input splits."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord"))
+    """Text lines with ``ord``, their number in the order of file paths and of lines in a file.
+
+    Spark deals input splits out by size, so its own row numbers follow no order of files. A split's
+    lines stay together, however: counting the lines of earlier splits makes the number exact.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"))
+    splits = lines.groupBy("_file", "_start").agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_file", "_start", (
+        F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
+    return lines.join(offsets, ["_file", "_start"]).select(
+        "value", (F.col("_id") + F.col("_offset")).alias("ord"))
 
 
 def _sample_value(keys: Column, values: Column, key: str) -> Column:

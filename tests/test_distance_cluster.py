@@ -139,7 +139,8 @@ def test_tree_matches_one_by_one_merging(spark, method):
             assert mine[b][0] == a and mine[b][1] == pytest.approx(h, abs=1e-6)
 
 
-@pytest.mark.parametrize("method,levels", [("upgma", None), ("upgma", 4), ("ward", None)])
+@pytest.mark.parametrize("method,levels", [("upgma", None), ("upgma", 4), ("upgma", 64),
+                                           ("ward", None), ("ward", 64)])
 def test_large_regions_get_the_same_tree(spark, method, levels):
     reads, pairs, _ = random_pairs(spark, 13, (9, 6, 3), levels)
     key = lambda r: (r.region_id, r.read_id)

@@ -1,3 +1,5 @@
+import random
+
 from methylspark.functions.placement import SITE_FIELDS  # noqa: F401 - import check
 from methylspark.operators.regions import make_regions, region_status
 from methylspark.sources import alignments, annotation, reference, sinks, variants
@@ -140,3 +142,40 @@ def test_sinks(spark, tmp_path):
         assert (tmp_path / fmt / "t" / "chrom=a").exists()
         reader = spark.read.option("header", True).format(fmt)
         assert reader.load(str(tmp_path / fmt / "t")).count() == 2
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    """Input splits are dealt out by size; numbers must follow files and lines all the same."""
+    from methylspark.sources import reference, variants
+    rng = random.Random(3)
+    genome = {"chrA": "".join(rng.choice("ACGT") for _ in range(1000)),
+              "chrB": "".join(rng.choice("ACGT") for _ in range(760))}
+    fasta, table = tmp_path / "fasta", tmp_path / "table"
+    fasta.mkdir()
+    table.mkdir()
+    for k, (name, seq) in enumerate(genome.items()):
+        lines = [seq[i:i + 50] for i in range(0, len(seq), 50)]
+        (fasta / f"{k}.fa").write_text("\n".join([f">{name} x", *lines]) + "\n")
+    sizes = {"a": 3, "b": 400, "c": 40}
+    for name, n in sizes.items():
+        (table / f"{name}.tsv").write_text("".join(f"{name}\t{i + 1}\tA\tC\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        tiles = reference.load_fasta_tiles(spark, str(fasta), tile=100, overlap=1).collect()
+        snvs = variants.load_snv_tsv(spark, str(table)).orderBy("snv_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, seq in genome.items():
+        mine = sorted((t.tile, t.core, t.seq) for t in tiles if t.chrom == name)
+        assert "".join(s[:n] for _, n, s in mine) == seq
+    assert [(r.chrom, r.pos) for r in snvs] == [(name, i + 1) for name, n in sizes.items()
+                                               for i in range(n)]
+
+
+def test_sample_is_spread_and_follows_the_seed(spark):
+    from methylspark.operators.regions import sample_snvs
+    snvs = spark.range(1000).withColumnRenamed("id", "snv_id")
+    one, two = ([r.snv_id for r in sample_snvs(snvs, 32, seed).collect()] for seed in (42, 43))
+    assert len(set(one)) == 32 and set(one) != set(two)
+    assert sorted(one) != list(range(min(one), min(one) + 32)) and max(one) > 500 > min(one)
