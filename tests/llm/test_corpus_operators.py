@@ -208,8 +208,9 @@ def test_pipeline(spark):
         "quality_rules", "minhash_near_dedup", "secret_scan", "mixture", "sentencepiece"]
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     good = corpus_pipeline.keep_good(spark, docs, SMALL)
-    measured = quality.measures(docs)
-    kept = quality.judge(measured, quality.references(measured)).filter("kept")
+    keep = Written(spark)
+    measured = keep(quality.measures(docs))
+    kept = keep(quality.judge(measured, quality.references(measured))).filter("kept")
     assert {r.doc_id for r in good.collect()} == {r.doc_id for r in kept.collect()}
     out = corpus_pipeline.run(spark, SMALL)
     rows = out.collect()

@@ -9,6 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from methylspark.llm import chat, html_text, quality, queries, secrets, sentencepiece_bpe
+from methylspark.llm.tables import Written
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t ", "a", "x " * 3000, "token: abcdef token=abc \"secret\" = 'zzzzzz9'",
@@ -69,8 +70,9 @@ def test_quality_counts(spark, odd):
 def test_quality_verdict(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
-    measured = quality.measures(docs)
-    judged = quality.judge(measured, quality.references(measured))
+    keep = Written(spark)
+    measured = keep(quality.measures(docs))
+    judged = keep(quality.judge(measured, quality.references(measured)))
     assert judged.filter("base_failed and kept").count() == 0
     good = judged.join(labels, "doc_id").filter("quality = 1 and not base_failed")
     assert good.filter("not kept").count() == 0 and good.count() > 50
@@ -78,7 +80,8 @@ def test_quality_verdict(spark):
         F.lit(-1).cast("long").alias("doc_id"), F.lit("en").alias("lang"),
         F.lit("QX*** ZRT### 9$$$ BBB%%% A&&& " * 3 + " ".join(
             f"W{k}### X{k * 7}$$$" for k in range(400))).alias("text"))
-    assert not quality.judge(quality.measures(junk), quality.references(measured)).first().kept
+    junk = keep(quality.measures(junk))
+    assert not quality.judge(junk, quality.references(measured)).first().kept
     kept = quality.keep_good(docs.withColumn("row_key", F.lit(1)))
     assert kept.columns == [*docs.columns, "row_key"]
     assert kept.count() == judged.filter("kept").count()
