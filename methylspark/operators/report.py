@@ -71,6 +71,50 @@ def matrix_csv_lines(reads_wide: DataFrame) -> DataFrame:
     return heads.unionByName(body)
 
 
+def reads_tsv_lines(reads: DataFrame, chroms: DataFrame) -> DataFrame:
+    """Text of each region's read table: a header (line_no 0), then one line per read."""
+    s = lambda c: F.col(c).cast("string")
+    body = reads.join(chroms, "chrom").select(
+        "region_id", (F.col("read_id") + 1).alias("line_no"), F.concat_ws(
+            "\t", s("read_id"), "qname", s("chr_id"), s("align_start"), s("align_end"), s("mapq"),
+            s("hp"), "alt_support", F.when(F.col("is_tumor"), "1").otherwise("0")).alias("line"))
+    # Fixed value: the column names of the file.
+    head = "read_id read_name chr_id start end mapq hp alt_support is_tumor".split()
+    return _under_headers(body, reads.filter("read_id = 0"), head)
+
+
+def cpg_sites_tsv_lines(index: DataFrame, regions: DataFrame, chroms: DataFrame) -> DataFrame:
+    """Text of each region's site table: a header (line_no 0), then one line per site."""
+    s = lambda c: F.col(c).cast("string")
+    body = index.join(chroms, "chrom").select(
+        "region_id", (F.col("cpg_id") + 1).alias("line_no"),
+        F.concat_ws("\t", s("cpg_id"), s("chr_id"), s("pos")).alias("line"))
+    # Fixed value: the column names of the file.
+    return _under_headers(body, regions, ["cpg_id", "chr_id", "position"])
+
+
+def distance_csv_lines(matrix: DataFrame) -> DataFrame:
+    """Text of each region's distance matrix: a header (line_no 0), then one line per read.
+
+    ``matrix`` has a row for both directions of every pair and for each read with itself.
+    """
+    rows = matrix.groupBy("region_id", F.col("read_i").alias("read_id")).agg(
+        F.array_sort(F.collect_list(F.struct("read_j", "dist"))).alias("d"))
+    cell = lambda e: F.when(e["dist"].isNull(), "NA").otherwise(
+        F.format_string("%.4f", F.floor(e["dist"] * 1e4 + 0.5) / F.lit(1e4)))
+    body = rows.select("region_id", (F.col("read_id") + 1).alias("line_no"), F.concat_ws(
+        ",", F.col("read_id").cast("string"), F.transform("d", cell)).alias("line"))
+    heads = rows.filter("read_id = 0").select("region_id", F.lit(0).alias("line_no"), F.concat_ws(
+        ",", F.lit("read_id"), F.transform("d", lambda e: e["read_j"].cast("string")))
+        .alias("line"))
+    return heads.unionByName(body)
+
+
+def _under_headers(body: DataFrame, regions: DataFrame, names: list[str]) -> DataFrame:
+    return regions.select("region_id", F.lit(0).alias("line_no"),
+                          F.lit("\t".join(names)).alias("line")).unionByName(body)
+
+
 def metadata_lines(regions: DataFrame, result: DataFrame) -> DataFrame:
     """The descriptive text of each region as numbered lines (timing left out)."""
     n, m = F.col("num_reads").cast("string"), F.col("num_cpgs").cast("string")

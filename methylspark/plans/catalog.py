@@ -125,8 +125,11 @@ def load_annotation(spark, sf_dir):
 
 @query
 def write_snv_tsv(spark, sf_dir):
-    return sinks.snv_export(star.snvs(spark, sf_dir)).withColumn(
-        "somatic_conf", r6(F.col("somatic_conf")))
+    run = run_of(spark, sf_dir)
+    path = run.store.path("snv_tsv")
+    sinks.write_snv_tsv(run.snvs, path, mode="overwrite")
+    back = spark.read.csv(path, sep="\t", header=True, schema=sinks.snv_export(run.snvs).schema)
+    return back.withColumn("somatic_conf", r6(F.col("somatic_conf")))
 
 
 @query
@@ -146,6 +149,26 @@ def matrix_csv_lines(spark, sf_dir):
     return report.matrix_csv_lines(matrix.region_matrix_wide(run.reads, run.matrix))
 
 
+@query
+def reads_tsv_lines(spark, sf_dir):
+    run = run_of(spark, sf_dir)
+    chroms = variants.chrom_dictionary(star.variant_records(spark, sf_dir))
+    return report.reads_tsv_lines(run.reads, chroms)
+
+
+@query
+def cpg_sites_tsv_lines(spark, sf_dir):
+    run = run_of(spark, sf_dir)
+    chroms = variants.chrom_dictionary(star.variant_records(spark, sf_dir))
+    return report.cpg_sites_tsv_lines(matrix.cpg_index(run.cells), run.live_regions, chroms)
+
+
+@query
+def distance_csv_lines(spark, sf_dir):
+    run = run_of(spark, sf_dir)
+    return report.distance_csv_lines(distance.distance_matrix(run.reads, run.distances))
+
+
 @query
 def metadata_lines(spark, sf_dir):
     run = run_of(spark, sf_dir)
@@ -548,6 +571,25 @@ def fdr_bh(spark, sf_dir):
         r6(F.col(name)).alias(name) for name in ("p_value", "q_value")))
 
 
+@query
+def cluster_tests(spark, sf_dir):
+    """From distances to tree, cut and association: tests of the three clusters of each region."""
+    run = run_of(spark, sf_dir)
+    stats = cluster.cluster_stats(cluster.cut_k(run.leaves, 3), run.reads)
+    return assoc.fdr_bh(assoc.fisher_exact(assoc.contingency(stats))).withColumns(
+        {name: r6(F.col(name)) for name in ("p_value", "log10_p", "q_value")})
+
+
+@query
+def cluster_agreement(spark, sf_dir):
+    """Agreement of the three clusters of each region with haplotypes."""
+    run = run_of(spark, sf_dir)
+    labels = cluster.cut_k(run.leaves, 3)
+    return assoc.adjusted_rand(labels, run.reads, "hp").join(
+        assoc.nmi(labels, run.reads, "hp"), "region_id").select(
+        "region_id", r6(F.col("ari")).alias("ari"), r6(F.col("nmi")).alias("nmi"))
+
+
 @query
 def adjusted_rand(spark, sf_dir):
     run = run_of(spark, sf_dir)

@@ -279,6 +279,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "both_ways": (("filled",), """
         SELECT region_id, read_i, read_j, dist FROM filled
         UNION ALL SELECT region_id, read_j, read_i, dist FROM filled"""),
+    "whole_matrix": (("both_ways", "pairs"), """
+        SELECT region_id, read_i, read_j, dist FROM both_ways
+        UNION ALL SELECT region_id, read_id, read_id, 0.0 FROM pairs"""),
     "labels": (("pairs",), """
         SELECT region_id, read_id, hp + 1 AS cluster_id FROM pairs"""),
     "labelled": (("labels", "rr"), """
@@ -393,6 +396,17 @@ for _method, _dist in (("upgma", "dist"), ("ward", "dist * dist")):
         JOIN (SELECT region_id, arg_max(places, step) AS places FROM state_{_method}
               GROUP BY region_id) e ON e.region_id = p.region_id
         LEFT JOIN state_{_method} m ON m.region_id = p.region_id AND m.b = p.read_id""")
+#: The same tests as of the fixed labels, of the clusters that ``cut_k`` gives.
+CTES["k_stats"] = (("cuts", "rr"), CTES["stats"][1].replace("FROM labelled", """FROM (
+        SELECT c.region_id, c.cluster_id, hp, alt_support, is_tumor FROM cuts c
+        JOIN rr r ON c.region_id = r.region_id AND c.read_id = r.read_id WHERE c.k = 3)"""))
+CTES["k_tables"] = (("k_stats",), CTES["tables"][1].replace("stats", "k_stats"))
+CTES["k_tests"] = (("k_tables",), CTES["tests"][1].replace("tables", "k_tables"))
+CTES["k_bh"] = (("k_tests",), CTES["bh"][1].replace("FROM tests", "FROM k_tests"))
+CTES["k_crossed"] = (("cuts", "rr"), """
+    SELECT c.region_id, c.cluster_id, hp AS level, count(*) AS n FROM cuts c
+    JOIN rr r ON c.region_id = r.region_id AND c.read_id = r.read_id
+    WHERE c.k = 3 AND hp IN (1, 2) GROUP BY ALL""")
 #: Leaves with, by lateness, the merges that a cut undoes first.
 CTES["late"] = (("leaves_upgma",), """
     SELECT *, CASE WHEN height IS NOT NULL THEN row_number() OVER (

@@ -55,6 +55,38 @@ def _chi_tail(x: str, k: str) -> str:
             f"+ (i + {k} / 2.0) * ln({h}) - lgamma(i + {k} / 2.0 + 1))))))")
 
 
+def _rand_index(counts: str) -> str:
+    """Adjusted Rand index from a table of cluster x level counts."""
+    return f"""
+    SELECT region_id, {r6('''(i - e) / nullif((r + c) / 2 - e, 0)''')} AS ari
+    FROM (SELECT *, r * c / nullif(t * (t - 1) / 2, 0) AS e
+          FROM (SELECT region_id, sum(n * (n - 1) / 2)::DOUBLE AS i, sum(n)::DOUBLE AS t
+                FROM {counts} GROUP BY 1)
+          JOIN (SELECT region_id, sum(n * (n - 1) / 2)::DOUBLE AS r FROM (
+                SELECT region_id, cluster_id, sum(n) AS n FROM {counts} GROUP BY ALL)
+                GROUP BY 1) USING (region_id)
+          JOIN (SELECT region_id, sum(n * (n - 1) / 2)::DOUBLE AS c FROM (
+                SELECT region_id, level, sum(n) AS n FROM {counts} GROUP BY ALL)
+                GROUP BY 1) USING (region_id))"""
+
+
+def _mutual(counts: str) -> str:
+    """Normalised mutual information from a table of cluster x level counts."""
+    return f"""
+    SELECT region_id, {r6('(hc + hl - h) / nullif((hc + hl) / 2, 0)')} AS nmi
+    FROM (SELECT region_id, -sum(p * ln(p)) AS h FROM (
+            SELECT region_id, n::DOUBLE / sum(n) OVER (PARTITION BY region_id) AS p
+            FROM {counts}) GROUP BY 1)
+    JOIN (SELECT region_id, -sum(p * ln(p)) AS hc FROM (
+            SELECT region_id, n::DOUBLE / sum(n) OVER (PARTITION BY region_id) AS p
+            FROM (SELECT region_id, cluster_id, sum(n) AS n FROM {counts} GROUP BY ALL))
+          GROUP BY 1) USING (region_id)
+    JOIN (SELECT region_id, -sum(p * ln(p)) AS hl FROM (
+            SELECT region_id, n::DOUBLE / sum(n) OVER (PARTITION BY region_id) AS p
+            FROM (SELECT region_id, level, sum(n) AS n FROM {counts} GROUP BY ALL))
+          GROUP BY 1) USING (region_id)"""
+
+
 def statements() -> dict[str, str]:
     """SQL text per query name."""
     out: dict[str, str] = {}
@@ -88,6 +120,32 @@ def statements() -> dict[str, str]:
         {r6('somatic_conf')} AS somatic_conf FROM snvs""", "snvs")
     add("write_region_tables", """SELECT chrom, count(*) AS n_cells,
         CAST(sum(ml) AS BIGINT) AS sum_ml FROM cells GROUP BY chrom""", "cells")
+    chroms = """(SELECT row_number() OVER (ORDER BY min(ord)) - 1 AS chr_id, chrom
+        FROM records GROUP BY chrom)"""
+    add("reads_tsv_lines", f"""
+        SELECT region_id, 0 AS line_no, array_to_string(['read_id', 'read_name', 'chr_id', 'start',
+            'end', 'mapq', 'hp', 'alt_support', 'is_tumor'], chr(9)) AS line
+        FROM rr WHERE read_id = 0
+        UNION ALL
+        SELECT region_id, read_id + 1, concat_ws(chr(9), read_id, qname, chr_id, align_start,
+               align_end, mapq, hp, alt_support, CASE WHEN is_tumor THEN 1 ELSE 0 END)
+        FROM rr JOIN {chroms} USING (chrom)""", "rr", "records")
+    add("cpg_sites_tsv_lines", f"""
+        SELECT region_id, 0 AS line_no,
+               array_to_string(['cpg_id', 'chr_id', 'position'], chr(9)) AS line
+        FROM status WHERE success
+        UNION ALL
+        SELECT region_id, cpg_id + 1, concat_ws(chr(9), cpg_id, chr_id, pos)
+        FROM (SELECT DISTINCT region_id, chrom, pos, cpg_id FROM matrix)
+        JOIN {chroms} USING (chrom)""", "status", "matrix", "records")
+    add("distance_csv_lines", """
+        SELECT region_id, 0 AS line_no,
+               'read_id,' || string_agg(CAST(read_j AS VARCHAR), ',' ORDER BY read_j) AS line
+        FROM whole_matrix WHERE read_i = 0 GROUP BY region_id
+        UNION ALL
+        SELECT region_id, read_i + 1, read_i || ',' || string_agg(
+               printf('%.4f', floor(dist * 1e4 + 0.5) / 1e4), ',' ORDER BY read_j)
+        FROM whole_matrix GROUP BY region_id, read_i""", "whole_matrix")
     add("matrix_csv_lines", """
         SELECT region_id, 0 AS line_no, 'read_id' || coalesce(',' || string_agg(
                  CAST(pos AS VARCHAR), ',' ORDER BY pos), '') AS line
@@ -367,30 +425,13 @@ def statements() -> dict[str, str]:
     add("fdr_bh", f"""SELECT region_id, cluster_id, factor, {r6('p_value')} AS p_value,
         {r6('q_value')} AS q_value
         FROM bh""", "bh")
-    add("adjusted_rand", f"""
-        SELECT region_id, {r6('''(i - e) / nullif((r + c) / 2 - e, 0)''')} AS ari
-        FROM (SELECT *, r * c / nullif(t * (t - 1) / 2, 0) AS e
-              FROM (SELECT region_id, sum(n * (n - 1) / 2)::DOUBLE AS i, sum(n)::DOUBLE AS t
-                    FROM crossed GROUP BY 1)
-              JOIN (SELECT region_id, sum(n * (n - 1) / 2)::DOUBLE AS r FROM (
-                    SELECT region_id, cluster_id, sum(n) AS n FROM crossed GROUP BY ALL)
-                    GROUP BY 1) USING (region_id)
-              JOIN (SELECT region_id, sum(n * (n - 1) / 2)::DOUBLE AS c FROM (
-                    SELECT region_id, level, sum(n) AS n FROM crossed GROUP BY ALL)
-                    GROUP BY 1) USING (region_id))""", "crossed")
-    add("nmi", f"""
-        SELECT region_id, {r6('(hc + hl - h) / nullif((hc + hl) / 2, 0)')} AS nmi
-        FROM (SELECT region_id, -sum(p * ln(p)) AS h FROM (
-                SELECT region_id, n::DOUBLE / sum(n) OVER (PARTITION BY region_id) AS p
-                FROM crossed) GROUP BY 1)
-        JOIN (SELECT region_id, -sum(p * ln(p)) AS hc FROM (
-                SELECT region_id, n::DOUBLE / sum(n) OVER (PARTITION BY region_id) AS p
-                FROM (SELECT region_id, cluster_id, sum(n) AS n FROM crossed GROUP BY ALL))
-              GROUP BY 1) USING (region_id)
-        JOIN (SELECT region_id, -sum(p * ln(p)) AS hl FROM (
-                SELECT region_id, n::DOUBLE / sum(n) OVER (PARTITION BY region_id) AS p
-                FROM (SELECT region_id, level, sum(n) AS n FROM crossed GROUP BY ALL))
-              GROUP BY 1) USING (region_id)""", "crossed")
+    add("cluster_tests", f"""SELECT region_id, cluster_id, factor, a, b, c, d,
+        {r6('p_value')} AS p_value, {r6('log10_p')} AS log10_p, {r6('q_value')} AS q_value
+        FROM k_bh""", "k_bh")
+    add("adjusted_rand", _rand_index("crossed"), "crossed")
+    add("nmi", _mutual("crossed"), "crossed")
+    add("cluster_agreement", f"""SELECT region_id, ari, nmi FROM ({_rand_index("k_crossed")})
+        JOIN ({_mutual("k_crossed")}) USING (region_id)""", "k_crossed")
     add("label_distance_corr", f"""
         SELECT region_id, CAST(n AS BIGINT) AS n_pairs, {r6('''
             CASE WHEN (n * sxx - sx * sx) * (n * sy - sy * sy) > 0 THEN

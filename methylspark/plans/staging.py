@@ -26,8 +26,12 @@ class Store:
         self._root = f"{shared_folder(spark)}/methylspark/{scope}-{uuid.uuid4().hex[:12]}"
         self._done: dict[str, list[DataFrame]] = {}
 
+    def path(self, name: str) -> str:
+        """A place of that name in this store's folder, for writers of other formats."""
+        return f"{self._root}/{name}"
+
     def _path(self, name: str, number: int) -> str:
-        return f"{self._root}/{name}-{number}"
+        return self.path(f"{name}-{number}")
 
     def __call__(self, name: str, df: DataFrame) -> DataFrame:
         known = self._done.setdefault(name, [])
