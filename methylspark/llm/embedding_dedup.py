@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from methylspark.llm.components import components
-from methylspark.llm.tables import Written
+from methylspark.llm.tables import Written, maybe_small
 
 TREES, LEAF, BLOCK, SPILL, MAX_DEPTH = 8, 512, 1024, 0.06, 40
 SAMPLE, OWN = 20_000, 200
@@ -78,9 +78,10 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column) -> np.ndarray:
-    """A list column whose lists have one length."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(
+    """Vectors of one length, each scaled by a power of two so that no square over- or underflows."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(
         len(column), -1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None]) if len(rows) else rows
 
 
 def route_all(reps: DataFrame, forests: dict[int, Forest]) -> DataFrame:
@@ -115,8 +116,9 @@ def route_all(reps: DataFrame, forests: dict[int, Forest]) -> DataFrame:
                     [*spread.columns, pa.array(tree, pa.int32()), pa.array(leaf, pa.int64()),
                      *bits], ["rep", "label", "vec", "copies", "tree", "leaf", "side", "both"])
 
+    vec = reps.schema["vec"].dataType.simpleString()
     return reps.select("rep", "label", "vec", "copies", "size").mapInArrow(
-        run, "rep long, label long, vec array<double>, copies long, tree int, leaf long, "
+        run, f"rep long, label long, vec {vec}, copies long, tree int, leaf long, "
              "side array<long>, both array<long>")
 
 
@@ -147,7 +149,7 @@ def _links(vectors, copies, block, side, both, tree, leaf, threshold):
     return counted @ copies, root
 
 
-def compare(routed: DataFrame, threshold: float) -> DataFrame:
+def compare(routed: DataFrame, threshold: float, keep: Written) -> DataFrame:
     """``(rep, n, root)`` for every vector that a unit of ``routed`` links."""
     keys = ["label", "length", "tree", "leaf", "i", "j"]
 
@@ -188,9 +190,13 @@ def compare(routed: DataFrame, threshold: float) -> DataFrame:
                                              ["rep", "n", "root"])
 
     sized = routed.withColumn("length", F.size("vec"))
-    leaves = sized.groupBy(*keys[:4]).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    # only leaves of several blocks are looked up; vectors are shuffled once, to their units
+    wide = keep(sized.groupBy(*keys[:4]).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+                .filter("blocks > 1"))
+    several = sized.join(maybe_small(wide), keys[:4], "left").withColumn(
+        "blocks", F.coalesce("blocks", F.lit(1).cast("long")))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    units = sized.join(leaves, keys[:4]).withColumn("mine", mine).withColumn(
+    units = several.withColumn("mine", mine).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn(
         "i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
     return units.select(*keys, "rep", "copies", "mine", "vec", "side", "both").repartition(
@@ -201,8 +207,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93,
                     keep: Written | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
     keep = keep or Written(embeddings.sparkSession)
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("label").cast("long"),
-                             F.col("embedding").cast("array<double>").alias("vec"))
+    # single precision travels as such and is compared in double precision
+    single = embeddings.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = embeddings.select(
+        F.col("vec_id").cast("long"), F.col("label").cast("long"),
+        F.col("embedding").cast("array<float>" if single else "array<double>").alias("vec"))
     finite = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x)
                                  & (F.abs(x) < float("inf"))), F.lit(False))
     fit = finite & F.exists("vec", lambda x: x != 0) & F.col("label").isNotNull() & F.col(
@@ -215,8 +224,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93,
     sizes = classes.groupBy("label", F.size("vec").alias("length")).agg(F.count("*").alias("size"))
     reps = keep(classes.withColumn("length", F.size("vec")).join(sizes, ["label", "length"]))
     sample = reps.select("label", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
-    found = compare(route_all(reps, _forests(sample)), threshold)
-    found = keep(found)
+    found = keep(compare(route_all(reps, _forests(sample)), threshold, keep))
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), keep)
     told = classes.join(counted, "rep", "left").join(

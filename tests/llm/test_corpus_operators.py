@@ -94,12 +94,12 @@ def test_embeddings(spark, monkeypatch):
     rows = vectors(np.random.default_rng(3), 400)
     odd = [(900, None, 1), (901, [], 1), (902, [0.0] * 16, 1), (903, [float("nan")] * 16, 1),
            (904, rows[0][1], None), (905, [float("inf")] + [1.0] * 15, 1), (906, rows[0][1][:8], 1),
-           (907, [None] + rows[0][1][1:], 1)]
+           (907, [None] + rows[0][1][1:], 1), (908, [1e-30] * 16, 77), (909, [1e30] * 16, 77)]
     df = spark.createDataFrame([(*r, 1) for r in rows + odd],
                                "vec_id long, embedding array<float>, label int, rep int")
     links, count = [], dict.fromkeys([r[0] for r in rows + odd], 0)
-    for a in rows:
-        for b in rows:
+    for a in rows + odd[-2:]:
+        for b in rows + odd[-2:]:
             if a[0] < b[0] and a[2] == b[2]:
                 u, v = np.array(a[1]), np.array(b[1])
                 if u @ v >= 0.93 * np.sqrt(u @ u) * np.sqrt(v @ v):
