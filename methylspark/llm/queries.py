@@ -153,7 +153,151 @@ def op10_sentencepiece(spark, sf_dir):
 
 
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
+
+
+def _components_sql(nodes: str, links: str) -> str:
+    """``reach(id, other)`` over both directions of ``links(a, b)``, each node with itself."""
+    return f"""
+        ways AS (SELECT a, b FROM {links} UNION SELECT b, a FROM {links}),
+        reach AS (SELECT id, id AS other FROM {nodes}
+                  UNION SELECT r.id, w.b FROM reach r JOIN ways w ON w.a = r.other)"""
+
+
+def _op4_sql() -> str:
+    return f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+        fit AS (SELECT * FROM v WHERE label IS NOT NULL AND len(vec) > 0
+                AND len(list_filter(vec, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+        links AS (SELECT x.id AS a, y.id AS b FROM fit x JOIN fit y
+                  ON x.label = y.label AND len(x.vec) = len(y.vec) AND x.id <> y.id
+                  WHERE list_cosine_similarity(x.vec, y.vec) >= 0.93),
+        {_components_sql("v", "links")}
+        SELECT v.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = v.id) AS n_links,
+               min(other) AS component_id, v.id = min(other) AS kept
+        FROM v JOIN reach r ON r.id = v.id GROUP BY v.id"""
+
+
+def _op7_sql() -> str:
+    def escaped(column: str) -> str:
+        out = f"replace({column}, '{chat.ESC}', '{chat.ESC}0')"
+        for k, mark in enumerate(chat.CONTROL, 1):
+            out = f"replace({out}, '{mark}', '{chat.ESC}{k}')"
+        return out
+
+    around = len(chat.START) + len(chat.TEXT) + len(chat.END)
+    return f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+            FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length({escaped('text')}) AS n, length({escaped('role')}) AS r,
+                     lag(role) OVER w IS NOT DISTINCT FROM role AS merged, row_number() OVER w AS k
+              FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k))
+                   AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT)
+                   AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), ''))
+                   AS loss_sha256,
+               CAST(sum(n + CASE WHEN merged THEN {len(chat.TURN)} ELSE r + {around} END) AS BIGINT)
+                   AS formatted_chars
+        FROM e GROUP BY conv_id"""
+
+
+def _op8_sql() -> str:
+    classes = ", ".join(
+        f"length(regexp_replace(text, '[^{c}]+', '', 'g'))" for c in (
+            "a-z", "A-Z", "0-9", r" \t\n\x0B\f\r", r".,;:!?''\"()-", "#*$%&|<>",
+            r"\x{0080}-\x{FFFF}"))
+    listed = " ".join(
+        f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in members)}]"
+        for lang, members in quality.COMMON.items())
+    return rf"""
+        WITH d AS (
+            SELECT doc_id, lang, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '{WORDS_SQL}') AS w FROM documents),
+        windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x
+                    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n FROM (
+                SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows)
+            CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY doc_id),
+        lines AS (
+            SELECT doc_id, count(*) - count(DISTINCT x) AS n
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)
+            WHERE regexp_matches(x, '{WORDS_SQL}') GROUP BY doc_id),
+        base AS (
+            SELECT d.doc_id, lang, text, w, length(text) AS n_chars, len(w) AS n_words,
+                   length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+            FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+        judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR
+                   100 * n_repeat_words > {quality.MAX_REPEAT_PCT} * n_words AS base_failed
+                   FROM base),
+        counts AS (
+            SELECT doc_id, lang, n_chars, base_failed, list_append(c, n_chars - list_sum(c)) AS c, v
+            FROM (SELECT *, [{classes}] AS c, list_transform(CASE lang {listed} END, lambda k:
+                      (length(s) - length(replace(s, ' ' || k || ' ', ''))) / (length(k) + 2)) AS v
+                  FROM (SELECT *, ' ' || lower(array_to_string(w, '  ')) || ' ' AS s
+                        FROM judged))),
+        bins AS (
+            SELECT doc_id, lang, n_chars, base_failed, kind, i, x / sum(x) OVER (
+                       PARTITION BY doc_id, kind) AS p, coalesce(list_sum(v), 0) AS n_common
+            FROM (SELECT *, 'c' AS kind, unnest(range(len(c))) AS i, unnest(c)::DOUBLE AS x
+                  FROM counts
+                  UNION ALL SELECT *, 'w', unnest(range(len(v))), unnest(v)::DOUBLE FROM counts)),
+        means AS (SELECT lang, kind, i, avg(p) AS q FROM bins
+                  WHERE NOT base_failed AND lang IN ('{"', '".join(quality.COMMON)}')
+                    AND n_chars >= {quality.MIN_CLASS_CHARS}
+                    AND n_common >= {quality.MIN_COMMON_WORDS} GROUP BY ALL),
+        far AS (
+            SELECT doc_id, kind, sqrt(greatest(0.0, sum(
+                       CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END
+                       + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js
+            FROM bins JOIN means USING (lang, kind, i)
+            WHERE CASE kind WHEN 'c' THEN n_chars >= {quality.MIN_CLASS_CHARS}
+                  ELSE n_common >= {quality.MIN_COMMON_WORDS} END
+            GROUP BY doc_id, kind)
+        SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+               CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+               CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT base_failed
+               AND coalesce(c.js, 0) <= CASE WHEN n_chars < {quality.LONG_CHARS}
+                   THEN {quality.MAX_CLASS_DISTANCE} ELSE {quality.MAX_CLASS_DISTANCE_LONG} END
+               AND coalesce(w.js, 0) <= {quality.MAX_WORD_DISTANCE} AS kept
+        FROM judged j LEFT JOIN far c ON c.doc_id = j.doc_id AND c.kind = 'c'
+        LEFT JOIN far w ON w.doc_id = j.doc_id AND w.kind = 'w'"""
+
+
+def _op9_sql() -> str:
+    return rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS_SQL}') AS w
+            FROM documents),
+        s AS (SELECT DISTINCT id, x FROM (
+            SELECT id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(
+                range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS x FROM w)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        links AS (
+            SELECT a, b FROM (SELECT p.id AS a, q.id AS b, count(*) AS common
+                              FROM s p JOIN s q ON p.x = q.x AND p.id < q.id GROUP BY ALL)
+            JOIN n p ON p.id = a JOIN n q ON q.id = b
+            WHERE 100 * common >= 80 * (p.n + q.n - common)),
+        {_components_sql("w", "links")}
+        SELECT w.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id,
+               w.id = min(other) AS kept
+        FROM w LEFT JOIN n USING (id) JOIN reach r ON r.id = w.id GROUP BY w.id"""
+
+
 ORACLE: dict[str, str] = {
+    "op4_embeddings": _op4_sql(), "op7_chat": _op7_sql(), "op8_quality": _op8_sql(),
+    "op9_minhash": _op9_sql(),
     "op6_rollup": rf"""
         WITH c AS (
             SELECT d.source, d.lang,
