@@ -2,10 +2,13 @@
 
 Only vectors with equal labels and equal length are compared. Equal vectors count as one with many
 copies. Each tree splits its label's vectors again and again by projection on a random direction
-(one per tree and level) at the median; vectors between the ``SPILL`` quantiles around it go to both
-sides. Medians come from at most ``SAMPLE`` vectors in seeded order (per label with ``OWN`` sampled
-vectors or more, else of all); every vector is routed. The depth follows from the label's size, so
-leaves stay near ``LEAF`` vectors at any size.
+(one per tree and level); vectors within a margin of the cut go to both sides. The margin is
+absolute (``SPILL`` deviations of the projected difference of two unit vectors at the threshold), so
+a pair is parted as rarely in a dense group as in a loose one. Every label of more than ``LEAF``
+vectors has cuts of its own, fitted to about ``SAMPLE`` of its vectors by seeded choice: a level's
+cut is the one that leaves the least work, and a level that saves none is not split. So a group too
+tight to be cut stays whole, and its leaf is compared exactly, while loose vectors are split until
+leaves come near ``LEAF``. Every vector is routed.
 
 Vectors of a leaf are compared in double precision, in pairs of blocks of at most ``BLOCK``; a unit
 of work returns link counts and a spanning forest, never the pairs. A pair that meets in several
@@ -30,37 +33,63 @@ from pyspark.sql import functions as F
 from methylspark.llm.components import components
 from methylspark.llm.tables import Written, maybe_small
 
-TREES, LEAF, BLOCK, SPILL, MAX_DEPTH = 8, 512, 1024, 0.06, 40
-SAMPLE, OWN = 20_000, 200
-
-
-class Forest:
-    """Directions and quantiles; routes vectors of one length."""
-
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, seed: int = 5) -> None:
-        self.length = vectors.shape[1]
-        rng = np.random.default_rng(seed)
-        self.directions = rng.normal(size=(self.length, TREES * MAX_DEPTH))
-        shadow = vectors @ self.directions
-        levels = [0.5 - SPILL, 0.5, 0.5 + SPILL]
-        self.common = np.quantile(shadow, levels, axis=0)
-        names, counts = np.unique(labels, return_counts=True)
-        self.own = {name: np.quantile(shadow[labels == name], levels, axis=0)
-                    for name, n in zip(names.tolist(), counts.tolist(), strict=True) if n >= OWN}
-
-    def route(self, unit: np.ndarray, label, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sides and spilled levels of unit vectors, as bits, one column per tree."""
-        low, middle, high = self.own.get(label, self.common)
-        shadow = unit @ self.directions
-        power = 1 << np.arange(depth, dtype=np.int64)
-        each = (len(unit), TREES, MAX_DEPTH)
-        side = (shadow > middle).reshape(each)[:, :, :depth] @ power
-        both = ((shadow > low) & (shadow < high)).reshape(each)[:, :, :depth] @ power
-        return side.astype(np.int64), both.astype(np.int64)
-
-
-def depth_of(n: int) -> int:
-    return min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / LEAF))))
+TREES, LEAF, BLOCK, SPILL, MAX_DEPTH = 4, 512, 1024, 0.67, 40
+SAMPLE, QUANTILES = 2_000, np.linspace(0.1, 0.9, 17)
+
+
+def directions(length: int, seed: int = 5) -> np.ndarray:
+    """A direction per tree and level, for vectors of one length."""
+    return np.random.default_rng(seed).normal(size=(length, TREES * MAX_DEPTH))
+
+
+def margin(threshold: float) -> float:
+    """How far from a cut a unit vector goes to both sides."""
+    return SPILL * math.sqrt(max(2 - 2 * threshold, 0))
+
+
+def fit(unit: np.ndarray, size: int, spill: float) -> np.ndarray:
+    """Cuts by tree and level for a label of ``size`` vectors of which ``unit`` are a sample.
+
+    A level that does not split has no number. Without levels one leaf holds all.
+    """
+    shadow = unit @ directions(unit.shape[1])
+    scale = size / len(unit)
+
+    def work(counts):  # compared pairs, and what rows cost besides
+        return scale * scale * (counts * (counts - 1)).sum() + 2 * LEAF * scale * counts.sum()
+
+    cuts = np.full((TREES, MAX_DEPTH), np.nan)
+    for tree in range(TREES):
+        row, leaf, idle = np.arange(len(unit)), np.zeros(len(unit), np.int64), 0
+        least = work(np.array([len(unit)]))
+        for level in range(MAX_DEPTH):
+            at = shadow[:, tree * MAX_DEPTH + level]
+            here, n = at[row], leaf.max() + 1
+            tried = np.unique(np.quantile(at, QUANTILES))
+            costs = [work(np.bincount(leaf[here <= t + spill], minlength=n))
+                     + work(np.bincount(leaf[here >= t - spill], minlength=n)) for t in tried]
+            best = int(np.argmin(costs))
+            idle += 1
+            if costs[best] < 0.97 * least:
+                cuts[tree, level], least, idle = tried[best], costs[best], 0
+                sides = [here <= tried[best] + spill, here >= tried[best] - spill]
+                row = np.concatenate([row[x] for x in sides])
+                leaf = np.concatenate([leaf[x] * 2 + k for k, x in enumerate(sides)])
+                leaf = np.unique(leaf, return_inverse=True)[1]
+            if idle == 6:
+                break
+        if np.isnan(cuts[tree]).all():
+            return cuts[:, :0]
+    return cuts[:, :np.flatnonzero(~np.isnan(cuts).all(axis=0)).max() + 1]
+
+
+def route(unit: np.ndarray, cuts: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sides and spilled levels of unit vectors, as bits, one column per tree."""
+    depth = cuts.shape[1]
+    shadow = (unit @ directions(unit.shape[1])).reshape(len(unit), TREES, MAX_DEPTH)[:, :, :depth]
+    power = 1 << np.arange(depth, dtype=np.int64)
+    return ((shadow > cuts) @ power).astype(np.int64), (
+        (np.abs(shadow - cuts) <= spill) @ power).astype(np.int64)
 
 
 def _leaves(side: int, both: int) -> list[int]:
@@ -84,26 +113,37 @@ def _matrix(column) -> np.ndarray:
     return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None]) if len(rows) else rows
 
 
-def route_all(reps: DataFrame, forests: dict[int, Forest]) -> DataFrame:
+def fit_all(reps: DataFrame, spill: float) -> DataFrame:
+    """``(label, length, cuts)`` of every label of more than ``LEAF`` vectors of one length."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep").combine_chunks()
+        cuts = fit(_unit(_matrix(table.column("vec").chunk(0))),
+                   table.column("size")[0].as_py(), spill)
+        return pa.table({"label": table.column("label")[:1], "length": table.column("length")[:1],
+                         "cuts": pa.array([cuts.ravel()], pa.list_(pa.float64()))})
+
+    chosen = F.pmod(F.xxhash64("rep", F.lit(17)), F.col("size")) < SAMPLE
+    return reps.filter((F.col("size") > LEAF) & chosen).groupBy("label", "length").applyInArrow(
+        run, "label long, length int, cuts array<double>")
+
+
+def route_all(reps: DataFrame, spill: float) -> DataFrame:
     """``reps`` with the bits of every tree, and one row per tree and leaf."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy()
             length = np.array([len(x) for x in batch.column(2)])
-            size = batch.column(4).to_numpy()
-            for key in sorted(set(zip(label.tolist(), length.tolist(), size.tolist(),
-                                      strict=True))):
-                here = np.flatnonzero((label == key[0]) & (length == key[1]) & (size == key[2]))
+            for key in sorted(set(zip(label.tolist(), length.tolist(), strict=True))):
+                here = np.flatnonzero((label == key[0]) & (length == key[1]))
                 part = batch.take(pa.array(here))
-                forest = forests.get(key[1])
-                depth = depth_of(key[2]) if forest else 0
-                if forest:
-                    side, both = forest.route(_unit(_matrix(part.column(2))), key[0], depth)
-                else:  # a length too rare for the sample: one leaf
+                cuts = np.array(part.column(4)[0].as_py() or []).reshape(TREES, -1)
+                if cuts.size:
+                    side, both = route(_unit(_matrix(part.column(2))), cuts, spill)
+                else:  # one leaf
                     side = both = np.zeros((len(here), TREES), np.int64)
                 rows, tree, leaf = [], [], []
                 for k in range(len(here)):
-                    for t in range(TREES if depth else 1):
+                    for t in range(TREES if cuts.size else 1):
                         for x in _leaves(int(side[k, t]), int(both[k, t])):
                             rows.append(k)
                             tree.append(t)
@@ -117,7 +157,7 @@ def route_all(reps: DataFrame, forests: dict[int, Forest]) -> DataFrame:
                      *bits], ["rep", "label", "vec", "copies", "tree", "leaf", "side", "both"])
 
     vec = reps.schema["vec"].dataType.simpleString()
-    return reps.select("rep", "label", "vec", "copies", "size").mapInArrow(
+    return reps.select("rep", "label", "vec", "copies", "cuts").mapInArrow(
         run, f"rep long, label long, vec {vec}, copies long, tree int, leaf long, "
              "side array<long>, both array<long>")
 
@@ -223,8 +263,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93,
     classes = keep(classes)
     sizes = classes.groupBy("label", F.size("vec").alias("length")).agg(F.count("*").alias("size"))
     reps = keep(classes.withColumn("length", F.size("vec")).join(sizes, ["label", "length"]))
-    sample = reps.select("label", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toArrow()
-    found = keep(compare(route_all(reps, _forests(sample)), threshold, keep))
+    spill = margin(threshold)
+    cuts = keep(fit_all(reps, spill))
+    cut = reps.join(maybe_small(cuts), ["label", "length"], "left")
+    found = keep(compare(route_all(cut, spill), threshold, keep))
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), keep)
     told = classes.join(counted, "rep", "left").join(
@@ -236,14 +278,3 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.93,
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(
         F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def _forests(sample: pa.Table) -> dict[int, Forest]:
-    """A forest for every length that the sample has."""
-    out = {}
-    length = np.array([len(x) for x in sample.column("vec")], np.int64)
-    for n in np.unique(length).tolist():
-        part = sample.take(pa.array(np.flatnonzero(length == n))).combine_chunks()
-        out[n] = Forest(_unit(_matrix(part.column("vec").combine_chunks())),
-                        part.column("label").to_numpy())
-    return out

@@ -116,6 +116,23 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [1.0, 0.6])
+def test_embeddings_of_a_large_tight_group(spark, share):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=64)
+    copies = centre / np.linalg.norm(centre) + rng.normal(size=(int(6000 * share), 64)) * 0.0255
+    rows = np.concatenate([copies, rng.normal(size=(6000 - len(copies), 64))]).astype(np.float32)
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(rows.tolist())],
+                               "vec_id long, embedding array<float>, label int")
+    unit = rows.astype(float) / np.linalg.norm(rows.astype(float), axis=1)[:, None]
+    count = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    out = embedding_dedup.near_duplicates(df.repartition(4)).collect()
+    assert all(r.n_links <= count[r.vec_id] for r in out)
+    assert count.sum() > 0.9 * len(copies) ** 2
+    assert sum(r.n_links for r in out) >= 0.999 * count.sum()
+    assert sum(r.kept for r in out) == 1 + len(rows) - len(copies)
+
+
 def test_targets():
     sizes = {"a": 10, "b": 1000, "c": 1000, "d": 0}
     got = mixing.targets(sizes, {"a": 1, "b": 2, "c": 3, "d": 1})
