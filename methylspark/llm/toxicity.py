@@ -9,8 +9,11 @@ evidence above ``FLOOR`` per word, so that a few strong words in a long text sti
 regression turns them into the score.
 
 Counts come from labelled rows with crc32(doc_id) mod 5 in 1..3; the regression is fitted on at most
-``MAX_FIT`` rows with remainder 4; remainder 0 is held out. Counts are kept in ``SLOTS`` places per
-order, so that what is broadcast has a fixed bound however large the corpus.
+``MAX_FIT`` rows with remainder 4; remainder 0 is held out. Counts are kept by exact n-gram in tables
+that grow with the corpus. A byte's evidence depends only on the n-gram that ends there, so it is
+computed once for every distinct n-gram of the corpus, by joins. Up to ``SMALL`` n-grams are
+broadcast with their evidence; beyond that words meet it in joins too, with the same result:
+evidence is kept in whole ``UNIT`` parts, whose sums do not depend on their order.
 
 Null, empty and blank texts have no evidence and get the score of zero features. Rows repeat their
 score. Labels that are null, or other than 0 and 1, are ignored; a doc_id with several labels counts
@@ -28,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from methylspark.llm.shingles import _LOWER, _SPACE, mix, word_hashes
-from methylspark.llm.tables import Written, maybe_small
+from methylspark.llm.shingles import _LOWER, _SPACE, word_hashes
+from methylspark.llm.tables import SMALL, Written, maybe_small
 
-ORDER, SLOTS, DISCOUNT, FLOOR, MAX_FIT = 5, 1 << 21, 0.75, 2.0, 20_000
+ORDER, DISCOUNT, FLOOR, MAX_FIT, UNIT = 5, 0.75, 2.0, 20_000, 1 << 24
 #: Bytes of texts looked at in one go.
 STRETCH = 1_000_000
 
@@ -46,11 +49,9 @@ def distinct_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return which, edge[::2], edge[::2][first], edge[1::2][first]
 
 
-def grams(raw: bytes, start: np.ndarray, end: np.ndarray):
-    """The framed bytes of words: per order the n-gram that ends at each predicted byte.
-
-    Returns the word of each predicted byte and, by order from 1, the slot of its n-gram.
-    """
+def grams(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each predicted byte of the framed words, and the ``ORDER`` bytes that end there
+    as a number, the last byte lowest."""
     data = _LOWER[np.frombuffer(raw, np.uint8)]
     pad = ORDER - 1
     length = end - start + pad + 1
@@ -59,21 +60,13 @@ def grams(raw: bytes, start: np.ndarray, end: np.ndarray):
     inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
     source = np.repeat(start, length) + inside - pad
     real = (inside >= pad) & (inside < np.repeat(length, length) - 1)
-    flat = np.full(len(inside), 32, np.uint64)
+    flat = np.full(len(inside), 32, np.int64)
     flat[real] = data[source[real]]
     at = np.flatnonzero(inside >= pad)
-    slots, code = [], np.zeros(len(at), np.uint64)
-    for n in range(1, ORDER + 1):  # the n bytes that end here, the last one lowest
-        code = code | (flat[at - n + 1] << np.uint64(8 * (n - 1)))
-        slots.append((mix(code + np.uint64(n << 56)) % np.uint64(SLOTS)).astype(np.int32))
-    history = []
-    for n in range(2, ORDER + 1):
-        context = np.zeros(len(at), np.uint64)
-        for k in range(1, n):
-            context |= flat[at - k] << np.uint64(8 * (k - 1))
-        history.append((mix(context + np.uint64((n - 1) << 56)) % np.uint64(SLOTS)).astype(
-            np.int32))
-    return word[at], slots, history
+    code = np.zeros(len(at), np.int64)
+    for k in range(ORDER):
+        code |= flat[at - k] << (8 * k)
+    return word[at], code
 
 
 def _stretches(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -88,11 +81,12 @@ def _stretches(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
             at, some, size = k + 1, [], 0
 
 
-def count_grams(train: DataFrame) -> DataFrame:
-    """``(n, slot, history, ordinary, toxic)`` over all rows of ``train(text, toxic)``."""
+def count_grams(rows: DataFrame) -> DataFrame:
+    """``(gram, ordinary, toxic)`` of every n-gram of ``rows(text, toxic)``; rows without a class
+    count for neither."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = np.array(batch.column(1).to_pylist(), np.int64)
+            toxic = np.array([-1 if x is None else x for x in batch.column(1).to_pylist()], np.int64)
             for at, some in _stretches(batch.column(0)):
                 raw = b"\n".join(some)
                 bounds = np.cumsum([len(s) + 1 for s in some])
@@ -102,75 +96,72 @@ def count_grams(train: DataFrame) -> DataFrame:
                 text = np.searchsorted(bounds, places, "right")
                 weight = [np.bincount(which, toxic[at + text] == c, minlength=len(start))
                           for c in (0, 1)]
-                word, slots, history = grams(raw, start, end)
-                for n in range(1, ORDER + 1):
-                    slot, first, inverse = np.unique(slots[n - 1], return_index=True,
-                                                     return_inverse=True)
-                    counts = [np.bincount(inverse, w[word]).astype(np.int64) for w in weight]
-                    before = history[n - 2][first] if n > 1 else np.zeros(len(slot), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(slot), n, np.int32)),
-                         pa.array(slot.astype(np.int32)), pa.array(before.astype(np.int32)),
-                         pa.array(counts[0]), pa.array(counts[1])],
-                        ["n", "slot", "history", "ordinary", "toxic"])
-
-    parts = train.select(F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(
-        run, "n int, slot int, history int, ordinary long, toxic long")
-    return parts.groupBy("n", "slot").agg(
-        F.min("history").alias("history"), F.sum("ordinary").alias("ordinary"),
-        F.sum("toxic").alias("toxic"))
+                word, codes = grams(raw, start, end)
+                gram, inverse = np.unique(codes, return_inverse=True)
+                counts = [np.bincount(inverse, w[word]).astype(np.int64) for w in weight]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram), pa.array(counts[0]), pa.array(counts[1])],
+                    ["gram", "ordinary", "toxic"])
+
+    parts = rows.select(F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(
+        run, "gram long, ordinary long, toxic long")
+    return parts.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"),
+                                     F.sum("toxic").alias("toxic"))
+
+
+def _end(n: int) -> Column:
+    """The last ``n`` bytes of ``gram``."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
+
+
+def _smooth(seen, total, followers, backoff: Column) -> Column:
+    """The discounted count, and what discounting leaves for the backoff; null counts are 0."""
+    seen, total, followers = (F.coalesce(x, F.lit(0)) for x in (seen, total, followers))
+    left = F.least(DISCOUNT * followers, total)
+    value = (F.greatest(seen - DISCOUNT, F.lit(0.0)) + left * backoff) / F.greatest(
+        total, F.lit(1))
+    return F.greatest(F.when(total > 0, value).otherwise(backoff), F.lit(1e-12))
+
+
+def evidence(counted: DataFrame, keep: Written) -> DataFrame:
+    """``(gram, evidence)``: toxic minus ordinary log-probability of the last byte of every n-gram
+    of ``counted``, in ``UNIT`` parts."""
+    both = F.col("ordinary") + F.col("toxic")
+    seen = {ORDER: counted.filter(both > 0).select("gram", both.alias("seen"), "ordinary", "toxic")}
+    for n in range(ORDER - 1, 0, -1):
+        seen[n] = keep(seen[n + 1].groupBy(_end(n).alias("gram")).agg(F.sum("seen").alias("seen")))
+    total = seen[1].agg(F.sum("seen")).first()[0] or 0
+    out = counted
+    for n in range(1, ORDER + 1):
+        if n < ORDER:
+            grams_n = seen[n].withColumnsRenamed({"gram": "end", "seen": "seen_n"})
+            out = out.withColumn("end", _end(n)).join(maybe_small(grams_n), "end", "left").drop("end")
+        else:
+            out = out.withColumn("seen_n", both)
+        if n == 1:
+            p = (F.coalesce("seen_n", F.lit(0)) + 1) / F.lit(total + 256.0)
+        else:
+            sums = [F.sum("seen").alias("total"), F.count("*").alias("followers")]
+            if n == ORDER:
+                sums += [f(x).alias(f"{k}_{x}") for x in ("ordinary", "toxic")
+                         for k, f in (("total", F.sum), ("followers", lambda x: F.count_if(F.col(x) > 0)))]
+            before = keep(seen[n].groupBy(F.shiftright("gram", 8).alias("before")).agg(*sums))
+            out = out.withColumn("before", F.shiftright(_end(n), 8)).join(
+                maybe_small(before), "before", "left").drop("before")
+            p = _smooth(F.col("seen_n"), F.col("total"), F.col("followers"), F.col("p"))
+        out = out.withColumn("p", p).drop("seen_n", "total", "followers")
+    log = {x: F.log(_smooth(F.col(x), F.col(f"total_{x}"), F.col(f"followers_{x}"), F.col("p")))
+           for x in ("ordinary", "toxic")}
+    return out.select("gram", F.round((log["toxic"] - log["ordinary"]) * UNIT).cast("long").alias(
+        "evidence"))
 
 
 class Model:
-    """Counts by order and slot, and how often and by how many bytes a history is followed.
+    """Evidence of a bounded number of n-grams, and the features of texts by it."""
 
-    The dense arrays take about 145 MB whatever the corpus; only the counts travel.
-    """
-
-    def __init__(self, table: pa.Table) -> None:
-        self._table = table
-        columns = {name: table.column(name).to_numpy() for name in table.column_names}
-
-        def dense(place: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
-            return np.bincount(place, value, minlength=SLOTS).astype(np.float32)
-
-        self.seen, self.total, self.followers = {}, {}, {}
-        for n in range(1, ORDER + 1):
-            here = columns["n"] == n
-            slot, history = columns["slot"][here], columns["history"][here]
-            by_class = [columns[name][here] for name in ("ordinary", "toxic")]
-            both = by_class[0] + by_class[1]
-            if n < ORDER:
-                self.seen[n] = dense(slot, both)
-                self.total[n] = dense(history, both) if n > 1 else float(both.sum())
-            else:
-                self.own_seen = [dense(slot, x) for x in by_class]
-                self.own_total = [dense(history, x) for x in by_class]
-                self.own_followers = [dense(history[x > 0]) for x in by_class]
-            self.followers[n] = dense(history) if n > 1 else None
-
-    def __reduce__(self):
-        return Model, (self._table,)
-
-    def evidence(self, slots: list[np.ndarray], history: list[np.ndarray]) -> np.ndarray:
-        """Toxic minus ordinary log-probability of each predicted byte."""
-        p = (self.seen[1][slots[0]] + 1) / (self.total[1] + 256)
-        for n in range(2, ORDER):
-            before = history[n - 2]
-            p = self._smooth(self.seen[n][slots[n - 1]], self.total[n][before],
-                             self.followers[n][before], p)
-        slot, before = slots[ORDER - 1], history[ORDER - 2]
-        seen = [x[slot] for x in self.own_seen]
-        total = [x[before] for x in self.own_total]
-        p = self._smooth(seen[0] + seen[1], total[0] + total[1], self.followers[ORDER][before], p)
-        out = [self._smooth(seen[c], total[c], self.own_followers[c][before], p) for c in (0, 1)]
-        return np.log(out[1]) - np.log(out[0])
-
-    @staticmethod
-    def _smooth(seen, total, followers, backoff):
-        left = np.minimum(DISCOUNT * followers, total)
-        value = (np.maximum(seen - DISCOUNT, 0) + left * backoff) / np.maximum(total, 1)
-        return np.maximum(np.where(total > 0, value, backoff), 1e-12)
+    def __init__(self, gram: np.ndarray, value: np.ndarray) -> None:
+        order = np.argsort(gram)
+        self.gram, self.value = gram[order], value[order]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
         """Mean evidence per byte, and mean evidence above the floor per word, of each text."""
@@ -179,15 +170,16 @@ class Model:
         out = np.zeros((len(texts), 2))
         if not len(which):
             return out
-        word, slots, history = grams(raw, start, end)
-        of_word = np.bincount(word, self.evidence(slots, history), minlength=len(start))
+        word, codes = grams(raw, start, end)
+        of_word = np.bincount(word, self.value[np.searchsorted(self.gram, codes)],
+                              minlength=len(start))
         size = (end - start + 1)[which]
         text = np.searchsorted(np.cumsum([len(s) + 1 for s in texts]), places, "right")
         n = len(texts)
-        chars = np.bincount(text, size, minlength=n)
+        chars = np.bincount(text, size, minlength=n) * UNIT
         out[:, 0] = np.bincount(text, of_word[which], minlength=n) / np.maximum(chars, 1)
-        words = np.bincount(text, minlength=n)
-        above = np.maximum(of_word - FLOOR, 0)[which]
+        words = np.bincount(text, minlength=n) * UNIT
+        above = np.maximum(of_word - FLOOR * UNIT, 0)[which]
         out[:, 1] = np.bincount(text, above, minlength=n) / np.maximum(words, 1)
         return out
 
@@ -213,7 +205,7 @@ def _spread(x: np.ndarray) -> np.ndarray:
 
 
 def _scored(rows: DataFrame, model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the two features of every row; the text is the last column."""
+    """``keep`` columns and the two features of every row by a broadcast model."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.value.features(some)
@@ -227,6 +219,53 @@ def _scored(rows: DataFrame, model, keep: list[str]) -> DataFrame:
         run, f"{fields}, f0 double, f1 double")
 
 
+def _words_of(rows: DataFrame) -> DataFrame:
+    """``(mark, word, n)`` for the distinct words of texts, each text by its ``mark``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in _stretches(batch.column(1)):
+                raw = b"\n".join(some)
+                which, places, start, end = distinct_words(raw)
+                if not len(which):
+                    continue
+                text = np.searchsorted(np.cumsum([len(s) + 1 for s in some]), places, "right")
+                pair, n = np.unique(text * len(start) + which, return_counts=True)
+                lower = _LOWER[np.frombuffer(raw, np.uint8)].tobytes()
+                words = pa.array([lower[a:b] for a, b in zip(start, end, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(at + pair // len(start))),
+                     words.take(pa.array(pair % len(start))), pa.array(n)], ["mark", "word", "n"])
+
+    return rows.select("mark", F.col("text").cast("string")).mapInArrow(
+        run, "mark string, word binary, n long")
+
+
+def _joined(rows: DataFrame, known: DataFrame, keep: list[str], written: Written) -> DataFrame:
+    """As :func:`_scored`, with the evidence of n-grams in a table of any size.
+
+    Equal texts share their sums; both features are means, which copies do not change.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            ends = np.cumsum([len(w) + 1 for w in words])
+            if len(words):
+                at, codes = grams(b"\n".join(words), np.concatenate([[0], ends[:-1]]), ends - 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)),
+                                                  pa.array(codes)], ["word", "gram"])
+
+    marked = rows.select(*keep, "text", F.sha2(F.col("text").cast("binary"), 256).alias("mark"))
+    words = written(_words_of(marked))
+    of_word = words.select("word").distinct().mapInArrow(run, "word binary, gram long").join(
+        known, "gram").groupBy("word").agg(F.sum("evidence").alias("evidence"))
+    above = F.greatest(F.col("evidence") - F.lit(int(FLOOR * UNIT)), F.lit(0))
+    sums = words.join(of_word, "word").groupBy("mark").agg(
+        (F.sum(F.col("n") * F.col("evidence")) / (F.sum(F.col("n") * (F.length("word") + 1)) * UNIT))
+        .alias("f0"), (F.sum(F.col("n") * above) / (F.sum("n") * UNIT)).alias("f1"))
+    zero = [F.coalesce(x, F.lit(0.0)).alias(x) for x in ("f0", "f1")]
+    return marked.drop("text").join(sums, "mark", "left").select(*keep, *zero)
+
+
 def remainder(doc_id: str) -> Column:
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
@@ -235,16 +274,27 @@ def remainder(doc_id: str) -> Column:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``."""
     spark = docs.sparkSession
-    known = Written(spark)(labels.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id") != 0)).groupBy(
+    keep = Written(spark)
+    known = keep(labels.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id") != 0)).groupBy(
         F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     labelled = docs.select("doc_id", "text").join(
-        maybe_small(known), F.col("doc_id") == F.col("label_id"))
-    counted = count_grams(labelled.filter(remainder("doc_id") < 4))
-    model = spark.sparkContext.broadcast(Model(counted.toArrow()))
-    fit = labelled.filter(remainder("doc_id") == 4).select("doc_id", "toxic", "text")
+        maybe_small(known), F.col("doc_id") == F.col("label_id"), "left")
+    counted = keep(count_grams(labelled.select("text", F.when(
+        remainder("doc_id") < 4, F.col("toxic")).alias("toxic"))))
+    table = keep(evidence(counted, keep))
+    model = None
+    if table.count() <= SMALL:
+        told = table.toArrow()
+        model = spark.sparkContext.broadcast(Model(*(told.column(k).to_numpy() for k in (0, 1))))
+
+    def scored(rows: DataFrame, columns: list[str]) -> DataFrame:
+        return _scored(rows, model, columns) if model else _joined(rows, table, columns, keep)
+
+    fit = labelled.filter((remainder("doc_id") == 4) & F.col("toxic").isNotNull()).select(
+        "doc_id", "toxic", "text")
     chosen = fit.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_FIT)
     fit = fit.join(F.broadcast(chosen), "doc_id", "left_semi")
-    sample = _scored(fit, model, ["toxic"]).toArrow()
+    sample = scored(fit, ["toxic"]).toArrow()
     y = sample.column("toxic").to_numpy().astype(float)
     x = _spread(np.column_stack([sample.column("f0").to_numpy(), sample.column("f1").to_numpy()]))
     both = 0 < y.sum() < len(y)
@@ -256,7 +306,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         z = np.column_stack([_spread(np.column_stack([f0, f1])), np.ones(len(f0))]) @ weights
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    features = _scored(docs.select("doc_id", "text"), model, ["doc_id"])
+    features = scored(docs.select("doc_id", "text"), ["doc_id"])
     value = score("f0", "f1") if both else F.lit(share)
     return features.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False))
                            .alias("held_out"), value.alias("score")).withColumn(

@@ -220,6 +220,38 @@ def test_toxicity(spark):
     assert [r.score for r in bare] == [0.0] * 3
 
 
+def test_toxicity_counts_every_gram(spark):
+    rng = random.Random(9)
+    letters = [chr(c) for c in range(33, 127) if not chr(c).isupper()]
+    texts = [" ".join("".join(rng.choices(letters, k=5)) for _ in range(2000)) for _ in range(4)]
+    want = {}
+    for k, text in enumerate(texts):
+        for word in text.split():
+            framed = f"    {word} ".encode()
+            for i in range(len(framed) - 4):
+                code = int.from_bytes(framed[i:i + 5], "big")
+                want.setdefault(code, [0, 0])[k % 2] += 1
+    rows = spark.createDataFrame([(t, k % 2) for k, t in enumerate(texts)], "text string, toxic int")
+    got = {r[0]: list(r[1:]) for r in toxicity.count_grams(rows).collect()}
+    assert got == want
+
+
+def test_toxicity_beyond_a_broadcast(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(k, " ".join(rng.choice(["alpha", "Beta", "é", "vorkle" if k % 4 == 0 else "river"])
+                         for _ in range(k % 30))) for k in range(300)]
+    rows += [(900, None), (901, ""), (902, rows[7][1]), (902, "x"), (None, "vorkle")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(250)],
+                                   "doc_id long, toxic int")
+    small = sorted(toxicity.toxicity(docs, labels).collect(), key=str)
+    monkeypatch.setattr(toxicity, "SMALL", 0)
+    large = sorted(toxicity.toxicity(docs, labels).collect(), key=str)
+    assert len(small) == len(rows) and len({r.score for r in small}) > 50
+    assert [r[:2] + r[3:] for r in small] == [r[:2] + r[3:] for r in large]
+    assert [r.score for r in small] == pytest.approx([r.score for r in large], abs=1e-12)
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "minhash_near_dedup", "secret_scan", "mixture", "sentencepiece"]
