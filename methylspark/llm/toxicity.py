@@ -3,7 +3,8 @@
 For toxic and for ordinary training texts the byte n-grams (2 to ``ORDER``) of all words are counted
 over the whole corpus. A class gives a byte after its history the discounted count of its own model
 plus the mass that discounting leaves, spread by a backoff model which both classes share and which
-is itself an interpolated Kneser-Ney model of all counts. A word's evidence is the difference of its
+is itself an interpolated Kneser-Ney model of all counts: below ``ORDER`` it counts the different
+bytes before an n-gram. A word's evidence is the difference of its
 two log-likelihoods. A text has two length-normalised features: mean evidence per byte, and mean
 evidence above ``FLOOR`` per word, so that a few strong words in a long text still show. A logistic
 regression turns them into the score.
@@ -125,12 +126,16 @@ def _smooth(seen, total, followers, backoff: Column) -> Column:
 
 def evidence(counted: DataFrame, keep: Written) -> DataFrame:
     """``(gram, evidence)``: toxic minus ordinary log-probability of the last byte of every n-gram
-    of ``counted``, in ``UNIT`` parts."""
+    of ``counted``, in ``UNIT`` parts.
+
+    Below ``ORDER`` an n-gram counts once for each byte it was seen after (blanks of the frame are
+    bytes), and every byte value has a share of what discounting leaves at order 1.
+    """
     both = F.col("ordinary") + F.col("toxic")
     seen = {ORDER: counted.filter(both > 0).select("gram", both.alias("seen"), "ordinary", "toxic")}
     for n in range(ORDER - 1, 0, -1):
-        seen[n] = keep(seen[n + 1].groupBy(_end(n).alias("gram")).agg(F.sum("seen").alias("seen")))
-    total = seen[1].agg(F.sum("seen")).first()[0] or 0
+        seen[n] = keep(seen[n + 1].groupBy(_end(n).alias("gram")).agg(F.count("*").alias("seen")))
+    total, kinds = seen[1].agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count("*")).first()
     out = counted
     for n in range(1, ORDER + 1):
         if n < ORDER:
@@ -139,7 +144,7 @@ def evidence(counted: DataFrame, keep: Written) -> DataFrame:
         else:
             out = out.withColumn("seen_n", both)
         if n == 1:
-            p = (F.coalesce("seen_n", F.lit(0)) + 1) / F.lit(total + 256.0)
+            p = _smooth(F.col("seen_n"), F.lit(total), F.lit(kinds), F.lit(1 / 256))
         else:
             sums = [F.sum("seen").alias("total"), F.count("*").alias("followers")]
             if n == ORDER:

@@ -236,6 +236,50 @@ def test_toxicity_counts_every_gram(spark):
     assert got == want
 
 
+def brute_kneser_ney(counts):
+    """gram -> difference of log-probabilities, for gram -> (ordinary, toxic)."""
+    def smooth(table, gram, backoff):
+        total = sum(v for g, v in table.items() if g[:-1] == gram[:-1])
+        kinds = sum(g[:-1] == gram[:-1] and v > 0 for g, v in table.items())
+        if not total:
+            return backoff
+        return (max(table.get(gram, 0) - 0.75, 0) + min(0.75 * kinds, total) * backoff) / total
+
+    tables = {5: {g: sum(v) for g, v in counts.items() if sum(v)}}
+    for n in (4, 3, 2, 1):
+        tables[n] = {}
+        for g in tables[n + 1]:  # one for each different byte before
+            tables[n][g[1:]] = tables[n].get(g[1:], 0) + 1
+    out = {}
+    for gram in counts:
+        p = 1 / 256
+        for n in (1, 2, 3, 4, 5):
+            p = smooth(tables[n], gram[-n:], p)
+        own = [smooth({g: v[c] for g, v in counts.items()}, gram, p) for c in (0, 1)]
+        out[gram] = np.log(own[1]) - np.log(own[0])
+    return out
+
+
+def test_toxicity_is_kneser_ney(spark):
+    # "san francisco": its last word is frequent after one history only
+    texts = [("san francisco " * 9 + "sea cosy", 0), ("vex vexed hex seas franc", 1),
+             ("unseen word vexes Sand", None)]
+    counts = {}
+    for text, toxic in texts:
+        for word in text.lower().split():
+            framed = f"    {word} ".encode()
+            for i in range(len(framed) - 4):
+                count = counts.setdefault(framed[i:i + 5], [0, 0])
+                if toxic is not None:
+                    count[toxic] += 1
+    want = brute_kneser_ney(counts)
+    counted = toxicity.count_grams(spark.createDataFrame(texts, "text string, toxic int"))
+    got = {r.gram.to_bytes(5, "big"): r.evidence / toxicity.UNIT
+           for r in toxicity.evidence(counted, Written(spark)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[g] == pytest.approx(want[g], abs=1e-6) for g in want)
+
+
 def test_toxicity_beyond_a_broadcast(spark, monkeypatch):
     rng = random.Random(10)
     rows = [(k, " ".join(rng.choice(["alpha", "Beta", "é", "vorkle" if k % 4 == 0 else "river"])
