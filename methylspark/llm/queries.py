@@ -80,26 +80,31 @@ TOKENIZERS = {"words": mixing.WORD, "letters": r"[\p{L}\p{N}]+"}
 
 @query
 def op6_rollup(spark, sf_dir):
-    """Load all documents; take down those of low quality; recount toxic ones by a new tokenizer;
-    and commit a batch twice."""
+    """Load all documents with a first count, of what lies between spaces; revise the counts that
+    differ from the tokenizer's; take down documents of low quality; recount toxic ones by a new
+    tokenizer; and commit a batch twice."""
     docs = table(spark, sf_dir, "documents")
     counts = {f"n_{k}": F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long")
-              for k, p in TOKENIZERS.items()}
+              for k, p in (TOKENIZERS | {"first": "[^ ]+"}).items()}
     counted = Written(spark)(docs.select("doc_id", "source", "lang", *(
         c.alias(k) for k, c in counts.items())))
     marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     marked = counted.join(marks, "doc_id").select("source", "lang", *counts, "quality", "toxic")
 
-    def changes(rows: DataFrame, op: str, version: str) -> DataFrame:
+    def changes(rows: DataFrame, op: str, version: str, n: str | None = None,
+                old: str | None = None) -> DataFrame:
         return rows.select(F.lit(op).alias("op"), "source", "lang",
                            F.lit(version).alias("tokenizer"),
-                           F.col(f"n_{version}").alias("n_tokens"), F.lit(0).alias("old_tokens"))
+                           F.col(n or f"n_{version}").alias("n_tokens"),
+                           (F.col(old) if old else F.lit(0)).alias("old_tokens"))
 
     low = marked.filter("quality = 0")
     toxic = marked.filter("toxic = 1 and coalesce(quality, 1) <> 0")
     rollup = token_rollup.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
-    rollup.commit("load", changes(counted, "insert", "words"))
+    rollup.commit("load", changes(counted, "insert", "words", "n_first"))
+    rollup.commit("revision", changes(counted.filter("n_first <> n_words"), "revise", "words",
+                                      old="n_first"))
     for _ in range(2):  # the second commit finds the first
         rollup.commit("takedown", changes(low, "delete", "words"))
     rollup.commit("recount", changes(toxic, "delete", "words").union(

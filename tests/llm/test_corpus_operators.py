@@ -196,6 +196,30 @@ def test_rollup(spark):
         [("a", "en", "v1", 2, 14), (None, None, "v1", 1, 0)], key=str)
 
 
+def test_rollup_query_revises(spark, monkeypatch):
+    seen, commit = [], token_rollup.Rollup.commit
+
+    def watched(self, name, changes):
+        seen.append(changes.filter("op = 'revise' and n_tokens <> old_tokens").count())
+        return commit(self, name, changes)
+
+    monkeypatch.setattr(token_rollup.Rollup, "commit", watched)
+    out = queries.QUERIES["op6_rollup"](spark, SMALL)
+    assert sum(seen) > 50
+    marks = {}
+    for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect():
+        marks.setdefault(r.doc_id, []).append(r)
+    want = {}
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        mine = marks.get(r.doc_id, [])
+        if not any(m.quality == 0 for m in mine) and not any(m.toxic == 1 for m in mine):
+            total = want.setdefault((r.source, r.lang), [0, 0])
+            total[0] += 1
+            total[1] += len(brute.WORD.findall(r.text or ""))
+    assert {(r.source, r.lang): [r.n_docs, r.n_tokens] for r in out.collect()
+            if r.tokenizer == "words"} == want
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, marks = [], []
