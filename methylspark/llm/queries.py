@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from methylspark.llm import (chat, embedding_dedup, html_text, minhash, mixing, quality, secrets,
-                             sentencepiece_bpe, token_rollup, toxicity)
+from methylspark.llm import (chat, embedding_dedup, html_text, merkle, minhash, mixing, quality,
+                             secrets, sentencepiece_bpe, token_links, token_rollup, toxicity,
+                             url_rules)
 from methylspark.llm.tables import Written, shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,6 +159,36 @@ def op10_sentencepiece(spark, sf_dir):
                           digest(F.col("text")).alias("decoded_sha256"))
 
 
+@query
+def op11_url_rules(spark, sf_dir):
+    """The rule is shown where it is one for sites; other patterns are in ``pattern``."""
+    judged = url_rules.judge(table(spark, sf_dir, "pages"),
+                             url_rules.rule_table(spark, url_rules.RULES))
+    return judged.select("page_id", "host", "path",
+                         F.when(F.col("won.tier") == 1, F.col("won.pattern")).alias("rule"),
+                         "verdict", F.col("won.pattern").alias("pattern"))
+
+
+@query
+def op12_token_links(spark, sf_dir):
+    return token_links.link(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                            tokenizer_path("piece_bpe_32k.model"))
+
+
+#: What lower-casing A-Z replaces.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    """The manifest's proofs; texts of every fifth document, by checksum, have been lower-cased."""
+    hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    tampered = F.when(hit, F.translate("text", UPPER, LOWER))
+    leaves = merkle.leaves(table(spark, sf_dir, "documents"), tampered)
+    return merkle.prove(merkle.build(leaves, Written(spark))).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 WORDS_SQL = r"[^\x20\x09-\x0D]+"
 
 
@@ -300,7 +332,107 @@ def _op9_sql() -> str:
         FROM w LEFT JOIN n USING (id) JOIN reach r ON r.id = w.id GROUP BY w.id"""
 
 
+def _op11_sql() -> str:
+    """Every rule's expression on every URL, the longest of the rules for sites first."""
+    def fits(rule: url_rules.Rule) -> str:
+        def glob(text: str) -> str:
+            return "".join({"*": "(.*)", "^": ""}.get(c) or re.escape(c) for c in text)
+
+        word = rule.host.removeprefix("*^").removesuffix("^*")
+        host = (rf"(?s)(^|[^0-9a-z]){word}([^0-9a-z]|$)" if "^" in rule.host
+                else rf"(?s)^(.*\.)?{glob(rule.host)}$")
+        path = rf"(?s)^{glob(rule.path.removesuffix('|'))}{'$' * rule.path.endswith('|')}"
+        return f"regexp_matches(host, '{host}') AND regexp_matches(path, '{path}')"
+
+    def first(rules: list[url_rules.Rule], value: str) -> str:
+        rules = sorted(rules, key=lambda r: (-len(r.text), r.action != "block", r.text))
+        return "CASE " + " ".join(
+            f"WHEN {fits(r)} THEN '{getattr(r, value)}'" for r in rules) + " END"
+
+    sites, kinds = url_rules.SITES, url_rules.KINDS
+    return rf"""
+        WITH u AS (
+            SELECT page_id,
+                   translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}',
+                             '{LOWER}') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+        SELECT page_id, host, path, {first(sites, "text")} AS rule,
+               coalesce({first(sites, "action")}, {first(kinds, "action")}, 'allow') AS verdict,
+               coalesce({first(sites, "text")}, {first(kinds, "text")}) AS pattern FROM u"""
+
+
+def _op13_sql(heights: tuple[int, int] = (5, 3)) -> str:
+    """Level by level: 16 leaves to a run, up to 16^5 rows a source and 16^3 sources."""
+    def told(column: str) -> str:
+        return f"coalesce(strlen({column}) || ':' || {column}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(told, (
+            "CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))) + ")"
+
+    # crc32 bit by bit over a byte, as a table
+    table_of = """(SELECT list(c ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z:
+            CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)))"""
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])))"""
+    steps = [f"""
+        docs AS (
+            SELECT doc_id, source, {leaf("text")} AS leaf,
+                   CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")}
+                   ELSE {leaf("text")} END AS other FROM documents, {table_of}),
+        low0 AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)
+                   - 1 AS id, source AS g, leaf AS h FROM docs)"""]
+
+    def climb(name: str, height: int) -> None:
+        """``name{k}``: nodes of level k, with the siblings of each, once that level is needed."""
+        for k in range(height):
+            steps.append(f"""
+        {name}_run{k} AS (
+            SELECT g, id // 16 AS run, string_agg(h, '' ORDER BY id) AS s FROM {name}{k}
+            GROUP BY ALL),
+        {name}_many{k} AS (SELECT g, count(*) AS n FROM {name}{k} GROUP BY g),
+        {name}_way{k} AS (
+            SELECT x.g, x.id, CASE WHEN n > 1 THEN substr(s, 1, (x.id % 16) * 64) ELSE '' END AS l,
+                   CASE WHEN n > 1 THEN substr(s, (x.id % 16) * 64 + 65) ELSE '' END AS r, n > 1 AS up
+            FROM {name}{k} x JOIN {name}_run{k} y ON x.g IS NOT DISTINCT FROM y.g
+                 AND x.id // 16 = y.run JOIN {name}_many{k} m ON x.g IS NOT DISTINCT FROM m.g),
+        {name}{k + 1} AS (
+            SELECT y.g, run AS id, CASE WHEN n > 1 THEN sha256(s) ELSE s END AS h
+            FROM {name}_run{k} y JOIN {name}_many{k} m ON y.g IS NOT DISTINCT FROM m.g)""")
+
+    low, high = heights
+    climb("low", low)
+    steps.append(f"""
+        high0 AS (SELECT 0 AS g, g AS source, h,
+                         row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS id FROM low{low})""")
+    climb("high", high)
+    proof: list[str] = []
+    for name, height, place in (("low", low, "d"), ("high", high, "s")):
+        for k in range(height):
+            t = f"{name[0]}{k}"
+            steps.append(f"""
+        {t}_fold AS (SELECT d.*, CASE WHEN {t}.up THEN sha256({t}.l || d.f || {t}.r) ELSE d.f END AS f2,
+                            d.p || {t}.l || {t}.r AS p2
+                     FROM {'start' if not proof else proof[-1]} d JOIN {name}_way{k} {t}
+                     ON {t}.g IS NOT DISTINCT FROM d.{place}_g AND {t}.id = d.{place}_id // {16 ** k}),
+        {t}_done AS (SELECT * EXCLUDE (f2, p2) REPLACE (f2 AS f, p2 AS p) FROM {t}_fold)""")
+            proof.append(f"{t}_done")
+    first = steps.index(next(s for s in steps if "l0_fold" in s))
+    steps.insert(first, """
+        start AS (SELECT d.doc_id, d.leaf, d.g AS d_g, d.id AS d_id, s.g AS s_g, s.id AS s_id,
+                         s.h AS subroot, d.other AS f, '' AS p
+                  FROM low0 d JOIN high0 s ON s.source IS NOT DISTINCT FROM d.g)""")
+    return f"""WITH {",".join(steps)}
+        SELECT doc_id, leaf, subroot, h AS root, sha256(p) AS proof_sha256, f AS folded_root,
+               f = h AS verified FROM {proof[-1]}, high{high}"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_url_rules": _op11_sql(), "op13_merkle": _op13_sql(),
     "op4_embeddings": _op4_sql(), "op7_chat": _op7_sql(), "op8_quality": _op8_sql(),
     "op9_minhash": _op9_sql(),
     "op6_rollup": rf"""
