@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def apply_to_runs(df: DataFrame, keys: Sequence[str], kernel: Callable, schema: str) -> DataFrame:
-    """``kernel(columns) -> columns or None`` for each group of ``keys``.
+def apply_to_runs(df: DataFrame, keys: Sequence[str], kernel: Callable, schema: str,
+                  order: Sequence[str] = (), together: bool = False) -> DataFrame:
+    """``kernel(columns) -> columns or None`` for each group of ``keys``, its rows by ``order``.
 
     ``columns`` maps names to NumPy arrays, a list column to ``(values, lengths)``.
-    Only the rows of the group at hand are held back between Arrow batches.
+    Only the rows of the group at hand are held back between Arrow batches. With ``together``
+    a kernel gets all groups that a batch completes, and their bounds:
+    ``kernel(columns, bounds)`` yields columns.
     """
     keys = list(keys)
     names = df.columns
@@ -56,6 +59,12 @@ def apply_to_runs(df: DataFrame, keys: Sequence[str], kernel: Callable, schema:
             for key in keys:
                 changed[1:] |= data[key][1:] != data[key][:-1]
             starts = np.flatnonzero(changed)
+            if together:
+                whole = part(data, 0, table.num_rows)
+                for out in kernel(whole, np.append(starts, table.num_rows)):
+                    yield from pa.table({k: pa.array(v) for k, v in out.items()}).to_batches(
+                        max_chunksize=65536)
+                return
             results = [kernel(part(data, lo, hi))
                        for lo, hi in zip(starts, np.append(starts[1:], table.num_rows))]
             results = [r for r in results if r]
@@ -94,5 +103,5 @@ def apply_to_runs(df: DataFrame, keys: Sequence[str], kernel: Callable, schema:
     # Partitioning by a hash of the keys, not by the keys: a repartition that an input
     # happens to satisfy is optimised away, and adaptive execution may then change
     # that input's partitioning without knowing that groups must stay whole.
-    ordered = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+    ordered = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     return ordered.mapInArrow(walk, schema)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from methylspark.functions.stats import chi_square_p, fisher_log10
 from methylspark.operators.cluster import label_reads
+from methylspark.operators.distance import in_pair_blocks, split_group
+from methylspark.params import Params
 
 # Factor name and the two ClusterStats counts it compares.
 FACTORS = (("hp", "count_hp1", "count_hp2"), ("allele", "count_alt", "count_ref"),
@@ -135,25 +137,60 @@ def nmi(labels: DataFrame, reads: DataFrame, factor: str) -> DataFrame:
         F.try_divide(mutual, (F.col("h_cluster_id") + F.col("h_level")) / 2).alias("nmi"))
 
 
-def label_distance_corr(distances: DataFrame, reads: DataFrame, factor: str) -> DataFrame:
-    """Correlation per region of read distance with "labels differ"."""
+#: Units of a distance in the sums below; products of two fit 64 bits in a block of pairs.
+_MICRO = 1_000_000
+
+
+def _corr_kernel(group):
+    """Sums over the pairs of two blocks whose reads have a label."""
+    import numpy as np
+
+    ids, (i, j), dist = split_group(group)
+    label, _ = group["label"]
+    x = np.floor(dist * _MICRO + 0.5).astype(np.int64)
+    y = (label[i] != label[j]).astype(np.int64)
+    sums = {"n": len(x), "sx": x.sum(), "sy": y.sum(), "sxy": (x * y).sum(), "sxx": (x * x).sum()}
+    return {"region_id": np.full(1, group["region_id"][0], np.int32),
+            **{k: np.full(1, v, np.int64) for k, v in sums.items()}}
+
+
+def label_distance_corr(distances: DataFrame, reads: DataFrame, factor: str,
+                        params: Params = Params()) -> DataFrame:
+    """Correlation per region of read distance with "labels differ".
+
+    The tasks that hold a block of known pairs return their sums, so pairs are shuffled once. Pairs
+    without a known distance count as 1 under ``max_dist``; how many there are follows from the
+    sizes of the labels. Under ``skip`` they are left out.
+    """
     level = reads.withColumn("level", _factor_value(factor)).filter("level is not null")
-    pairs = distances.filter("dist is not null").join(
-        level.select("region_id", F.col("read_id").alias("read_i"), F.col("level").alias("li")),
-        ["region_id", "read_i"]).join(
-        level.select("region_id", F.col("read_id").alias("read_j"), F.col("level").alias("lj")),
-        ["region_id", "read_j"])
-    # Micro-unit integers make the sums exact, whatever the order of addition.
-    x = F.floor(F.col("dist") * F.lit(1e6) + 0.5)
-    y = F.when(F.col("li") != F.col("lj"), 1).otherwise(0)
-    big = (x.cast("decimal(18,0)") * x.cast("decimal(18,0)"))
-    sums = pairs.groupBy("region_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(x * y).alias("sxy"), F.sum(big).cast("double").alias("sxx"))
-    n, sx, sy = F.col("n").cast("double"), F.col("sx").cast("double"), F.col("sy").cast("double")
-    var = (n * F.col("sxx") - sx * sx) * (n * sy - sy * sy)
-    return sums.select("region_id", F.col("n").alias("n_pairs"), F.when(var > 0, (
-        n * F.col("sxy").cast("double") - sx * sy) / F.sqrt(var)).alias("corr"))
+    labelled = level.select("region_id", "read_id", F.array(F.xxhash64("level")).alias("label"))
+    names = ["n", "sx", "sy", "sxy", "sxx"]
+    known = distances.filter("dist is not null").join(
+        labelled.select("region_id", F.col("read_id").alias("read_i")), ["region_id", "read_i"],
+        "left_semi").join(labelled.select("region_id", F.col("read_id").alias("read_j")),
+                          ["region_id", "read_j"], "left_semi")
+    blocks = in_pair_blocks(labelled, known, "label", _corr_kernel,
+                            "region_id INT, " + ", ".join(f"{c} BIGINT" for c in names))
+    sums = blocks.groupBy("region_id").agg(*(
+        F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in names))
+    if params.missing_pairs == "max_dist":
+        sizes = level.groupBy("region_id", "level").agg(F.count(F.lit(1)).alias("c")).groupBy(
+            "region_id").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        every, differ = (F.col("c") * (F.col("c") - 1) / 2, (F.col("c") * F.col("c") - F.col("cc")) / 2)
+        sums = sums.join(sizes, "region_id").withColumn(
+            "more", every.cast("decimal(38,0)") - F.col("n")).withColumn(
+            "apart", differ.cast("decimal(38,0)") - F.col("sy"))
+        sums = sums.select(
+            "region_id", (F.col("n") + F.col("more")).alias("n"),
+            (F.col("sx") + F.col("more") * _MICRO).alias("sx"),
+            (F.col("sy") + F.col("apart")).alias("sy"),
+            (F.col("sxy") + F.col("apart") * _MICRO).alias("sxy"),
+            (F.col("sxx") + F.col("more") * (_MICRO * _MICRO)).alias("sxx"))
+    n, sx, sy, sxy, sxx = (F.col(c).cast("double") for c in names)
+    var = (n * sxx - sx * sx) * (n * sy - sy * sy)
+    return sums.filter("n > 0").select(
+        "region_id", F.col("n").cast("bigint").alias("n_pairs"),
+        F.when(var > 0, (n * sxy - sx * sy) / F.sqrt(var)).alias("corr"))
 
 
 def truth_report(tests: DataFrame, truth: DataFrame, regions: DataFrame,

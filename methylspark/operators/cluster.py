@@ -7,11 +7,14 @@ the smaller name comes first, so the row of read ``b`` holds the merge that ends
 the cluster ``b``. Any cut of the tree is then a running count along the leaves.
 
 Both linkages follow from exact integer sums over pairs of reads. Distances are
-taken at a resolution of 1e-9, ties go to the smaller read, and all mutually
-nearest clusters merge per round; this yields the tree of one-by-one merging
-since both linkages are reducible. Regions up to ``max_local_reads`` are handled
-in an Arrow kernel; larger ones run as joins and aggregations per round, with
-the same sums and hence the same tree.
+taken at a resolution of 1e-9, and pairs without a known distance count as 1.
+Pairs of clusters are ordered by distance (in units of that resolution under
+Ward's linkage), then by a hash of both names, which deals ties out evenly, then by
+name. Both linkages are reducible, so any order of merging nearest neighbours
+gives the tree of one-by-one merging. Regions up to ``max_local_reads`` are handled
+in an Arrow kernel that follows chains of nearest neighbours; larger ones merge
+all mutually nearest clusters per round of joins and aggregations, with the same
+sums and hence the same tree.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from methylspark.functions.grouping import apply_to_runs
-from methylspark.operators.distance import both_directions
+from methylspark.operators.distance import all_pairs, in_pair_blocks, split_group
 from methylspark.operators.ranking import dense_row_number, running_sum
 from methylspark.shared import shared_folder
 
@@ -28,12 +31,21 @@ METHODS = ("upgma", "ward")
 UNITS = 1_000_000_000
 MAX_LOCAL_READS = 1024
 
+# Factors and modulus of the hash that orders ties.
+TIE_A, TIE_B, TIE_MOD = 1_000_003, 998_244_353, 2_147_483_647
+
 LEAVES = "region_id INT, read_id INT, leaf_pos INT, join_read INT, height DOUBLE"
 TREES = "region_id INT, newick STRING"
 
 
+def tie_order(a, b):
+    """A number that orders pairs of clusters ``a < b`` at one distance; columns, arrays or numbers."""
+    mixed = (a * TIE_A + b * TIE_B) % TIE_MOD
+    return mixed * mixed % TIE_MOD
+
+
 def _cluster_kernel(method: str, want_tree: bool):
-    """All merges of one region from its integer pair sums."""
+    """All merges of one region from its known integer pair sums."""
 
     def kernel(group):
         import numpy as np
@@ -41,52 +53,65 @@ def _cluster_kernel(method: str, want_tree: bool):
 
         region = group["region_id"][0]
         i, j, unit = group["read_i"], group["read_j"], group["unit"]
-        names = np.unique(np.concatenate([i, j]))
+        names = np.unique(np.concatenate([i, j])).astype(np.int64)
         n = len(names)
         i, j = np.searchsorted(names, i), np.searchsorted(names, j)
-        sums = np.zeros((n, n), np.int64)
+        sums = np.full((n, n), UNITS, np.int64)
         sums[i, j] = unit
         sums[j, i] = unit
-        size, within = np.ones(n, np.int64), np.zeros(n, np.int64)
-        live = np.arange(n)
+        size, within, inner = np.ones(n), np.zeros(n, np.int64), np.zeros(n)
+        gone, every = np.zeros(n), np.arange(n)
         owner, place = np.arange(n), np.zeros(n, np.int64)
         join, height = np.full(n, -1), np.full(n, np.nan)
         top = np.zeros(n)
         tree = [str(v) for v in names] if want_tree else None
-        while len(live) > 1:
-            s = sums[np.ix_(live, live)]
-            k = size[live].astype(np.float64)
-            cross = s / (k[:, None] * k[None, :])
-            if method == "ward":
-                inner = within[live] / (k * k)
-                lo = np.minimum.outer(np.arange(len(live)), np.arange(len(live)))
-                hi = np.maximum.outer(np.arange(len(live)), np.arange(len(live)))
-                cross = (2.0 * (k[:, None] * k[None, :]) / (k[:, None] + k[None, :])
-                         * (cross - inner[lo] - inner[hi]))
-            np.fill_diagonal(cross, np.inf)
-            near = cross.argmin(axis=1)
-            mutual = np.flatnonzero((near[near] == np.arange(len(live)))
-                                    & (near > np.arange(len(live))))
-            for p in mutual:
-                a, b = live[p], live[near[p]]
-                d = cross[p, near[p]]
-                h = (np.sqrt(max(d, 0.0) / UNITS) if method == "ward" else d / UNITS)
-                join[b], height[b] = a, h
-                if tree:
-                    left, right = (np.floor((h - top[x]) / 2 * 1e6 + 0.5) / 1e6 for x in (a, b))
-                    tree[a] = f"({tree[a]}:{left:.6f},{tree[b]}:{right:.6f})"
-                    tree[b] = None
-                    top[a] = h
-                moved = owner == b
-                owner[moved] = a
-                place[moved] += size[a]
-            for p in mutual:
-                a, b = live[p], live[near[p]]
-                within[a] += within[b] + sums[a, b]
-                size[a] += size[b]
-                sums[a] += sums[b]
-                sums[:, a] += sums[:, b]
-            live = np.delete(live, near[mutual])
+
+        def linkage(x):
+            """Values of x with every cluster, and what they are ordered by."""
+            cross = sums[x] / (size[x] * size)
+            if method != "ward":
+                return cross, cross + gone
+            before = every < x
+            value = 2.0 * (size[x] * size) / (size[x] + size) * (
+                cross - np.where(before, inner, inner[x]) - np.where(before, inner[x], inner))
+            return value, np.floor(value + 0.5) + gone
+
+        def nearest(x):
+            value, key = linkage(x)
+            key[x] = np.inf
+            y = int(key.argmin())
+            ties = np.flatnonzero(key == key[y])
+            if len(ties) > 1:
+                a, b = np.minimum(ties, x), np.maximum(ties, x)
+                y = int(ties[np.lexsort((b, a, tie_order(names[a], names[b])))[0]])
+            return y, value[y]
+
+        chain = []
+        for _ in range(n - 1):
+            if not chain:
+                chain.append(int(owner[0]))
+            y, d = nearest(chain[-1])
+            while len(chain) < 2 or y != chain[-2]:
+                chain.append(y)
+                y, d = nearest(y)
+            a, b = sorted(chain[-2:])
+            del chain[-2:]
+            h = np.sqrt(max(d, 0.0) / UNITS) if method == "ward" else d / UNITS
+            join[b], height[b] = a, h
+            if tree:
+                left, right = (np.floor((h - top[x]) / 2 * 1e6 + 0.5) / 1e6 for x in (a, b))
+                tree[a] = f"({tree[a]}:{left:.6f},{tree[b]}:{right:.6f})"
+                tree[b] = None
+                top[a] = h
+            moved = owner == b
+            owner[moved] = a
+            place[moved] += int(size[a])
+            within[a] += within[b] + sums[a, b]
+            size[a] += size[b]
+            inner[a] = within[a] / (size[a] * size[a])
+            sums[a] += sums[b]
+            sums[:, a] = sums[a]
+            gone[b] = np.inf
         if want_tree:
             return {"region_id": np.full(1, region, np.int32),
                     "newick": pa.array([f"{tree[0]};"])}
@@ -155,10 +180,12 @@ def _merge_rounds(pairs: DataFrame, reads: DataFrame, method: str, want_tree: bo
         ways = scored.withColumn("q", F.explode(F.array(
             F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
             F.struct(F.col("b").alias("x"), F.col("a").alias("y")))))
+        key = F.floor(F.col("d") + 0.5) if method == "ward" else F.col("d")
         near = ways.groupBy("region_id", F.col("q.x").alias("x")).agg(
-            F.min(F.struct("d", F.col("q.y").alias("y"), "s")).alias("m")).select(
-            "region_id", "x", F.col("m.y").alias("y"), F.col("m.d").alias("d"),
-            F.col("m.s").alias("s"))
+            F.min(F.struct(key.alias("key"), tie_order(F.col("a").cast("bigint"), F.col("b").cast(
+                "bigint")).alias("tie"), "a", "b", F.col("q.y").alias("y"), "d", "s")).alias(
+            "m")).select("region_id", "x", F.col("m.y").alias("y"), F.col("m.d").alias("d"),
+                         F.col("m.s").alias("s"))
         back = near.select("region_id", F.col("x").alias("y"), F.col("y").alias("x"))
         mutual = near.join(back, ["region_id", "x", "y"]).filter("x < y")
         height = (F.sqrt(F.greatest(F.col("d"), F.lit(0.0)) / UNITS) if method == "ward"
@@ -215,9 +242,9 @@ def _build(reads: DataFrame, distances: DataFrame, method: str, max_local_reads:
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     members = reads.select("region_id", "read_id")
-    # A null distance (strategy "skip") counts as the largest one here.
-    pairs = distances.select("region_id", "read_i", "read_j",
-                             _units(F.coalesce("dist", F.lit(1.0)), method).alias("unit"))
+    # A missing or null distance (strategy "skip") counts as the largest one here.
+    pairs = distances.filter("dist is not null").select(
+        "region_id", "read_i", "read_j", _units(F.col("dist"), method).alias("unit"))
     large = members.groupBy("region_id").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") > max_local_reads).select("region_id")
     some_large = not large.isEmpty()
@@ -231,15 +258,17 @@ def _build(reads: DataFrame, distances: DataFrame, method: str, max_local_reads:
     out = apply_to_runs(small_pairs.unionByName(alone), ["region_id"],
                         _cluster_kernel(method, want_tree), TREES if want_tree else LEAVES)
     if some_large:
-        rounds = _merge_rounds(pairs.join(large, "region_id", "left_semi"),
-                               members.join(large, "region_id", "left_semi"), method, want_tree)
+        large_members = members.join(large, "region_id", "left_semi")
+        every = all_pairs(large_members).join(
+            pairs, ["region_id", "read_i", "read_j"], "left").fillna(UNITS, ["unit"])
+        rounds = _merge_rounds(every, large_members, method, want_tree)
         out = out.unionByName(rounds)
     return out
 
 
 def cluster_reads(reads: DataFrame, distances: DataFrame, method: str = "upgma",
                   max_local_reads: int = MAX_LOCAL_READS) -> DataFrame:
-    """Dendrogram of each region (see the module text) from all its pair distances."""
+    """Dendrogram of each region (see the module text) from its known pair distances."""
     return _build(reads, distances, method, max_local_reads, False)
 
 
@@ -283,43 +312,91 @@ def cut_k(leaves: DataFrame, k: int) -> DataFrame:
     return _segments(_last_merges(leaves, k - 1), ["region_id"], starts)
 
 
-def silhouette(labels: DataFrame, distances: DataFrame,
-               keys: tuple[str, ...] = ("region_id",)) -> DataFrame:
-    """Silhouette per read: 0 for a singleton, null where a region has one cluster."""
-    keys = list(keys)
-    mine = labels.select(*keys, F.col("read_id").alias("read_i"),
-                         F.col("cluster_id").alias("own"))
-    theirs = labels.select(*keys, F.col("read_id").alias("read_j"),
-                           F.col("cluster_id").alias("other"))
-    ways = both_directions(distances.withColumn(
-        "dist", _units(F.coalesce("dist", F.lit(1.0)), "upgma")))
-    sums = ways.join(theirs, ["region_id", "read_j"]).groupBy(*keys, "read_i", "other").agg(
-        F.sum("dist").alias("total"), F.count(F.lit(1)).alias("n"))
-    mean = F.col("total") / F.col("n")
+def _sums_kernel(group):
+    """Of each read, sum and number of its known distances to each cluster of each labelling:
+    labels as one-hot columns, so a block of pairs is one product for all labellings."""
+    import numpy as np
+
+    ids, (i, j), dist = split_group(group)
+    if not len(i):
+        return None
+    flat, lengths = group["labels"]
+    labels = flat.reshape(len(ids), lengths[0])
+    unit = np.floor(dist * UNITS + 0.5).astype(np.int64)
+    ends, others = np.concatenate([i, j]), np.concatenate([j, i])
+    unit = np.concatenate([unit, unit])
+    out = []
+    for k in range(labels.shape[1]):
+        clusters, of = np.unique(labels[:, k], return_inverse=True)
+        cell = ends * len(clusters) + of[others]
+        total = np.zeros(len(ids) * len(clusters), np.int64)
+        np.add.at(total, cell, unit)
+        count = np.bincount(cell, minlength=len(total))
+        seen = np.flatnonzero(count)
+        out.append((ids[seen // len(clusters)], np.full(len(seen), k), clusters[seen % len(clusters)],
+                    total[seen], count[seen]))
+    read, k, cluster, total, count = (np.concatenate(c) for c in zip(*out))
+    return {"region_id": np.full(len(read), group["region_id"][0], np.int32),
+            "read_id": read.astype(np.int32), "k": k.astype(np.int32), "other": cluster,
+            "known": total, "n_known": count.astype(np.int64)}
+
+
+_SUMS = "region_id INT, read_id INT, k INT, other BIGINT, known BIGINT, n_known BIGINT"
+
+
+def _silhouettes(labels: DataFrame, distances: DataFrame) -> DataFrame:
+    """``region_id, read_id, k, cluster_id, silhouette`` for reads with an array ``labels`` of their
+    clusters under each labelling ``k``. Pairs are read once for all labellings."""
+    known = in_pair_blocks(labels, distances.filter("dist is not null"), "labels", _sums_kernel,
+                           _SUMS).groupBy("region_id", "read_id", "k", "other").agg(
+        F.sum("known").alias("known"), F.sum("n_known").alias("n_known"))
+    mine = labels.select("region_id", "read_id", F.posexplode("labels").alias("k", "own"))
+    sizes = mine.groupBy("region_id", "k", F.col("own").alias("other")).agg(
+        F.count(F.lit(1)).alias("size"))
+    # pairs without a known distance add the largest one each
+    n = F.col("size") - F.when(F.col("other") == F.col("own"), 1).otherwise(0)
+    total = F.coalesce("known", F.lit(0)) + UNITS * (n - F.coalesce("n_known", F.lit(0)))
+    mean = F.when(n > 0, total / n)
     here = F.col("other") == F.col("own")
-    per_read = mine.join(sums, [*keys, "read_i"], "left").groupBy(*keys, "read_i", "own").agg(
+    per_read = mine.join(sizes, ["region_id", "k"]).join(
+        known, ["region_id", "read_id", "k", "other"], "left").groupBy(
+        "region_id", "read_id", "k", "own").agg(
         F.max(F.when(here, mean)).alias("a"), F.min(F.when(~here, mean)).alias("b"))
     top = F.greatest("a", "b")
     value = (F.when(F.col("b").isNull(), None).when(F.col("a").isNull() | (top == 0), 0.0)
              .otherwise((F.col("b") - F.col("a")) / top))
-    return per_read.select(*keys, F.col("read_i").alias("read_id"),
-                           F.col("own").alias("cluster_id"), value.alias("silhouette"))
+    return per_read.select("region_id", "read_id", "k", F.col("own").alias("cluster_id"),
+                           value.alias("silhouette"))
+
+
+def silhouette(labels: DataFrame, distances: DataFrame) -> DataFrame:
+    """Silhouette per read: 0 for a singleton, null where a region has one cluster."""
+    one = labels.select("region_id", "read_id",
+                        F.array(F.col("cluster_id").cast("bigint")).alias("labels"))
+    return _silhouettes(one, distances).select(
+        "region_id", "read_id", F.col("cluster_id").cast(
+            labels.schema["cluster_id"].dataType).alias("cluster_id"), "silhouette")
 
 
 def cut_silhouette(leaves: DataFrame, distances: DataFrame, ks: list[int]) -> DataFrame:
     """Labels of the cut among ``ks`` with the best mean silhouette (smaller k on ties)."""
-    marked = _last_merges(leaves, max(ks) - 1).withColumn(
-        "k", F.explode(F.array(*[F.lit(k) for k in sorted(ks)])))
+    ks = sorted(set(ks))
+    marked = _last_merges(leaves, ks[-1] - 1).withColumn(
+        "k", F.explode(F.array(*[F.lit(k) for k in ks])))
     starts = F.col("height").isNull() | (F.col("_late") <= F.col("k") - 1)
-    labels = _segments(marked, ["region_id", "k"], F.coalesce(starts, F.lit(False)))
-    scores = silhouette(labels, distances, ("region_id", "k")).groupBy("region_id", "k").agg(
+    cut = _segments(marked, ["region_id", "k"], F.coalesce(starts, F.lit(False)))
+    labels = cut.groupBy("region_id", "read_id").agg(
+        F.sort_array(F.collect_list(F.struct("k", F.col("cluster_id").cast("bigint").alias("c"))))
+        .alias("v")).select("region_id", "read_id", F.col("v.c").alias("labels"))
+    scores = _silhouettes(labels, distances).groupBy("region_id", "k").agg(
         F.avg("silhouette").alias("mean"))
     best = scores.groupBy("region_id").agg(F.max(F.struct(
         F.coalesce(F.floor(F.col("mean") * 1e9), F.lit(-UNITS * 2)).alias("m"),
-        (-F.col("k")).alias("neg"))).alias("b")).select(
-        "region_id", (-F.col("b.neg")).alias("k"))
-    return labels.join(best, ["region_id", "k"], "left_semi").select(
-        "region_id", "read_id", "cluster_id", "k")
+        (-F.col("k")).alias("neg"))).alias("b")).select("region_id", (-F.col("b.neg")).alias("at"))
+    chosen = F.get(F.array(*[F.lit(k) for k in ks]), F.col("at"))
+    return labels.join(best, "region_id").select(
+        "region_id", "read_id", F.get("labels", F.col("at")).cast("int").alias("cluster_id"),
+        chosen.alias("k"))
 
 
 def label_reads(labels: DataFrame, reads: DataFrame) -> DataFrame:

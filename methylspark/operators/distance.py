@@ -3,7 +3,15 @@
 Pairs are never formed by a self-join over sites. Each read is packed into one
 row, reads are cut into blocks by ``read_id``, and a task gets two blocks of one
 region at a time. A region with very many reads thus spreads over many tasks,
-and the pair x site intermediate exists only as small matrices inside a task.
+and the pair x site intermediate exists only inside a task.
+
+For the metrics on binary states a read is a row of 64-bit words, one mask and one
+value word for every 64 sites, put together by Spark before the shuffle; a pair is
+then an XOR and two bit counts, for all groups of a batch at once.
+
+A table of distances holds only pairs that are known. What a missing pair counts
+as stays implied: the operators that need all pairs add it (``fill_missing_pairs``
+as rows, ``distance_matrix`` as arrays, clustering and silhouettes as sums).
 """
 
 from __future__ import annotations
@@ -16,6 +24,8 @@ from methylspark.params import METRICS, Params
 from methylspark.schemas import DISTANCES
 
 BLOCK_READS = 256
+#: Pairs of packed reads that a task looks at in one go.
+PAIRS = 1 << 18
 
 
 def _block_kernel(metric: str):
@@ -45,17 +55,10 @@ def _block_kernel(metric: str):
         m, x, mt, xt = seen[left], value[left], seen[right].T, value[right].T
         n = m @ mt
         with np.errstate(divide="ignore", invalid="ignore"):
-            if metric == "nhd":
-                dist = (x @ (mt - xt) + (m - x) @ xt) / n
-            elif metric == "nhd_weighted":
+            if metric == "nhd_weighted":
                 w = weight[:, None]
                 differing = x @ (w * (mt - xt)) + (m - x) @ (w * xt)
                 dist = differing / (m @ (w * mt))
-            elif metric == "jaccard":
-                both = x @ xt
-                either = x @ mt + m @ xt - both
-                dist = np.where(either > 0, 1.0 - both / either, 0.0)
-                dist[n == 0] = np.nan
             elif metric == "l1":
                 total = np.empty_like(n)
                 for i in range(len(left)):
@@ -70,6 +73,8 @@ def _block_kernel(metric: str):
                 dist[var <= 0] = np.nan
         i, j = (np.triu_indices(len(left), 1) if block_i == block_j
                 else tuple(a.ravel() for a in np.indices(n.shape)))
+        shared = n[i, j] > 0
+        i, j = i[shared], j[shared]
         d = dist[i, j]
         return {
             "region_id": np.full(len(i), region, np.int32),
@@ -82,72 +87,227 @@ def _block_kernel(metric: str):
     return kernel
 
 
+def _word_kernel(metric: str):
+    """Distances of all pairs of the groups of a batch from their mask and value words."""
+
+    def kernel(rows, bounds):
+        import numpy as np
+        import pyarrow as pa
+
+        region, ids, block = rows["region_id"], rows["read_id"], rows["block"]
+        word, counts = rows["words"]
+        n_words = int(word.max(initial=0)) + 1
+        at = np.repeat(np.arange(len(ids)), counts), word
+        mask, value = (np.zeros((len(ids), n_words), np.uint64) for _ in range(2))
+        mask[at] = rows["masks"][0].astype(np.int64).view(np.uint64)
+        value[at] = rows["bits"][0].astype(np.int64).view(np.uint64)
+        # The partners of a read are the reads behind it in its block, or all of the other block.
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        same = rows["block_i"] == rows["block_j"]
+        turn = np.flatnonzero((np.diff(block) != 0) & (np.diff(ends) == 0)) + 1
+        second = ends.copy()  # where the second block of a row's group begins
+        group = np.searchsorted(bounds, turn, "right") - 1
+        for g, first in zip(group.tolist(), turn.tolist()):
+            second[bounds[g]:bounds[g + 1]] = first
+        begin = np.where(same, np.arange(len(ids)) + 1, second)
+        partners = np.where(same | (block == rows["block_i"]), ends - begin, 0)
+        upto = np.append(0, np.cumsum(partners))
+        low = 0
+        while low < len(ids):
+            high = max(int(np.searchsorted(upto, upto[low] + PAIRS, "right")) - 1, low + 1)
+            many = partners[low:high]
+            i = np.repeat(np.arange(low, high), many)
+            j = begin[i] + np.arange(len(i)) - np.repeat(upto[low:high] - upto[low], many)
+            n, x, y = (np.zeros(len(i), np.int64) for _ in range(3))
+            for w in range(n_words):
+                both = mask[i, w] & mask[j, w]
+                n += np.bitwise_count(both)
+                if metric == "nhd":
+                    x += np.bitwise_count((value[i, w] ^ value[j, w]) & both)
+                else:
+                    x += np.bitwise_count(value[i, w] & value[j, w])
+                    y += np.bitwise_count((value[i, w] | value[j, w]) & both)
+            shared = n > 0
+            i, j, n, x, y = i[shared], j[shared], n[shared], x[shared], y[shared]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = x / n if metric == "nhd" else np.where(y > 0, 1.0 - x / y, 0.0)
+            yield {"region_id": region[i].astype(np.int32), "read_i": ids[i].astype(np.int32),
+                   "read_j": ids[j].astype(np.int32), "n_common": n.astype(np.int32),
+                   "dist": pa.array(dist)}
+            low = high
+
+    return kernel
+
+
 def _pack(reads: DataFrame, matrix: DataFrame, level: str, weighted: bool) -> DataFrame:
-    """One row per kept read with the arrays of its sites and levels."""
+    """One row per kept read that has a site, with the arrays of its sites and levels."""
     fields = ["cpg_id", F.col(level).cast("double").alias("level")]
     if weighted:
         fields.append(F.col("weight").cast("double").alias("weight"))
     rows = matrix.filter(F.col(level).isNotNull()).groupBy("region_id", "read_id").agg(
         F.collect_list(F.struct(*fields)).alias("v"))
-    out = [F.coalesce("v.cpg_id", F.array().cast("array<int>")).alias("sites"),
-           F.coalesce("v.level", F.array().cast("array<double>")).alias("levels")]
+    out = [F.col("v.cpg_id").alias("sites"), F.col("v.level").alias("levels")]
     if weighted:
-        out.append(F.coalesce("v.weight", F.array().cast("array<double>")).alias("weights"))
-    return reads.select("region_id", "read_id").join(
-        rows, ["region_id", "read_id"], "left").select("region_id", "read_id", *out)
+        out.append(F.col("v.weight").alias("weights"))
+    return _kept(reads, rows).select("region_id", "read_id", *out)
+
+
+def _kept(reads: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.join(reads.select("region_id", "read_id"), ["region_id", "read_id"], "left_semi")
+
+
+def pack_words(matrix: DataFrame) -> DataFrame:
+    """``words, masks, bits`` of every read with a binary state: which words of 64 sites it has, and
+    of each the sites it covers and those that are methylated. Words are put together before the
+    shuffle."""
+    bit = F.expr("shiftleft(1L, cpg_id % 64)")
+    words = matrix.filter("bin is not null").groupBy(
+        "region_id", "read_id", F.expr("cast(cpg_id div 64 as int)").alias("word")).agg(
+        F.bit_or(bit).alias("mask"),
+        F.bit_or(F.when(F.col("bin") == 1, bit).otherwise(0)).alias("bits"))
+    return words.groupBy("region_id", "read_id").agg(
+        F.collect_list(F.struct("word", "mask", "bits")).alias("v")).select(
+        "region_id", "read_id", F.col("v.word").alias("words"), F.col("v.mask").alias("masks"),
+        F.col("v.bits").alias("bits"))
+
+
+def _in_block_pairs(rows: DataFrame, reads: DataFrame, block_reads: int) -> DataFrame:
+    """``rows`` of reads, each once for every pair of blocks that its block is in."""
+    last = reads.groupBy("region_id").agg(
+        F.expr(f"cast(max(read_id) div {block_reads} as int)").alias("last"))
+    spread = rows.withColumn("block", F.expr(f"cast(read_id div {block_reads} as int)")).join(
+        last, "region_id").withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
+    return spread.withColumn("block_i", F.least("block", "other")).withColumn(
+        "block_j", F.greatest("block", "other")).drop("other")
+
+
+_BLOCK_KEYS = ["region_id", "block_i", "block_j"]
 
 
 def pair_distances(reads: DataFrame, matrix: DataFrame, metric: str = "nhd",
                    block_reads: int = BLOCK_READS) -> DataFrame:
-    """All pairs ``read_i < read_j`` of each region with ``n_common`` and ``dist``.
+    """Pairs ``read_i < read_j`` of each region that share a site, with ``n_common`` and ``dist``.
 
-    ``dist`` is null where it is undefined (no common site, no variance). ``matrix``
-    needs ``bin`` for the binary metrics, ``ml`` for the others and ``weight``
-    besides ``bin`` for ``nhd_weighted``.
+    ``dist`` is null where it is undefined (no variance). ``matrix`` needs ``bin`` for the binary
+    metrics, ``ml`` for the others and ``weight`` besides ``bin`` for ``nhd_weighted``.
     """
     if metric not in METRICS + ("nhd_weighted",):
         raise ValueError(f"unknown metric {metric}")
-    level = "bin" if metric in ("nhd", "jaccard", "nhd_weighted") else "ml"
-    packed = _pack(reads, matrix, level, metric == "nhd_weighted").withColumn(
-        "block", F.expr(f"cast(read_id div {block_reads} as int)"))
-    last = reads.groupBy("region_id").agg(
-        F.expr(f"cast(max(read_id) div {block_reads} as int)").alias("last"))
-    spread = packed.join(last, "region_id").withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("last")))).drop("last")
-    grouped = spread.withColumn("block_i", F.least("block", "other")).withColumn(
-        "block_j", F.greatest("block", "other")).drop("other")
-    return apply_to_runs(grouped, ["region_id", "block_i", "block_j"],
-                         _block_kernel(metric), DISTANCES)
+    if metric in ("nhd", "jaccard"):
+        rows = _in_block_pairs(_kept(reads, pack_words(matrix)), reads, block_reads)
+        return apply_to_runs(rows, _BLOCK_KEYS, _word_kernel(metric), DISTANCES,
+                             order=["block", "read_id"], together=True)
+    level = "bin" if metric == "nhd_weighted" else "ml"
+    rows = _in_block_pairs(_pack(reads, matrix, level, metric == "nhd_weighted"), reads, block_reads)
+    return apply_to_runs(rows, _BLOCK_KEYS, _block_kernel(metric), DISTANCES)
 
 
 def read_pairs(reads: DataFrame, matrix: DataFrame) -> DataFrame:
     """Pairs of reads that share sites, with how many they share."""
-    return pair_distances(reads, matrix, "l2").filter("n_common > 0").select(
+    covered = matrix.withColumn("bin", F.when(F.col("ml").isNotNull(), 1))
+    return pair_distances(reads, covered, "nhd").select(
         "region_id", "read_i", "read_j", "n_common")
 
 
-def fill_missing_pairs(distances: DataFrame, params: Params = Params()) -> DataFrame:
-    """Pairs with too few common sites become 1.0 (``max_dist``) or null (``skip``)."""
+def known_pairs(distances: DataFrame, params: Params = Params()) -> DataFrame:
+    """Pairs with a distance from enough common sites; the others stay implied."""
+    return distances.filter((F.col("n_common") >= params.min_common_coverage)
+                            & F.col("dist").isNotNull())
+
+
+def all_pairs(reads: DataFrame) -> DataFrame:
+    """Every pair ``read_i < read_j`` of each region: one row per read grows to its partners."""
+    ids = reads.groupBy("region_id").agg(F.sort_array(F.collect_list("read_id")).alias("ids"))
+    place = F.array_position("ids", F.col("read_id")).cast("int")
+    return reads.select("region_id", "read_id").join(ids, "region_id").select(
+        "region_id", F.col("read_id").alias("read_i"), F.explode(F.slice(
+            "ids", place + 1, F.size("ids") - place)).alias("read_j"))
+
+
+def fill_missing_pairs(reads: DataFrame, distances: DataFrame,
+                       params: Params = Params()) -> DataFrame:
+    """All pairs; those without a known distance get 1.0 (``max_dist``) or null (``skip``)."""
     filler = F.lit(1.0) if params.missing_pairs == "max_dist" else F.lit(None).cast("double")
-    known = (F.col("n_common") >= params.min_common_coverage) & F.col("dist").isNotNull()
-    return distances.withColumn("dist", F.when(known, F.col("dist")).otherwise(filler))
+    known = known_pairs(distances, params)
+    keys = ["region_id", "read_i", "read_j"]
+    return all_pairs(reads).join(known, keys, "left").select(
+        *keys, F.coalesce("n_common", F.lit(0)).alias("n_common"),
+        F.coalesce("dist", filler).alias("dist"))
+
+
+def in_pair_blocks(reads: DataFrame, distances: DataFrame, payload: str, kernel, schema: str,
+                   block_reads: int = BLOCK_READS) -> DataFrame:
+    """``kernel`` on each pair of read blocks: its reads with ``payload`` (an array of BIGINT; such
+    rows have a negative ``read_j``), then the known pairs between the two blocks.
 
+    Pairs are shuffled once, and reads go to as many groups as their region has blocks.
+    """
+    nothing = F.array().cast("array<bigint>")
+    members = _in_block_pairs(reads.select("region_id", "read_id", payload), reads, block_reads)
+    members = members.select(*_BLOCK_KEYS, F.col("read_id").alias("read_i"),
+                             F.lit(-1).alias("read_j"), F.lit(0.0).alias("dist"), payload)
+    block = "cast({} div " + str(block_reads) + " as int)"
+    pairs = distances.select(
+        "region_id", F.expr(block.format("read_i")).alias("block_i"),
+        F.expr(block.format("read_j")).alias("block_j"), "read_i", "read_j", "dist",
+        nothing.alias(payload))
+    return apply_to_runs(members.unionByName(pairs), _BLOCK_KEYS, kernel, schema,
+                         order=["read_j", "read_i"])
+
+
+def split_group(group):
+    """Of a group of ``in_pair_blocks``: its reads in order, and its pairs as places in them."""
+    import numpy as np
 
-def both_directions(distances: DataFrame) -> DataFrame:
-    """Each unordered pair as two rows."""
-    def way(a: str, b: str):
-        return F.struct(F.col(a).alias("i"), F.col(b).alias("j"))
+    n = int(np.searchsorted(group["read_j"], 0))
+    ids = group["read_i"][:n]
+    return ids, (np.searchsorted(ids, group["read_i"][n:]),
+                 np.searchsorted(ids, group["read_j"][n:])), group["dist"][n:]
 
-    return distances.withColumn("p", F.explode(F.array(
-        way("read_i", "read_j"), way("read_j", "read_i")))).select(
-        "region_id", F.col("p.i").alias("read_i"), F.col("p.j").alias("read_j"), "dist")
+
+def _matrix_kernel(block_reads: int, filler: float):
+    """The two blocks of a group as rows of the whole matrix."""
+
+    def kernel(group):
+        import numpy as np
+        import pyarrow as pa
+
+        ids, (i, j), dist = split_group(group)
+        whole = np.full((len(ids), len(ids)), filler)
+        whole[i, j] = dist
+        whole[j, i] = dist
+        np.fill_diagonal(whole, 0.0)
+        block_i, block_j = int(group["block_i"][0]), int(group["block_j"][0])
+        of = ids // block_reads
+        out = []
+        for rows, columns in {(block_i, block_j), (block_j, block_i)}:
+            cells = whole[of == rows][:, of == columns]
+            out.append((ids[of == rows], np.full(len(cells), columns), cells))
+        flat = np.concatenate([cells.ravel() for _, _, cells in out])
+        sizes = np.concatenate([np.full(len(c), c.shape[1]) for _, _, c in out])
+        values = pa.array(flat, mask=np.isnan(flat))
+        return {"region_id": np.full(len(sizes), group["region_id"][0], np.int32),
+                "read_id": np.concatenate([r for r, _, _ in out]).astype(np.int32),
+                "part": np.concatenate([p for _, p, _ in out]).astype(np.int32),
+                "dist": pa.ListArray.from_arrays(
+                    pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)}
+
+    return kernel
 
 
-def distance_matrix(reads: DataFrame, distances: DataFrame) -> DataFrame:
-    """Symmetric matrix with zero diagonal, one row per cell."""
-    diagonal = reads.select("region_id", F.col("read_id").alias("read_i"),
-                            F.col("read_id").alias("read_j"), F.lit(0.0).alias("dist"))
-    return both_directions(distances).unionByName(diagonal)
+def distance_matrix(reads: DataFrame, distances: DataFrame, params: Params = Params(),
+                    block_reads: int = BLOCK_READS) -> DataFrame:
+    """Symmetric matrix with zero diagonal: one row per read, its distances to all reads of the
+    region in order. Blocks of rows come from the tasks and are only joined end to end."""
+    filler = 1.0 if params.missing_pairs == "max_dist" else float("nan")
+    parts = in_pair_blocks(
+        reads.withColumn("_none", F.array().cast("array<bigint>")), known_pairs(distances, params),
+        "_none", _matrix_kernel(block_reads, filler),
+        "region_id INT, read_id INT, part INT, dist ARRAY<DOUBLE>", block_reads)
+    return parts.groupBy("region_id", "read_id").agg(
+        F.sort_array(F.collect_list(F.struct("part", "dist"))).alias("p")).select(
+        "region_id", "read_id", F.flatten("p.dist").alias("dist"))
 
 
 def site_weights(matrix: DataFrame, flags: DataFrame, pmd_weight: int = 1,

@@ -96,17 +96,16 @@ def cpg_sites_tsv_lines(index: DataFrame, regions: DataFrame, chroms: DataFrame)
 def distance_csv_lines(matrix: DataFrame) -> DataFrame:
     """Text of each region's distance matrix: a header (line_no 0), then one line per read.
 
-    ``matrix`` has a row for both directions of every pair and for each read with itself.
+    ``matrix`` has one row per read with its distances to all reads of the region in order, whose
+    names run from 0.
     """
-    rows = matrix.groupBy("region_id", F.col("read_i").alias("read_id")).agg(
-        F.array_sort(F.collect_list(F.struct("read_j", "dist"))).alias("d"))
-    cell = lambda e: F.when(e["dist"].isNull(), "NA").otherwise(
-        F.format_string("%.4f", F.floor(e["dist"] * 1e4 + 0.5) / F.lit(1e4)))
-    body = rows.select("region_id", (F.col("read_id") + 1).alias("line_no"), F.concat_ws(
-        ",", F.col("read_id").cast("string"), F.transform("d", cell)).alias("line"))
-    heads = rows.filter("read_id = 0").select("region_id", F.lit(0).alias("line_no"), F.concat_ws(
-        ",", F.lit("read_id"), F.transform("d", lambda e: e["read_j"].cast("string")))
-        .alias("line"))
+    cell = lambda d: F.when(d.isNull(), "NA").otherwise(
+        F.format_string("%.4f", F.floor(d * 1e4 + 0.5) / F.lit(1e4)))
+    body = matrix.select("region_id", (F.col("read_id") + 1).alias("line_no"), F.concat_ws(
+        ",", F.col("read_id").cast("string"), F.transform("dist", cell)).alias("line"))
+    heads = matrix.filter("read_id = 0").select(
+        "region_id", F.lit(0).alias("line_no"), F.concat_ws(",", F.lit("read_id"), F.transform(
+            "dist", lambda d, k: k.cast("string"))).alias("line"))
     return heads.unionByName(body)
 
 

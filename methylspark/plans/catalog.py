@@ -466,15 +466,17 @@ for _metric in ("nhd", "l1", "l2", "corr", "jaccard", "nhd_weighted"):
 
 @query
 def fill_missing_pairs(spark, sf_dir):
-    return run_of(spark, sf_dir).distances.select(
+    run = run_of(spark, sf_dir)
+    return distance.fill_missing_pairs(run.reads, run.distances, PARAMS).select(
         "region_id", "read_i", "read_j", r6(F.col("dist")).alias("dist"))
 
 
 @query
 def distance_matrix(spark, sf_dir):
     run = run_of(spark, sf_dir)
-    return distance.distance_matrix(run.reads, run.distances).withColumn(
-        "dist", r6(F.col("dist")))
+    return distance.distance_matrix(run.reads, run.distances).select(
+        "region_id", "read_id", F.array_join(F.transform("dist", lambda d: F.format_string(
+            "%.6f", r6(d))), ",").alias("distances"))
 
 
 # --- clusters ----------------------------------------------------------------

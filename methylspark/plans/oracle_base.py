@@ -337,18 +337,24 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+_MIXED = "((a::BIGINT * 1000003 + b::BIGINT * 998244353) % 2147483647)"
+_TIE = f"{_MIXED} * {_MIXED} % 2147483647"
+
+
 def _merging(method: str) -> str:
-    """One merge per region and step: the nearest two clusters, those with smaller names on ties.
+    """One merge per region and step: the nearest two clusters, by a hash of both names on ties.
 
     A state holds the cluster and leaf place of every read and, by cluster name, the size, the sum
     of inner distances, the height of the last merge and the tree as text.
     """
     value = "s::DOUBLE / (na * nb)"
     height = "m.d / 1e9"
+    order = "{}"
     if method == "ward":
         value = (f"2.0 * (na * nb) / (na + nb) * ({value} - wa::DOUBLE / (na * na)"
                  " - wb::DOUBLE / (nb * nb))")
         height = "sqrt(greatest(m.d, 0.0) / 1e9)"
+        order = "floor({} + 0.5)"
     branch = "printf('%.6f', floor(({h} - tops[m.{x} + 1]) / 2 * 1e6 + 0.5) / 1e6)"
     left, right = (branch.format(h=height, x=x) for x in "ab")
 
@@ -371,7 +377,8 @@ def _merging(method: str) -> str:
                {put("trees", f"'(' || v || ':' || {left} || ',' || trees[m.b + 1] || ':' || {right} || ')'")},
                m.a, m.b, {height}, step + 1
         FROM (
-            SELECT region_id, min({{'d': {value}, 'a': a, 'b': b, 's': s}}) AS m
+            SELECT region_id, min({{'key': {order.format(value)}, 'tie': {_TIE}, 'a': a, 'b': b,
+                                    'd': {value}, 's': s}}) AS m
             FROM (SELECT t.*, sizes[t.a + 1]::DOUBLE AS na, sizes[t.b + 1]::DOUBLE AS nb,
                          inners[t.a + 1] AS wa, inners[t.b + 1] AS wb
                   FROM (SELECT region_id, least(oi, oj) AS a, greatest(oi, oj) AS b, sum(unit) AS s

@@ -22,13 +22,10 @@ def _per_read(table: str, place: str, where: str = "TRUE") -> str:
 
 
 def _pair_metric(n: str, dist: str, where: str = "TRUE") -> str:
-    """All pairs with aggregates ``n`` and ``dist`` over the rows of ``common``."""
-    return f"""SELECT region_id, read_i, read_j, coalesce(n, 0) AS n_common,
-        {r6('dist')} AS dist
-        FROM all_pairs LEFT JOIN (
-            SELECT region_id, read_i, read_j, {n} AS n, {dist} AS dist
-            FROM common WHERE {where} GROUP BY region_id, read_i, read_j)
-        USING (region_id, read_i, read_j)"""
+    """Pairs with a common site, with aggregates ``n`` and ``dist`` over the rows of ``common``."""
+    return f"""SELECT region_id, read_i, read_j, n AS n_common, {r6('dist')} AS dist
+        FROM (SELECT region_id, read_i, read_j, {n} AS n, {dist} AS dist
+              FROM common WHERE {where} GROUP BY region_id, read_i, read_j)"""
 
 
 _BINARY = "p IS NOT NULL AND q IS NOT NULL"
@@ -327,9 +324,9 @@ def statements() -> dict[str, str]:
                                               cb="NOT p.is_tumor"), "cells", "pairs")
 
     # Distances.
-    pairs = ("all_pairs", "common")
+    pairs = ("common",)
     add("dist_nhd", f"""SELECT region_id, read_i, read_j, n_common, {r6('dist')} AS dist
-        FROM nhd""", "nhd")
+        FROM nhd WHERE n_common > 0""", "nhd")
     add("dist_l1", _pair_metric("count(*)", "sum(abs(x - y))::DOUBLE / (255.0 * count(*))"), *pairs)
     add("dist_l2", _pair_metric(
         "count(*)", "sum((x - y) * (x - y))::DOUBLE / (65025.0 * count(*))"), *pairs)
@@ -340,21 +337,20 @@ def statements() -> dict[str, str]:
     add("dist_jaccard", _pair_metric("count(*)", """CASE WHEN sum(greatest(p, q)) > 0 THEN
         1.0 - sum(p * q)::DOUBLE / sum(greatest(p, q)) ELSE 0.0 END""", _BINARY), *pairs)
     add("dist_nhd_weighted", f"""
-        SELECT region_id, read_i, read_j, coalesce(n, 0) AS n_common, {r6('dist')} AS dist
-        FROM all_pairs LEFT JOIN (
+        SELECT region_id, read_i, read_j, n AS n_common, {r6('dist')} AS dist
+        FROM (
             SELECT a.region_id, a.read_id AS read_i, b.read_id AS read_j, count(*) AS n,
                    sum(abs(a.bin - b.bin) * w)::DOUBLE / sum(w) AS dist
             FROM matrix a JOIN matrix b ON a.region_id = b.region_id AND a.pos = b.pos
              AND a.read_id < b.read_id
             JOIN (SELECT chrom, pos, CASE WHEN in_pmd THEN 1 ELSE 4 END AS w FROM flags) f
               ON f.chrom = a.chrom AND f.pos = a.pos
-            WHERE a.bin IS NOT NULL AND b.bin IS NOT NULL GROUP BY ALL)
-        USING (region_id, read_i, read_j)""", "all_pairs", "matrix", "flags")
+            WHERE a.bin IS NOT NULL AND b.bin IS NOT NULL GROUP BY ALL)""", "matrix", "flags")
     add("fill_missing_pairs", f"""SELECT region_id, read_i, read_j, {r6('dist')} AS dist
         FROM filled""", "filled")
-    add("distance_matrix", f"""SELECT region_id, read_i, read_j, {r6('dist')} AS dist
-        FROM both_ways UNION ALL SELECT region_id, read_id, read_id, 0.0 FROM pairs""",
-        "both_ways", "pairs")
+    add("distance_matrix", f"""SELECT region_id, read_i AS read_id, string_agg(
+            printf('%.6f', {r6('dist')}), ',' ORDER BY read_j) AS distances
+        FROM whole_matrix GROUP BY ALL""", "whole_matrix")
 
     # Dendrograms and their cuts.
     for method in ("upgma", "ward"):

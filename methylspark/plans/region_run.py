@@ -15,7 +15,7 @@ from methylspark.operators import matrix as matrix_ops
 from methylspark.operators import reads as reads_ops
 from methylspark.operators import report
 from methylspark.operators.cluster import cluster_reads
-from methylspark.operators.distance import fill_missing_pairs, pair_distances
+from methylspark.operators.distance import known_pairs, pair_distances
 from methylspark.operators.intervals import classes_at, in_touched_bins
 from methylspark.operators.ranking import largest_group
 from methylspark.operators.regions import make_regions, region_status
@@ -120,8 +120,9 @@ class RegionRun:
 
     @cached_property
     def distances(self) -> DataFrame:
+        """Known pairs only; what the others count as stays implied."""
         raw = pair_distances(self.reads, self.gated, self.params.metric)
-        return self.store("distances", fill_missing_pairs(raw, self.params))
+        return self.store("distances", known_pairs(raw, self.params))
 
     @cached_property
     def leaves(self) -> DataFrame:

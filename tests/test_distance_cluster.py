@@ -58,6 +58,7 @@ def test_distances(spark, metric, block):
     want = {(g, i, j): brute(metric, [x for x in rows if x[:2] == (g, i)],
                              [x for x in rows if x[:2] == (g, j)])
             for g, i in reads for h, j in reads if g == h and i < j}
+    want = {k: v for k, v in want.items() if v[0]}  # pairs without a common site stay implied
     assert got.keys() == want.keys()
     for k, (n, d) in want.items():
         assert got[k][0] == n
@@ -66,19 +67,40 @@ def test_distances(spark, metric, block):
             assert got[k][1] == pytest.approx(d, abs=1e-9)
 
 
+def test_packed_words_of_many_sites(spark, monkeypatch):
+    """Sites in several words, several regions in a task, and fewer pairs at a time than a read has."""
+    monkeypatch.setattr(distance, "PAIRS", 5)
+    rows, reads = cells(8, (11, 1, 7, 4), 150)
+    m = spark.createDataFrame(
+        rows, "region_id INT, read_id INT, cpg_id INT, ml INT, bin INT, weight INT")
+    r = spark.createDataFrame(reads, "region_id INT, read_id INT")
+    for metric in ("nhd", "jaccard"):
+        got = {tuple(x)[:3]: tuple(x)[3:] for x in distance.pair_distances(r, m, metric, 3).collect()}
+        for (g, i, j), (n, d) in got.items():
+            want = brute(metric, *([x for x in rows if x[:2] == (g, k)] for k in (i, j)))
+            assert (n, pytest.approx(d, abs=1e-12)) == want
+        assert len(got) == 55 + 21 + 6
+    shared = {tuple(x)[:3]: x.n_common for x in distance.read_pairs(r, m.drop("bin")).collect()}
+    sites = {}
+    for x in rows:
+        sites.setdefault(x[:2], set()).add(x[2])
+    assert shared == {(g, i, j): len(sites[g, i] & sites[g, j]) for g, i, j in got}
+
+
 def test_missing_pairs_and_matrix(spark):
-    d = spark.createDataFrame([(0, 0, 1, 3, 0.5), (0, 0, 2, 2, 0.1), (0, 1, 2, 5, None)],
+    d = spark.createDataFrame([(0, 0, 1, 3, 0.5), (0, 0, 2, 2, 0.1), (0, 1, 3, 5, None)],
                               "region_id INT, read_i INT, read_j INT, n_common INT, dist DOUBLE")
-    filled = distance.fill_missing_pairs(d)
-    assert [r.dist for r in filled.orderBy("read_i", "read_j").collect()] == [0.5, 1.0, 1.0]
-    skipped = distance.fill_missing_pairs(d, Params(missing_pairs="skip"))
-    assert [r.dist for r in skipped.orderBy("read_i", "read_j").collect()] == [0.5, None, None]
-    reads = spark.createDataFrame([(0, i) for i in range(3)], "region_id INT, read_id INT")
-    full = {(r.read_i, r.read_j): r.dist for r in
-            distance.distance_matrix(reads, filled).collect()}
-    assert len(full) == 9
-    assert all(full[i, j] == full[j, i] for i in range(3) for j in range(3))
-    assert full[1, 1] == 0.0
+    reads = spark.createDataFrame([(0, i) for i in range(4)], "region_id INT, read_id INT")
+    skip = Params(missing_pairs="skip")
+    for params, far in ((Params(), 1.0), (skip, None)):
+        filled = distance.fill_missing_pairs(reads, d, params).orderBy("read_i", "read_j").collect()
+        assert [(r.read_i, r.read_j) for r in filled] == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3),
+                                                          (2, 3)]
+        assert [r.dist for r in filled] == [0.5, far, far, far, far, far]
+        for block in (1, 3, 256):
+            rows = distance.distance_matrix(reads, d, params, block).orderBy("read_id").collect()
+            assert [r.dist for r in rows] == [[0.0, 0.5, far, far], [0.5, 0.0, far, far],
+                                              [far, far, 0.0, far], [far, far, far, 0.0]]
 
 
 def one_by_one(n, d, method):
@@ -153,6 +175,94 @@ def test_large_regions_get_the_same_tree(spark, method, levels):
     assert text == wide
 
 
+def line(n):
+    """Gaps that grow: every cluster but one waits for its neighbour, so rounds merge one pair each."""
+    at = [k * k for k in range(n)]
+    return {(i, j): (at[j] - at[i]) / (n * n) for i in range(n) for j in range(i + 1, n)}
+
+
+@pytest.mark.parametrize("method", ["upgma", "ward"])
+def test_many_tied_reads(spark, method, monkeypatch):
+    """All pairs alike, and none known at all: ties are dealt out, so few rounds are needed."""
+    rounds = []
+    cut = cluster.cut_lineage
+    monkeypatch.setattr(cluster, "cut_lineage", lambda df: rounds.append(df) or cut(df))
+    n = 14
+    reads = spark.createDataFrame([(0, i) for i in range(n)], "region_id INT, read_id INT")
+    schema = "region_id INT, read_i INT, read_j INT, dist DOUBLE"
+    alike = spark.createDataFrame([(0, i, j, 0.25) for i in range(n) for j in range(i + 1, n)], schema)
+    for pairs in (alike, spark.createDataFrame([], schema)):
+        near = cluster.newick(reads, pairs, method).collect()
+        rounds.clear()
+        assert cluster.newick(reads, pairs, method, max_local_reads=4).collect() == near
+        assert len(rounds) <= 3 + 4 * 9
+
+
+@pytest.mark.parametrize("method", ["upgma", "ward"])
+def test_kernel_on_1024_reads(method):
+    """Tied, chained and random regions of the largest size for one task; generous limits."""
+    import time
+
+    import numpy as np
+    n = cluster.MAX_LOCAL_READS
+    i, j = np.triu_indices(n, 1)
+    draw = np.random.default_rng(3)
+    tables = [np.full(len(i), cluster.UNITS), (j * j - i * i) * 900,
+              draw.integers(0, cluster.UNITS, len(i))]
+    for unit in tables:
+        group = {"region_id": np.zeros(len(i), np.int32), "read_i": i, "read_j": j, "unit": unit}
+        start = time.process_time()
+        out = cluster._cluster_kernel(method, False)(group)
+        assert time.process_time() - start < 3
+        assert sorted(out["leaf_pos"]) == list(range(n))
+        assert out["join_read"].null_count == 1
+
+
+@pytest.mark.parametrize("method", ["upgma", "ward"])
+def test_chains_of_neighbours(spark, method):
+    d = line(20)
+    pairs = spark.createDataFrame([(0, i, j, 5, v) for (i, j), v in d.items()],
+                                  "region_id INT, read_i INT, read_j INT, n_common INT, dist DOUBLE")
+    reads = spark.createDataFrame([(0, i) for i in range(20)], "region_id INT, read_id INT")
+    mine = {r.read_id: (r.join_read, r.height)
+            for r in cluster.cluster_reads(reads, pairs, method).collect()}
+    for a, b, h in one_by_one(20, d, method):
+        assert mine[b] == (a, pytest.approx(h, abs=1e-6))
+
+
+def test_unknown_pairs_count_as_one(spark):
+    """The same tree, cuts and scores whether missing pairs are rows or implied."""
+    reads, pairs, _ = random_pairs(spark, 23, (6, 5, 2))
+    known = pairs.filter("(read_i + 2 * read_j) % 3 <> 0")
+    full = distance.fill_missing_pairs(reads, known)
+    for method in ("upgma", "ward"):
+        for most in (4, 100):
+            texts = [sorted(map(tuple, cluster.newick(reads, d, method, most).collect()))
+                     for d in (known, full)]
+            assert texts[0] == texts[1]
+    leaves = cluster.cluster_reads(reads, known)
+    labels = cluster.cut_k(leaves, 3)
+    for fn in (lambda d: cluster.silhouette(labels, d),
+               lambda d: cluster.cut_silhouette(leaves, d, [2, 3, 4])):
+        assert sorted(map(tuple, fn(known).collect()), key=str) == sorted(
+            map(tuple, fn(full).collect()), key=str)
+    hp = reads.selectExpr("*", "read_id % 3 as hp", "'ALT' as alt_support", "true as is_tumor")
+    one, two = (assoc.label_distance_corr(d, hp, "hp").orderBy("region_id").collect()
+                for d in (known, full))
+    assert one == two and [r.n_pairs for r in one] == [6, 3]
+    left = assoc.label_distance_corr(known, hp, "hp", Params(missing_pairs="skip")).orderBy("region_id")
+    assert [r.n_pairs for r in left.collect()] == [
+        known.filter(f"region_id = {g} and read_i % 3 > 0 and read_j % 3 > 0").count() for g in (0, 1)]
+
+
+def test_silhouettes_over_blocks(spark, monkeypatch):
+    reads, pairs, _ = random_pairs(spark, 29, (11, 4))
+    labels = reads.selectExpr("region_id", "read_id", "read_id % 3 + 1 as cluster_id")
+    one = sorted(map(tuple, cluster.silhouette(labels, pairs).collect()))
+    monkeypatch.setattr(distance.in_pair_blocks, "__defaults__", (3,))
+    assert sorted(map(tuple, cluster.silhouette(labels, pairs).collect())) == one
+
+
 def test_newick_and_cuts(spark):
     d = [(0, 0, 1, 5, 0.2), (0, 0, 2, 5, 0.6), (0, 1, 2, 5, 0.8), (0, 0, 3, 5, 1.0),
          (0, 1, 3, 5, 1.0), (0, 2, 3, 5, 1.0)]
