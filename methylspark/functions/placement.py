@@ -9,6 +9,8 @@ batch at a time, without a Python loop over reads.
 
 from __future__ import annotations
 
+WINDOW_FIELDS = ("region_id INT, read_key BIGINT, chrom STRING, pos ARRAY<INT>, "
+                 "ml ARRAY<SMALLINT>")
 CALL_FIELDS = "read_key BIGINT, chrom STRING, seq_idx INT, pos INT, ml SMALLINT"
 BLOCK_FIELDS = "read_key BIGINT, seq_start INT, ref_start INT, length INT"
 SITE_FIELDS = "chrom STRING, pos INT"
@@ -60,36 +62,44 @@ def _make_tools():
     return np, pa, text, lists, owners, running, blocks
 
 
+def _placed(batch, tools):
+    """Modified bases that exist in their read: row, index in the read, position, whether that is on
+    the reference, probability."""
+    np, _, text, lists, owners, running, blocks = tools
+    raw, seq_bounds = text(batch.column("seq"))
+    c_at = np.flatnonzero(raw[seq_bounds[0]:seq_bounds[-1]] == ord("C")) + seq_bounds[0]
+    c_first = np.searchsorted(c_at, seq_bounds[:-1])
+    c_count = np.searchsorted(c_at, seq_bounds[1:]) - c_first
+    deltas, bounds = lists(batch.column("deltas"))
+    ml, _ = lists(batch.column("ml"))
+    row = owners(bounds)
+    ordinal = running(deltas.astype(np.int64) + 1, bounds) - 1
+    real = ordinal < c_count[row]
+    row, ordinal, ml = row[real], ordinal[real], ml[real]
+    seq_idx = c_at[c_first[row] + ordinal] - seq_bounds[row]
+
+    b_row, b_seq, b_ref, b_len = blocks(batch)
+    stride = np.int64(1) << 32
+    if len(b_row):
+        at = np.searchsorted(b_row * stride + b_seq, row * stride + seq_idx, "right") - 1
+        safe = np.maximum(at, 0)
+        hit = (at >= 0) & (b_row[safe] == row) & (seq_idx < b_seq[safe] + b_len[safe])
+        pos = b_ref[safe] + seq_idx - b_seq[safe] + 1
+    else:
+        hit, pos = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
+    return row, seq_idx, pos, hit, ml
+
+
 def place_modified_bases(batches):
     """One row per modified base that exists in its read.
 
     ``pos`` is the 1-based reference position, null inside insertions and clips.
     """
-    np, pa, text, lists, owners, running, blocks = _make_tools()
+    tools = np, pa, *_ = _make_tools()
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        raw, seq_bounds = text(batch.column("seq"))
-        c_at = np.flatnonzero(raw[seq_bounds[0]:seq_bounds[-1]] == ord("C")) + seq_bounds[0]
-        c_first = np.searchsorted(c_at, seq_bounds[:-1])
-        c_count = np.searchsorted(c_at, seq_bounds[1:]) - c_first
-        deltas, bounds = lists(batch.column("deltas"))
-        ml, _ = lists(batch.column("ml"))
-        row = owners(bounds)
-        ordinal = running(deltas.astype(np.int64) + 1, bounds) - 1
-        real = ordinal < c_count[row]
-        row, ordinal, ml = row[real], ordinal[real], ml[real]
-        seq_idx = c_at[c_first[row] + ordinal] - seq_bounds[row]
-
-        b_row, b_seq, b_ref, b_len = blocks(batch)
-        stride = np.int64(1) << 32
-        if len(b_row):
-            at = np.searchsorted(b_row * stride + b_seq, row * stride + seq_idx, "right") - 1
-            safe = np.maximum(at, 0)
-            hit = (at >= 0) & (b_row[safe] == row) & (seq_idx < b_seq[safe] + b_len[safe])
-            pos = b_ref[safe] + seq_idx - b_seq[safe] + 1
-        else:
-            hit, pos = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
+        row, seq_idx, pos, hit, ml = _placed(batch, tools)
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays([
             batch.column("read_key").take(take),
@@ -100,6 +110,62 @@ def place_modified_bases(batches):
         ], names=["read_key", "chrom", "seq_idx", "pos", "ml"])
 
 
+#: Pairs of a call and a window that are looked at in one go.
+CANDIDATES = 1 << 20
+
+
+def place_in_windows(windows):
+    """One row per read and window with a call strictly between the window's ends.
+
+    ``windows`` is a broadcast of, for every chromosome, ``(starts, ends, region_ids)`` by start. The
+    windows of a call are a run of starts, so reads and windows are never multiplied.
+    """
+    def run(batches):
+        tools = np, pa, *_ = _make_tools()
+        known = {chrom: (starts, ends, ids, int((ends - starts).max()))
+                 for chrom, (starts, ends, ids) in windows.value.items()}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            row, _, pos, hit, ml = _placed(batch, tools)
+            row, pos, ml = row[hit], pos[hit], ml[hit]
+            chrom = np.array(batch.column("chrom").to_pylist(), object)[row]
+            for name in sorted(set(chrom.tolist()) & known.keys()):
+                starts, ends, ids, width = known[name]
+                call = np.flatnonzero(chrom == name)
+                first = np.searchsorted(starts, pos[call] - width, "left")
+                many = np.searchsorted(starts, pos[call], "left") - first
+                # cut between reads, so that a read and window make one row
+                upto = np.append(0, np.cumsum(many))
+                edges, low = [0], 0
+                last_of_read = np.flatnonzero(np.append(np.diff(row[call]) != 0, True)) + 1
+                for end in last_of_read.tolist():
+                    if upto[end] - upto[low] > CANDIDATES and edges[-1] < end:
+                        edges.append(end)
+                        low = end
+                edges = np.unique([*edges, len(call)])
+                for lo, hi in zip(edges, edges[1:]):
+                    c = np.repeat(np.arange(lo, hi), many[lo:hi])
+                    w = first[c] + np.arange(len(c)) - np.repeat(upto[lo:hi] - upto[lo], many[lo:hi])
+                    inside = ends[w] > pos[call[c]]
+                    c, w = call[c[inside]], w[inside]
+                    order = np.argsort(row[c] * np.int64(len(starts)) + w, kind="stable")
+                    c, w = c[order], w[order]
+                    head = np.flatnonzero(np.append(True, (np.diff(row[c]) != 0) | (np.diff(w) != 0)))
+                    if not len(c):
+                        continue
+                    offsets = pa.array(np.append(head, len(c)), pa.int32())
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(ids[w[head]].astype(np.int32)),
+                        batch.column("read_key").take(pa.array(row[c[head]])),
+                        pa.array([name] * len(head), pa.string()),
+                        pa.ListArray.from_arrays(offsets, pa.array(pos[c].astype(np.int32))),
+                        pa.ListArray.from_arrays(offsets, pa.array(ml[c].astype(np.int16))),
+                    ], names=["region_id", "read_key", "chrom", "pos", "ml"])
+
+    return run
+
+
 def place_blocks(batches):
     """One row per aligned block of each read."""
     np, pa, _, _, _, _, blocks = _make_tools()

@@ -58,11 +58,33 @@ def modified_bases(alignments: DataFrame, params: Params = Params()) -> DataFram
 
     Cytosines are counted on the stored sequence, whatever the strand.
     """
+    return _decodable(alignments, params).mapInArrow(
+        placement.place_modified_bases, placement.CALL_FIELDS)
+
+
+def _decodable(alignments: DataFrame, params: Params) -> DataFrame:
     return tag_values(alignments, params).select(
         "read_key", "chrom", "align_start", "seq", "deltas", "ml",
         cg.op_lengths(F.col("cigar")).alias("op_lengths"),
-        cg.op_codes(F.col("cigar")).alias("op_codes"),
-    ).mapInArrow(placement.place_modified_bases, placement.CALL_FIELDS)
+        cg.op_codes(F.col("cigar")).alias("op_codes"))
+
+
+def calls_in_windows(alignments: DataFrame, windows: DataFrame,
+                     params: Params = Params()) -> DataFrame:
+    """Placed calls per read and window, as arrays of ``pos`` and ``ml``, in the pass that decodes.
+
+    ``windows`` goes to every task, so its size must have been checked (``fits_broadcast``); calls
+    outside of all windows never leave the task.
+    """
+    import numpy as np
+
+    given = windows.select("chrom", "win_start", "win_end", "region_id").toPandas()
+    given = given.sort_values(["chrom", "win_start", "region_id"])
+    by_chrom = {chrom: tuple(part[c].to_numpy(np.int64) for c in ("win_start", "win_end", "region_id"))
+                for chrom, part in given.groupby("chrom")}
+    shared = windows.sparkSession.sparkContext.broadcast(by_chrom)
+    return _decodable(alignments, params).mapInArrow(
+        placement.place_in_windows(shared), placement.WINDOW_FIELDS)
 
 
 def project_calls(bases: DataFrame) -> DataFrame:

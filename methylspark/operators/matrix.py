@@ -9,23 +9,50 @@ from methylspark.operators.intervals import overlap_join
 from methylspark.params import Params
 
 
+#: Width of the bins that calls and windows of a read are joined on.
+CALL_BIN_BP = 1024
+
+
+def _checked(cells: DataFrame, sites: DataFrame | None) -> DataFrame:
+    """Cells on ``sites``, looked at after most calls have dropped out by position."""
+    if sites is None:
+        return cells
+    return cells.join(sites.select("chrom", "pos"), ["chrom", "pos"],
+                      "left_semi").select(*cells.columns)
+
+
+def _meetings(reads: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls with the windows of their read that touch their bin."""
+    bins = F.expr(f"explode(sequence(win_start div {CALL_BIN_BP}, win_end div {CALL_BIN_BP}))")
+    keys = reads.select("region_id", "read_id", "read_key", "win_start", "win_end",
+                        bins.alias("_bin"))
+    binned = calls.drop("prob").withColumn("_bin", F.expr(f"pos div {CALL_BIN_BP}"))
+    return keys.join(binned, ["read_key", "_bin"])
+
+
 def region_calls(reads: DataFrame, calls: DataFrame,
                  sites: DataFrame | None = None) -> DataFrame:
     """Calls inside the window of each region their read belongs to.
 
     The outermost bases of a window carry no call, since the base after a site
     must lie in the window too and fetched bases start one past ``win_start``.
-    Calls not yet validated are checked against ``sites`` here, after most of
-    them have dropped out by position.
+    Calls not yet validated are checked against ``sites`` here. A call meets only the windows
+    of its read that touch its bin, so a read with many windows does not multiply its calls.
     """
-    keys = reads.select("region_id", "read_id", "read_key", "win_start", "win_end")
-    cells = keys.join(calls.drop("prob"), "read_key").filter(
+    cells = _meetings(reads, calls).filter(
         (F.col("pos") > F.col("win_start")) & (F.col("pos") < F.col("win_end"))
     ).select("region_id", "read_id", "read_key", "chrom", "pos", "ml")
-    if sites is None:
-        return cells
-    return cells.join(sites.select("chrom", "pos"), ["chrom", "pos"],
-                      "left_semi").select(*cells.columns)
+    return _checked(cells, sites)
+
+
+def window_cells(reads: DataFrame, found: DataFrame,
+                 sites: DataFrame | None = None) -> DataFrame:
+    """The same cells from ``calls_in_windows``: one row per read and window is joined, not per call."""
+    cells = reads.select("region_id", "read_id", "read_key").join(
+        found, ["region_id", "read_key"]).select(
+        "region_id", "read_id", "read_key", "chrom",
+        F.inline(F.arrays_zip("pos", "ml")))
+    return _checked(cells, sites)
 
 
 def cpg_index(cells: DataFrame) -> DataFrame:

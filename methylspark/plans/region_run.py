@@ -16,7 +16,7 @@ from methylspark.operators import reads as reads_ops
 from methylspark.operators import report
 from methylspark.operators.cluster import cluster_reads
 from methylspark.operators.distance import known_pairs, pair_distances
-from methylspark.operators.intervals import classes_at, in_touched_bins
+from methylspark.operators.intervals import classes_at, fits_broadcast, in_touched_bins
 from methylspark.operators.ranking import largest_group
 from methylspark.operators.regions import make_regions, region_status
 from methylspark.params import Params
@@ -79,17 +79,25 @@ class RegionRun:
             reference.tiles_of_regions(tiles, self.live_regions))
 
     @cached_property
-    def calls(self) -> DataFrame:
-        """Placed calls of reads near a window, not yet checked for CpG context."""
+    def _near(self) -> DataFrame:
+        """Kept alignments near a window."""
         kept = reads_ops.filter_reads(self.alignments, self.params).withColumn(
             "_end", reference_end(F.col("cigar"), F.col("align_start")))
-        near = in_touched_bins(kept, self.live_regions, ("align_start", "_end"),
+        return in_touched_bins(kept, self.live_regions, ("align_start", "_end"),
                                ("win_start", "win_end"))
-        return calls_ops.project_calls(calls_ops.modified_bases(near, self.params))
 
     @cached_property
     def cells(self) -> DataFrame:
-        return self.store("cells", matrix_ops.region_calls(self.reads, self.calls, self.sites))
+        """Calls on CpG sites per read and window. Windows of a checked size are looked up while
+        reads are decoded; beyond that, calls and the windows of their reads are joined by bins."""
+        windows = self.live_regions.select("region_id", "chrom", "win_start", "win_end")
+        if fits_broadcast(windows):
+            found = calls_ops.calls_in_windows(self._near, windows, self.params)
+            cells = matrix_ops.window_cells(self.reads, found, self.sites)
+        else:
+            calls = calls_ops.project_calls(calls_ops.modified_bases(self._near, self.params))
+            cells = matrix_ops.region_calls(self.reads, calls, self.sites)
+        return self.store("cells", cells)
 
     @cached_property
     def matrix(self) -> DataFrame:

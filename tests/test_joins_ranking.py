@@ -79,3 +79,48 @@ def test_classes_at(spark):
         flags = tuple(any(c == r.chrom and s < r.pos <= e and k == n for c, s, e, k in bed)
                       for n in names)
         assert (r.in_pmd, r.in_repressive_state, r.accessible) == flags
+
+
+def test_many_windows_of_one_read(spark):
+    """1,000 windows and 20,000 calls of one read meet in far fewer than 20 million pairs."""
+    from methylspark.operators import matrix
+    reads = spark.range(1000).selectExpr(
+        "cast(id as int) region_id", "0 read_id", "7L read_key", "cast(id * 2000 + 1 as int) win_start",
+        "cast(id * 2000 + 2001 as int) win_end")
+    calls = spark.range(20000).selectExpr("7L read_key", "'c' chrom", "cast(id * 100 + 50 as int) pos",
+                                          "cast(9 as smallint) ml")
+    assert matrix._meetings(reads, calls).count() < 100_000
+    cells = matrix.region_calls(reads, calls)
+    assert cells.count() == 20000
+    assert cells.filter("pos <= region_id * 2000 + 1 or pos >= region_id * 2000 + 2001").count() == 0
+
+
+def test_windows_looked_up_while_decoding(spark, monkeypatch):
+    """Overlapping, unequal, empty and repeated windows, a few candidates at a time."""
+    from methylspark.functions import placement
+    from methylspark.operators import calls, matrix
+    rng = random.Random(31)
+    seq = "".join(rng.choice("CG") for _ in range(400))
+    n_c = seq.count("C")
+    rows = []
+    for k in range(40):
+        deltas = [rng.randrange(3) for _ in range(n_c // 3)]
+        rows.append((k, f"chr{k % 3}", rng.randrange(900), "100M20I50M30D200M30S", seq,
+                     "C+m?," + ",".join(map(str, deltas)) + ";", [k % 250] * len(deltas)))
+    aln = spark.createDataFrame(rows, "read_key LONG, chrom STRING, align_start INT, cigar STRING, "
+                                "seq STRING, mm STRING, ml ARRAY<SMALLINT>")
+    wide = [(g, f"chr{g % 4}", s, s + rng.choice([1, 2, 40, 300]))
+            for g, s in enumerate(rng.choices(range(1, 1300), k=80))]
+    windows = spark.createDataFrame(wide + [(99, *wide[0][1:])],
+                                    "region_id INT, chrom STRING, win_start INT, win_end INT")
+    reads = windows.join(aln.select("read_key", "chrom"), "chrom").selectExpr(
+        "region_id", "cast(read_key as int) read_id", "read_key", "win_start", "win_end")
+    want = matrix.region_calls(reads, calls.project_calls(calls.modified_bases(aln)))
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) > 1000
+    for most in (placement.CANDIDATES, 10):
+        monkeypatch.setattr(placement, "CANDIDATES", most)
+        found = calls.calls_in_windows(aln, windows)
+        assert found.groupBy("region_id", "read_key").count().filter("count > 1").count() == 0
+        assert sorted(map(tuple, matrix.window_cells(reads, found).collect())) == want
+    assert calls.calls_in_windows(aln, windows.limit(0)).count() == 0
