@@ -151,9 +151,8 @@ def op9_minhash(spark, sf_dir):
 
 @query
 def op10_sentencepiece(spark, sf_dir):
-    path = tokenizer_path("piece_bpe_32k.model")
-    encoded = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), path)
-    decoded = sentencepiece_bpe.decode(encoded, path)
+    decoded = sentencepiece_bpe.round_trip(table(spark, sf_dir, "documents"),
+                                           tokenizer_path("piece_bpe_32k.model"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           digest(F.array_join("ids", " ")).alias("ids_sha256"),
                           digest(F.col("text")).alias("decoded_sha256"))

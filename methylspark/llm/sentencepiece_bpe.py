@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Characters looked at in one go, and words kept between batches.
-STRETCH, MEMORY = 1_000_000, 250_000
+STRETCH, MEMORY = 500_000, 60_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -257,6 +257,44 @@ def _model(path: str) -> bytes:
         return file.read()
 
 
+def _encoded(batch: pa.RecordBatch, table: Pieces, tail: list[int]) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with ids in the place of texts, a stretch of texts at a time."""
+    texts, names = batch.column(batch.num_columns - 1), batch.schema.names[:-1]
+    at = 0
+    while at < len(texts):
+        some, size = [], 0
+        while at + len(some) < len(texts) and size < STRETCH:
+            some.append(texts[at + len(some)].as_py() or "")
+            size += len(some[-1])
+        if len(some) == 1 and size > STRETCH:
+            ids = table.encode_long(some[0])
+            counts = np.array([len(ids)])
+        else:
+            ids, counts = table.encode(some)
+        ends = np.cumsum(counts)
+        flat = np.insert(ids, np.repeat(ends, len(tail)), tail * len(some))
+        offsets = np.append(0, ends + len(tail) * np.arange(1, len(some) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [*(c.slice(at, len(some)) for c in batch.columns[:-1]), lists], [*names, "ids"])
+        at += len(some)
+
+
+def _decoded(batch: pa.RecordBatch, table: Pieces) -> pa.RecordBatch:
+    """A batch that ends with ids, and what they stand for."""
+    texts = [table.decode(x.as_py() or []) for x in batch.column(batch.num_columns - 1)]
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
+                                      [*batch.schema.names, "text"])
+
+
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+_TEXT = T.StructField("text", T.StringType())
+
+
+def _texts(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    return docs.select(*carry, F.col("text").cast("string").alias("text to encode"))
+
+
 def encode(docs: DataFrame, model_path: str, end_id: bool = True,
            carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` and ``ids`` of every row. The driver reads the model, whose size is fixed."""
@@ -264,33 +302,26 @@ def encode(docs: DataFrame, model_path: str, end_id: bool = True,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
-        tail = [table.end] if end_id else []
         for batch in batches:
-            texts = batch.column(len(carry))
-            at = 0
-            while at < len(texts):
-                some, size = [], 0
-                while at + len(some) < len(texts) and size < STRETCH:
-                    some.append(texts[at + len(some)].as_py() or "")
-                    size += len(some[-1])
-                if len(some) == 1 and size > STRETCH:
-                    ids = table.encode_long(some[0])
-                    counts = np.array([len(ids)])
-                else:
-                    ids, counts = table.encode(some)
-                ends = np.cumsum(counts)
-                flat = np.insert(ids, np.repeat(ends, len(tail)), tail * len(some))
-                offsets = np.append(0, ends + len(tail) * np.arange(1, len(some) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                                 pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(at, len(some)) for c in batch.columns[:-1]), lists],
-                    [*carry, "ids"])
-                at += len(some)
-
-    rows = docs.select(*carry, F.col("text").cast("string").alias("text to encode"))
-    return rows.mapInArrow(run, T.StructType([
-        *rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+            yield from _encoded(batch, table, [table.end] if end_id else [])
+
+    rows = _texts(docs, carry)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], _IDS]))
+
+
+def round_trip(docs: DataFrame, model_path: str,
+               carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``decode`` of ``encode`` in one pass of one worker: ``carry``, ``ids`` and their ``text``."""
+    model = _model(model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces(model)
+        for batch in batches:
+            for part in _encoded(batch, table, [table.end]):
+                yield _decoded(part, table)
+
+    rows = _texts(docs, carry)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], _IDS, _TEXT]))
 
 
 def decode(encoded: DataFrame, model_path: str,
@@ -301,10 +332,7 @@ def decode(encoded: DataFrame, model_path: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            texts = [table.decode(x.as_py() or []) for x in batch.column(len(carry))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             [*carry, "ids", "text"])
+            yield _decoded(batch, table)
 
     rows = encoded.select(*carry, "ids")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields,
-                                              T.StructField("text", T.StringType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, _TEXT]))
