@@ -41,8 +41,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, source, lang, n_tokens, ids, text_sha256, decoded_sha256)``."""
     path, carry = tokenizer_path("piece_bpe_32k.model"), ("doc_id", "source", "lang", "text_sha256")
     marked = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    encoded = sentencepiece_bpe.encode(marked, path, carry=carry)
-    return sentencepiece_bpe.decode(encoded, path, carry=carry).select(
+    return sentencepiece_bpe.round_trip(marked, path, carry=carry).select(
         "doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids",
         "text_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
