@@ -3,7 +3,10 @@
 The rules are compiled into one minimal automaton (:mod:`automaton`). Where it reports the end of a
 rule, that rule's backward automaton gives the start and its forward one the longest end. Matches
 of a kind do not overlap; matches that are too short are dropped but still use up their text.
-Every rule here begins to match, at the latest, where any later start of it would.
+Every rule here begins to match, at the latest, where any later start of it would. After a match the
+common automaton may still follow a beginning inside that match; until it has let go of everything,
+the rule's own searching automaton, started at the match's end, speaks for it. So no byte is looked
+at more than a few times.
 
 Null text counts as empty and has no spans. Repeated rows are scanned alike, each on its own row.
 Texts of any length are scanned whole, with memory in proportion to the text. An empty table gives
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from methylspark.llm.automaton import forward_and_back, parse
+from methylspark.llm.automaton import Dfa, forward_and_back, parse
 
 
 def _value(match: bytes) -> bytes:
@@ -57,16 +60,22 @@ _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()),
                                    ("end", pa.int64())]))
 
 
+def _linked(dfa: Dfa) -> list[list]:
+    """The states as lists: of each the 256 following ones, then the rules that end in it."""
+    rows = [[None] * 257 for _ in dfa.accepts]
+    for s, row in enumerate(rows):
+        row[:256] = [rows[t] for t in dfa.next[s].tolist()]
+        row[256] = dfa.accepts[s]
+    return rows
+
+
 class Scanner:
     def __init__(self, rules: list[Rule]) -> None:
         self.rules = rules
-        search, self._forward, self._back = forward_and_back(
-            [parse(r.pattern, r.either_case) for r in rules])
-        # A row of a state is a list: 256 following rows, then the rules that end in it.
-        self._rows = [[None] * 257 for _ in search.accepts]
-        for s, row in enumerate(self._rows):
-            row[:256] = [self._rows[t] for t in search.next[s].tolist()]
-            row[256] = search.accepts[s]
+        trees = [parse(r.pattern, r.either_case) for r in rules]
+        search, self._forward, self._back = forward_and_back(trees)
+        self._rows = _linked(search)
+        self._own = [_linked(Dfa([tree], True)) for tree in trees]
 
     def __reduce__(self):
         return scanner, ()
@@ -75,17 +84,31 @@ class Scanner:
         """(start, rule, end) in bytes, by start and then rule."""
         found = []
         used = [0] * len(self.rules)
-        row = self._rows[0]
+        row = start_row = self._rows[0]
+        own: dict[int, list] = {}  # rules with a match, until the common automaton is at its start
+
+        def report(rule: int, i: int) -> None:
+            start = self._start(rule, data, i, used[rule])
+            if start is not None:
+                end = used[rule] = self._end(rule, data, start)
+                own[rule] = self._own[rule][0]
+                if self.rules[rule].enough(data[start:end]):
+                    found.append((start, rule, end))
+
         for i, byte in enumerate(data, 1):
             row = row[byte]
             if row[256]:
                 for rule in row[256]:
+                    if rule not in own:
+                        report(rule, i)
+            if own:
+                for rule in list(own):
                     if i > used[rule]:
-                        start = self._start(rule, data, i, used[rule])
-                        if start is not None:
-                            end = used[rule] = self._end(rule, data, start)
-                            if self.rules[rule].enough(data[start:end]):
-                                found.append((start, rule, end))
+                        own[rule] = mine = own[rule][byte]
+                        if mine[256]:
+                            report(rule, i)
+                    if row is start_row and i >= used[rule]:
+                        del own[rule]
         return sorted(found)
 
     def _start(self, rule: int, data: bytes, end: int, floor: int) -> int | None:

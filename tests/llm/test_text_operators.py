@@ -47,6 +47,28 @@ def test_scan_random_texts():
         assert brute.sha(told) == brute.secrets(text)[3], text
 
 
+def test_keywords_inside_values():
+    """Values that hold keywords, at any distance, and one megabyte of such text."""
+    import time
+    scan = secrets.scanner().spans
+    rng = random.Random(2)
+    bits = ["password=", "token: ", "secret=token:", "a", "zz9", "=", " ", "token", "AKIA" + "Q" * 16,
+            "AKIA", "0f" * 12, "deadbeef", "-", "\n"]
+    kinds = ["assign", "access", "hex"]
+    for _ in range(6000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 20)))
+        spans = [s for s in scan(text) if s["kind"] in kinds]
+        told = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
+        assert brute.sha(told) == brute.secrets(text)[3], text
+    for long in ("password=token: " + "x" * 1_000_000, "password=token:" * 60_000,
+                 "secret=token: a" * 60_000, "a=" * 500_000):
+        start = time.process_time()
+        spans = [s for s in scan(long) if s["kind"] in kinds]
+        assert time.process_time() - start < 5
+        told = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
+        assert brute.sha(told) == brute.secrets(long)[3]
+
+
 def test_extra_rules_and_redaction(spark):
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1B2" * 9 + " token = abcdef0123"
     docs = spark.createDataFrame([(1, text, len(text)), (2, None, None)],
