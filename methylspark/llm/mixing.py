@@ -5,7 +5,9 @@ flow network routes words from patterns to the quotas of sources: a pattern offe
 for cost 1, a second time for 3 more, a third time for 5 more (convex, so nothing repeats before
 everything was used), each edge to one of its sources. What flows out of a pattern is then taken
 from its documents in a seeded order: whole rounds of all documents, and for the rest documents in
-hash order up to the quota; the document at the boundary is cut, so quotas are met to the word.
+hash order while they fit the quota. Documents are taken whole or not at all: what the first that does
+not fit leaves open is filled with smaller ones, from :data:`FILLERS` of each power of two of words,
+or by that document itself, whichever comes nearer.
 
 The rest is found without sorting a source: words are summed by ``BUCKETS`` hash buckets, and only
 the bucket in which the quota is reached is put in order (a thousandth of a source).
@@ -23,10 +25,12 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methylspark.llm.tables import Written, words
+from methylspark.llm.tables import Written, maybe_small
 
 WORD = r"[^ \t\n\x0B\f\r]+"
 MAX_REPEATS, BUCKETS, MAX_PATTERNS = 3, 1024, 200_000
+#: Documents of each size class that are tried for what is left open.
+FILLERS = 16
 WEIGHTS = (1, 2, 3)
 
 
@@ -144,7 +148,8 @@ def mix(docs: DataFrame, sources: Column, seed: int = 17, weights=None,
     sized = keep(docs.select(
         F.col("doc_id").alias("doc_id"), pattern.alias("pattern"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        row_key(pattern, seed).alias("row_key")))
+        row_key(pattern, seed).alias("row_key"),
+        F.monotonically_increasing_id().alias("row")))  # tells repeated rows apart once written
     totals = keep(sized.groupBy("pattern").agg(F.sum("size").alias("n")))
     if totals.count() > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -178,23 +183,46 @@ def mix(docs: DataFrame, sources: Column, seed: int = 17, weights=None,
         "pattern", F.col("bucket").alias("edge"), (F.col("until") - F.col("n")).alias("before"))
     placed = planned.join(F.broadcast(edge), "pattern", "left")
     whole = F.col("size") * F.coalesce("rounds", F.lit(0))
-    columns = ["doc_id", "row_key", "pattern", "size"]
-    apart = placed.filter("edge is null or bucket <> edge").select(
-        *columns, (whole + F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
-        .alias("taken"))
-    inside = Window.partitionBy("pattern").orderBy("row_key", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("pattern").orderBy("row_key", "doc_id", "size", "row").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
+    columns = ["doc_id", "row_key", "pattern", "size", "row", whole.alias("whole")]
+    apart = placed.filter("edge is null or bucket <> edge").select(
+        *columns, (F.col("bucket") < F.col("edge")).alias("fits"),
+        F.lit(None).cast("long").alias("open"))
     at_edge = placed.filter("bucket = edge").withColumn(
-        "gap", F.col("rest") - F.col("before") - F.sum("size").over(inside) + F.col("size")).select(
-        *columns, (whole + F.least("size", F.greatest(F.col("gap"), F.lit(0)))).alias("taken"))
-    return apart.union(at_edge), told
+        "open", F.col("rest") - F.col("before") - F.sum("size").over(inside) + F.col("size")).select(
+        *columns, (F.col("open") >= F.col("size")).alias("fits"), "open")
+    dealt = keep(apart.unionByName(at_edge))
+    # the first document that does not fit says how much is left open
+    gaps = keep(dealt.filter("not fits and open > 0").groupBy("pattern").agg(
+        F.max(F.struct("open", "size", "row")).alias("at")).select(
+        "pattern", F.col("at.open").alias("gap"), (F.col("at.size") - F.col("at.open")).alias("over"),
+        F.col("at.row").alias("first")))
+    filling = dealt.filter("not fits and size > 0").join(F.broadcast(gaps), "pattern").filter(
+        "size <= gap").groupBy("pattern", F.floor(F.log2("size")).alias("class"), F.pmod(
+            "row_key", F.lit(FILLERS)).alias("lot")).agg(
+        F.min(F.struct("row_key", "doc_id", "size", "row")).alias("x"))
+    tries = filling.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct(
+        "x.size", "x.row_key", "x.doc_id", "x.row")), False).alias("tries"))
+    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<long>").alias("rows"))
+    filled = F.aggregate("tries", start, lambda s, x: F.when(x["size"] <= s["left"], F.struct(
+        (s["left"] - x["size"]).alias("left"), F.array_append(s["rows"], x["row"]).alias("rows")))
+        .otherwise(s))
+    # or that document itself, where it comes nearer
+    chosen = gaps.join(tries, "pattern", "left").withColumn("filled", F.coalesce(filled, start)).select(
+        F.when(F.col("over") < F.col("filled.left"), F.array("first")).otherwise(
+            F.col("filled.rows")).alias("rows"))
+    extra = keep(chosen.select(F.explode("rows").alias("row"), F.lit(True).alias("fills")))
+    taken = F.col("whole") + F.when(F.coalesce("fits", F.lit(False)) | F.coalesce(
+        "fills", F.lit(False)), F.col("size")).otherwise(0)
+    return dealt.join(maybe_small(extra), "row", "left").select(
+        "doc_id", "row_key", "pattern", "size", taken.alias("taken")), told
 
 
 def take(docs: DataFrame, sources: Column, mixed: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` as often as :func:`mix` takes them, with their columns.
 
-    The copy at a quota's boundary keeps its first words, joined by single spaces. Rows that repeat
-    each other in id, text and sources are taken together, as copies of one of them.
+    Rows that repeat each other in id, text and sources are taken together, as copies of one of them.
     """
     names = docs.columns
     told = mixed.filter("taken > 0").groupBy("row_key").agg(
@@ -203,11 +231,5 @@ def take(docs: DataFrame, sources: Column, mixed: DataFrame, seed: int = 17) ->
     mine = docs.select(row_key(membership(sources), seed).alias("row_key"),
                        F.struct(*names).alias("doc")).dropDuplicates(["row_key"])
     spread = mine.join(told, "row_key").withColumn("copy", F.explode(F.sequence(
-        F.lit(1), F.ceil(F.col("take") / F.col("size")).cast("int"))))
-    left = F.col("take") - (F.col("copy") - 1) * F.col("size")
-    text = F.col("doc.text")
-    cut = F.when(left < F.col("size"), F.array_join(
-        F.slice(words(text), F.lit(1), left.cast("int")), " ")).otherwise(text)
-    changed = {"text": cut, "n_chars": F.char_length(cut)}
-    return spread.select(*(changed.get(c, F.col("doc")[c]).cast(docs.schema[c].dataType).alias(c)
-                           for c in names))
+        F.lit(1), (F.col("take") / F.col("size")).cast("int"))))
+    return spread.select(*(F.col("doc")[c].alias(c) for c in names))
