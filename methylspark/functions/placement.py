@@ -67,7 +67,10 @@ def _placed(batch, tools):
     the reference, probability."""
     np, _, text, lists, owners, running, blocks = tools
     raw, seq_bounds = text(batch.column("seq"))
-    c_at = np.flatnonzero(raw[seq_bounds[0]:seq_bounds[-1]] == ord("C")) + seq_bounds[0]
+    backward = batch.column("backward").to_numpy(zero_copy_only=False)
+    wanted = np.where(backward, ord("G"), ord("C")).astype(np.uint8)
+    c_at = np.flatnonzero(raw[seq_bounds[0]:seq_bounds[-1]] == np.repeat(
+        wanted, np.diff(seq_bounds))) + seq_bounds[0]
     c_first = np.searchsorted(c_at, seq_bounds[:-1])
     c_count = np.searchsorted(c_at, seq_bounds[1:]) - c_first
     deltas, bounds = lists(batch.column("deltas"))
@@ -76,6 +79,7 @@ def _placed(batch, tools):
     ordinal = running(deltas.astype(np.int64) + 1, bounds) - 1
     real = ordinal < c_count[row]
     row, ordinal, ml = row[real], ordinal[real], ml[real]
+    ordinal = np.where(backward[row], c_count[row] - 1 - ordinal, ordinal)
     seq_idx = c_at[c_first[row] + ordinal] - seq_bounds[row]
 
     b_row, b_seq, b_ref, b_len = blocks(batch)
@@ -84,7 +88,7 @@ def _placed(batch, tools):
         at = np.searchsorted(b_row * stride + b_seq, row * stride + seq_idx, "right") - 1
         safe = np.maximum(at, 0)
         hit = (at >= 0) & (b_row[safe] == row) & (seq_idx < b_seq[safe] + b_len[safe])
-        pos = b_ref[safe] + seq_idx - b_seq[safe] + 1
+        pos = b_ref[safe] + seq_idx - b_seq[safe] + 1 - backward[row]
     else:
         hit, pos = np.zeros(len(row), bool), np.zeros(len(row), np.int64)
     return row, seq_idx, pos, hit, ml

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from methylspark.functions import cigar as cg
 from methylspark.functions import placement
-from methylspark.operators.reads import drop_reason
+from methylspark.operators.reads import REVERSE, drop_reason
 from methylspark.params import Params
 
 
@@ -24,7 +24,8 @@ def _occurrences(text: Column, char: str) -> Column:
 
 
 def tag_values(alignments: DataFrame, params: Params = Params()) -> DataFrame:
-    """Delta list and matching probabilities of one modification code.
+    """Delta list and matching probabilities of one modification code, and whether they run from
+    the read's end (``original_strand`` and a reverse read).
 
     Reads lacking the code, its deltas or enough probabilities give no row. The
     probabilities of earlier codes precede ours, one per earlier delta; with
@@ -42,13 +43,15 @@ def tag_values(alignments: DataFrame, params: Params = Params()) -> DataFrame:
     deltas = F.transform(F.filter(F.split(numbers, ","), lambda d: d != ""),
                          lambda d: d.cast("int"))
     n = F.size("_deltas")
+    backward = F.col("flag").bitwiseAND(REVERSE) != 0 if params.original_strand else F.lit(False)
     return (alignments.filter(mm.isNotNull() & F.col("ml").isNotNull() & (at > 0))
             .select("read_key", "chrom", "align_start", "cigar", "seq", "ml",
+                    backward.alias("backward"),
                     offset.alias("_from"), rest.alias("_rest"))
             .filter(F.col("_rest").startswith(","))
             .withColumn("_deltas", deltas)
             .filter((n > 0) & (F.col("_from") >= 0) & (F.col("_from") + n <= F.size("ml")))
-            .select("read_key", "chrom", "align_start", "cigar", "seq",
+            .select("read_key", "chrom", "align_start", "cigar", "seq", "backward",
                     F.col("_deltas").alias("deltas"),
                     F.slice("ml", F.col("_from") + 1, n).alias("ml")))
 
@@ -56,7 +59,9 @@ def tag_values(alignments: DataFrame, params: Params = Params()) -> DataFrame:
 def modified_bases(alignments: DataFrame, params: Params = Params()) -> DataFrame:
     """One row per modified base: place in the read, place on the reference, raw probability.
 
-    Cytosines are counted on the stored sequence, whatever the strand.
+    Cytosines are counted on the stored sequence, whatever the strand. With ``original_strand`` those
+    of a reverse read are its stored G, counted from the end, and ``pos`` is that of the C before it
+    on the reference, so that both strands of a site meet in one position.
     """
     return _decodable(alignments, params).mapInArrow(
         placement.place_modified_bases, placement.CALL_FIELDS)
@@ -64,7 +69,7 @@ def modified_bases(alignments: DataFrame, params: Params = Params()) -> DataFram
 
 def _decodable(alignments: DataFrame, params: Params) -> DataFrame:
     return tag_values(alignments, params).select(
-        "read_key", "chrom", "align_start", "seq", "deltas", "ml",
+        "read_key", "chrom", "align_start", "seq", "backward", "deltas", "ml",
         cg.op_lengths(F.col("cigar")).alias("op_lengths"),
         cg.op_codes(F.col("cigar")).alias("op_codes"))
 

@@ -71,6 +71,29 @@ def in_touched_bins(rows: DataFrame, spans: DataFrame, row_span: tuple[str, str]
     return spread.join(touched, here).filter("_before < _first").select(*rows.columns)
 
 
+def rank_sites(sites: DataFrame, points: DataFrame,
+               width: int = BIN_BP) -> tuple[DataFrame, DataFrame]:
+    """Distinct ``sites(chrom, pos)`` with their 0-based ``rank`` per chromosome, and for the distinct
+    ``points(chrom, pos, upto)`` how many sites lie before them (with ``upto``, or at them) as ``n``.
+
+    One sweep inside each bin over sites and points; a bin has a bounded number of different rows,
+    however many windows begin or end there, and only bin counts are summed per chromosome.
+    """
+    events = sites.select("chrom", "pos", F.lit(1).alias("turn")).union(
+        points.select("chrom", "pos", F.when(F.col("upto"), 2).otherwise(0))).distinct().withColumn(
+        "bin", F.expr(f"cast(pos div {width} as bigint)"))
+    is_site = (F.col("turn") == 1).cast("bigint")
+    bins = events.groupBy("chrom", "bin").agg(F.sum(is_site).alias("n"))
+    before = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("chrom", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    along = Window.partitionBy("chrom", "bin").orderBy("pos", "turn").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    swept = events.withColumn("n", F.sum(is_site).over(along)).join(bins, ["chrom", "bin"]).withColumn(
+        "n", F.col("n") + F.col("base"))
+    return (swept.filter("turn = 1").select("chrom", "pos", (F.col("n") - 1).alias("rank")),
+            swept.filter("turn <> 1").select("chrom", "pos", (F.col("turn") == 2).alias("upto"), "n"))
+
+
 def classes_at(sites: DataFrame, intervals: DataFrame, width: int = BIN_BP) -> DataFrame:
     """Distinct ``(chrom, pos)`` of ``sites`` with one BOOLEAN per interval class.
 

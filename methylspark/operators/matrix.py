@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from methylspark.operators.intervals import overlap_join
+from methylspark.operators.intervals import rank_sites
 from methylspark.params import Params
 
 
@@ -89,17 +89,29 @@ def region_matrix_wide(reads: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def matrix_ref_columns(cells: DataFrame, regions: DataFrame, sites: DataFrame) -> DataFrame:
-    """Variant whose columns are all reference CpGs of the window, seen or not."""
-    spots = sites.select("chrom", "pos").withColumn("pos_to", F.col("pos"))
-    windows = regions.select("region_id", "chrom", (F.col("win_start") + 1).alias("lo"),
-                             (F.col("win_end") - 1).alias("hi")).filter("lo <= hi")
-    inside = overlap_join(spots, windows, ("pos", "pos_to"), ("lo", "hi"), "pos", salts=1)
-    by_pos = Window.partitionBy("region_id").orderBy("pos")
-    columns = inside.select("region_id", "chrom", "pos").withColumn(
-        "cpg_id", F.row_number().over(by_pos) - 1)
+    """Variant whose columns are all reference CpGs of the window, seen or not.
+
+    Sites are ranked once per chromosome and windows know the ranks they begin and end at, so a
+    column's number is a difference of ranks and no window is sorted.
+    """
+    windows = regions.select("region_id", "chrom", "win_start", "win_end")
+    ranked, counts = rank_sites(sites, windows.select(
+        "chrom", F.col("win_start").alias("pos"), F.lit(True).alias("upto")).union(
+        windows.select("chrom", F.col("win_end").alias("pos"), F.lit(False).alias("upto"))))
+
+    def bound(edge: str, upto: bool, out: str) -> DataFrame:
+        side = counts.filter(F.col("upto") if upto else ~F.col("upto"))
+        return side.select("chrom", F.col("pos").alias(edge), F.col("n").alias(out))
+
+    spans = windows.join(bound("win_start", True, "lo"), ["chrom", "win_start"]).join(
+        bound("win_end", False, "hi"), ["chrom", "win_end"]).filter("lo < hi")
+    columns = spans.select("region_id", "chrom", "lo", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("hi") - F.col("lo") - 1)).alias("cpg_id")).withColumn(
+        "rank", F.col("lo") + F.col("cpg_id")).join(ranked, ["chrom", "rank"])
     seen = cells.groupBy("region_id", "pos").agg(F.count(F.lit(1)).alias("n_reads"))
     return columns.join(seen, ["region_id", "pos"], "left").select(
-        "region_id", "cpg_id", "chrom", "pos", F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
+        "region_id", F.col("cpg_id").cast("int").alias("cpg_id"), "chrom", "pos",
+        F.coalesce("n_reads", F.lit(0)).alias("n_reads"))
 
 
 def binary_state(params: Params = Params()) -> Column:

@@ -11,7 +11,7 @@ from methylspark.operators.ranking import dense_row_number
 from methylspark.params import Params
 
 # SAM flag bits.
-UNMAPPED, SECONDARY, DUPLICATE, SUPPLEMENTARY = 0x4, 0x100, 0x400, 0x800
+UNMAPPED, REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x400, 0x800
 
 # Read state bits.
 STATE_TUMOR, STATE_HP1, STATE_HP2, STATE_ALT, STATE_REF, STATE_UNKNOWN = 1, 2, 4, 8, 16, 32

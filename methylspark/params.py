@@ -30,11 +30,16 @@ class Params:
     pmd_gating: bool = True
     mod_code: str = "C+m?"
     compat_ml_offset: bool = False
+    #: Count modified bases of reverse reads from their end on the complement.
+    original_strand: bool = False
+    #: Skip windows whose reads are not of one phase set, by this share of the phased ones.
+    phase_gate: bool = False
+    min_phase_share: float = 0.9
 
     def __post_init__(self) -> None:
         if self.window <= 0:
             raise ValueError("window must be positive")
-        for name in ("methyl_high", "methyl_low"):
+        for name in ("methyl_high", "methyl_low", "min_phase_share"):
             if not 0.0 <= getattr(self, name) <= 1.0:
                 raise ValueError(f"{name} must lie in [0, 1]")
         if self.methyl_high <= self.methyl_low:

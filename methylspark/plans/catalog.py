@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,13 +136,19 @@ def write_snv_tsv(spark, sf_dir):
 
 @query
 def write_region_tables(spark, sf_dir):
+    """All four tables of a run written and read back: rows and a checksum of each."""
     run = run_of(spark, sf_dir)
     path = run.store.path("region_tables")
-    sinks.write_region_tables({"matrix": run.matrix, "region_result": run.result}, path,
-                              mode="overwrite", by_chrom=False)
-    back = spark.read.parquet(f"{path}/matrix")
-    return back.groupBy("chrom").agg(F.count(F.lit(1)).alias("n_cells"),
-                                     F.sum("ml").alias("sum_ml"))
+    tables = {"reads": run.reads, "cpg_sites": matrix.cpg_index(run.cells), "matrix": run.matrix,
+              "region_result": run.result}
+    # contigs are many and short here, so they get no directory each
+    sinks.write_region_tables(tables, path, mode="overwrite", by_chrom=False)
+    checks = {"reads": F.col("read_id") + F.col("align_start"), "cpg_sites": F.col("cpg_id") + F.col("pos"),
+              "matrix": F.col("ml").cast("int"), "region_result": F.col("num_reads") + F.col("num_cpgs")}
+    parts = [spark.read.parquet(f"{path}/{name}").groupBy("region_id").agg(
+        F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"),
+        F.sum(value).cast("bigint").alias("checksum")) for name, value in checks.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -251,6 +259,13 @@ def phase_set_check(spark, sf_dir):
     return reads.phase_set_check(run_of(spark, sf_dir).reads)
 
 
+@query
+def phase_gate(spark, sf_dir):
+    """The outcome of a run that skips windows of several phase sets."""
+    run = run_of(spark, sf_dir)
+    return replace(run, params=replace(PARAMS, phase_gate=True)).result
+
+
 # --- from reads to calls -----------------------------------------------------
 
 @query

@@ -115,8 +115,15 @@ def statements() -> dict[str, str]:
     add("load_annotation", 'SELECT chrom, "start", "end", cls FROM annotation', "annotation")
     add("write_snv_tsv", f"""SELECT snv_id, chrom AS chr, pos, ref, alt, qual, 'PASS' AS filter,
         {r6('somatic_conf')} AS somatic_conf FROM snvs""", "snvs")
-    add("write_region_tables", """SELECT chrom, count(*) AS n_cells,
-        CAST(sum(ml) AS BIGINT) AS sum_ml FROM cells GROUP BY chrom""", "cells")
+    add("write_region_tables", """
+        SELECT region_id, 'reads' AS name, count(*) AS n_rows,
+               CAST(sum(read_id + align_start) AS BIGINT) AS checksum FROM rr GROUP BY region_id
+        UNION ALL SELECT region_id, 'cpg_sites', count(*), CAST(sum(cpg_id + pos) AS BIGINT)
+        FROM (SELECT DISTINCT region_id, cpg_id, pos FROM matrix) GROUP BY region_id
+        UNION ALL SELECT region_id, 'matrix', count(*), CAST(sum(ml) AS BIGINT)
+        FROM matrix GROUP BY region_id
+        UNION ALL SELECT region_id, 'region_result', 1, num_reads + num_cpgs FROM result""",
+        "rr", "matrix", "result")
     chroms = """(SELECT row_number() OVER (ORDER BY min(ord)) - 1 AS chr_id, chrom
         FROM records GROUP BY chrom)"""
     add("reads_tsv_lines", f"""
@@ -214,6 +221,14 @@ def statements() -> dict[str, str]:
         (CASE WHEN is_tumor THEN 1 ELSE 0 END) | (CASE hp WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 0 END)
         | (CASE alt_support WHEN 'ALT' THEN 8 WHEN 'REF' THEN 16 ELSE 32 END) AS state_bits
         FROM rr""", "rr")
+    add("phase_gate", """
+        SELECT r.region_id, snv_id, CASE WHEN bad THEN 0 ELSE num_reads END AS num_reads,
+               CASE WHEN bad THEN 0 ELSE num_cpgs END AS num_cpgs, success AND NOT bad AS success,
+               CASE WHEN bad THEN 'AMBIGUOUS_PHASE' ELSE error_message END AS error_message
+        FROM (SELECT r.*, coalesce(p.most::DOUBLE / p.n < 0.9, FALSE) AS bad FROM result r LEFT JOIN (
+            SELECT region_id, max(n) AS most, sum(n) AS n FROM (
+                SELECT region_id, ps, count(*) AS n FROM pairs WHERE ps IS NOT NULL GROUP BY ALL)
+            GROUP BY region_id) p ON p.region_id = r.region_id) r""", "result", "pairs")
     add("phase_set_check", """
         SELECT region_id, ps AS major_ps, CAST(n_phased AS BIGINT) AS n_phased,
                n::DOUBLE / n_phased AS share,

@@ -65,12 +65,33 @@ class RegionRun:
         return self.store("overlaps", reads_ops.overlapping_reads(
             self.alignments, self.live_regions, self.params))
 
+    @cached_property
+    def ambiguous(self) -> DataFrame | None:
+        """With the phase gate: windows whose reads are of several phase sets."""
+        if not self.params.phase_gate:
+            return None
+        checks = reads_ops.phase_set_check(self.overlaps, self.params.min_phase_share)
+        return self.store("ambiguous", checks.filter("status <> 'OK'").select("region_id", "status"))
+
+    @cached_property
+    def outcome(self) -> DataFrame:
+        """``status``, with the windows that a gate has skipped as failures."""
+        if self.ambiguous is None:
+            return self.status
+        marked = self.status.join(self.ambiguous.withColumnRenamed("status", "_gate"), "region_id",
+                                  "left")
+        return marked.withColumn("success", F.col("success") & F.col("_gate").isNull()).withColumn(
+            "error_message", F.coalesce("_gate", "error_message")).select(*self.status.columns)
+
     @cached_property
     def reads(self) -> DataFrame:
-        """The pairs with ``read_id``."""
+        """The pairs with ``read_id``, without those of skipped windows."""
+        kept = self.overlaps
         written = self.store is not keep_lazy
-        largest = largest_group(self.overlaps, ["region_id"]) if written else None
-        return self.store("reads", reads_ops.read_ids(self.overlaps, largest))
+        largest = largest_group(kept, ["region_id"]) if written else None
+        if self.ambiguous is not None:
+            kept = kept.join(self.ambiguous, "region_id", "left_anti")
+        return self.store("reads", reads_ops.read_ids(kept, largest))
 
     @cached_property
     def sites(self) -> DataFrame:
@@ -120,7 +141,7 @@ class RegionRun:
 
     @cached_property
     def result(self) -> DataFrame:
-        return matrix_ops.region_result(self.status, self.reads, self.cells)
+        return matrix_ops.region_result(self.outcome, self.reads, self.cells)
 
     @cached_property
     def summary(self) -> DataFrame:

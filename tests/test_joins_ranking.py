@@ -124,3 +124,22 @@ def test_windows_looked_up_while_decoding(spark, monkeypatch):
         assert found.groupBy("region_id", "read_key").count().filter("count > 1").count() == 0
         assert sorted(map(tuple, matrix.window_cells(reads, found).collect())) == want
     assert calls.calls_in_windows(aln, windows.limit(0)).count() == 0
+
+
+def test_reference_columns_by_rank(spark):
+    """Windows that share ends, lie on sites, hold none, or come in great number in one bin."""
+    from methylspark.operators import matrix
+    rng = random.Random(37)
+    sites = {(f"chr{k % 2}", p) for k, p in enumerate(rng.sample(range(1, 60000), 900))}
+    wide = [(g, f"chr{g % 3}", s, s + rng.choice([0, 1, 2, 30, 900, 40000]))
+            for g, s in enumerate([p for _, p in list(sites)[:60]] + rng.choices(range(500), k=200))]
+    regions = spark.createDataFrame(wide, "region_id INT, chrom STRING, win_start INT, win_end INT")
+    cells = spark.createDataFrame([(0, p) for _, p in sites for _ in range(2)],
+                                  "region_id INT, pos INT")
+    rows = matrix.matrix_ref_columns(cells, regions, spark.createDataFrame(
+        sorted(sites), "chrom STRING, pos INT")).collect()
+    want = set()
+    for g, chrom, lo, hi in wide:
+        inside = sorted(p for c, p in sites if c == chrom and lo < p < hi)
+        want |= {(g, k, chrom, p, 2 if g == 0 else 0) for k, p in enumerate(inside)}
+    assert set(map(tuple, rows)) == want and len(rows) == len(want)

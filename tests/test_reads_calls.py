@@ -150,3 +150,57 @@ def test_phase_set(spark):
     got = {r.region_id: (r.major_ps, r.share, r.status) for r in checks.collect()}
     assert got == {0: (7, 0.9, "OK"), 1: (7, 0.8, "AMBIGUOUS_PHASE")}
     assert reads.keep_major_phase(df, checks).count() == 17
+
+
+def test_original_strand_of_reverse_reads(spark):
+    """Both strands of the CpG at 101 and of the one at 106; off by default."""
+    seq = "ACGTTACGTG"  # stored bases; C at 1 and 6, G at 2, 7 and 9
+    rows = [read(1, "10M", seq, mm="C+m?,0,0;", ml=(10, 20)),
+            read(2, "10M", seq, flag=16, mm="C+m?,1,0;", ml=(30, 40))]
+    df = table(spark, *rows)
+
+    def placed(params):
+        return sorted(tuple(r) for r in calls.modified_bases(df, params).select(
+            "read_key", "seq_idx", "pos", "ml").collect())
+
+    assert placed(Params()) == [(1, 1, 101, 10), (1, 6, 106, 20), (2, 6, 106, 30)]
+    # from the end: G at 9 is skipped, then those at 7 and 2
+    assert placed(Params(original_strand=True)) == [
+        (1, 1, 101, 10), (1, 6, 106, 20), (2, 2, 101, 40), (2, 7, 106, 30)]
+
+
+def test_phase_gate_skips_mixed_windows(spark):
+    from methylspark.plans.region_run import RegionRun
+    seq = "ACGTACGT" * 4
+    aln = table(spark, *[read(k, "32M", seq, start=s, hp=1, ps=ps, mm="C+m?,0,0;", ml=(9, 9))
+                         for k, (s, ps) in enumerate([(0, 5)] * 9 + [(0, 6), (100, 7), (100, 8)] + [
+                             (200, None)])])
+    snvs = spark.createDataFrame(
+        [(k, "chr1", p, "A", "T", 50.0) for k, p in enumerate((5, 104, 204))],
+        "snv_id INT, chrom STRING, pos INT, ref STRING, alt STRING, qual DOUBLE")
+    contigs = spark.createDataFrame([("chr1", "ACGT" * 100)], "chrom STRING, seq STRING")
+    for gate in (False, True):
+        run = RegionRun(snvs, aln, contigs, Params(window=20, min_read_length=8, phase_gate=gate))
+        got = {r.region_id: (r.num_reads, r.num_cpgs > 0, r.success, r.error_message)
+               for r in run.result.collect()}
+        assert got[0] == (10, True, True, "") and got[2] == (1, True, True, "")
+        assert got[1] == ((0, False, False, "AMBIGUOUS_PHASE") if gate else (2, True, True, ""))
+        assert {r.region_id for r in run.matrix.select("region_id").distinct().collect()} == (
+            {0, 2} if gate else {0, 1, 2})
+
+
+def test_written_tables_come_back(spark, tmp_path):
+    """All tables of a run, one directory per chromosome."""
+    from methylspark.sources import sinks
+    tables = {
+        "reads": spark.createDataFrame([(0, 0, "chr1"), (1, 0, "chr2")],
+                                       "region_id INT, read_id INT, chrom STRING"),
+        "matrix": spark.createDataFrame([(0, 0, 0, "chr1", 9), (1, 0, 0, "chr2", 8)],
+                                        "region_id INT, read_id INT, cpg_id INT, chrom STRING, ml INT"),
+        "region_result": spark.createDataFrame([(0, 3)], "region_id INT, num_reads INT")}
+    sinks.write_region_tables(tables, str(tmp_path / "t"))
+    for name, df in tables.items():
+        back = spark.read.parquet(str(tmp_path / "t" / name)).select(*df.columns)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert {p.name for p in (tmp_path / "t" / "reads").iterdir() if p.is_dir()} == {
+        "chrom=chr1", "chrom=chr2"}
