@@ -207,3 +207,25 @@ def label_truth(regions: DataFrame, truth: DataFrame) -> DataFrame:
     """Attach the truth label of the anchor variant; ``NA`` when none is known."""
     return regions.join(truth, "snv_id", "left").withColumn(
         "truth", F.coalesce("truth", F.lit("NA")))
+
+
+#: Ranks of the quantiles below are right within a share of 1 / this of all regions.
+QUANTILE_ACCURACY = 10_000
+QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+def correlation_by_truth(correlations: DataFrame, regions: DataFrame, truth: DataFrame,
+                         accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
+    """Distribution of ``corr`` over the regions of true and of false variants.
+
+    The quantiles come from sketches that tasks fill and merge, so no group is sorted; up to
+    ``accuracy`` regions a group they are exact (the value at rank ceil(q n)). Regions without a
+    correlation are counted apart.
+    """
+    values = label_truth(regions, truth).join(
+        correlations.select("region_id", "corr"), "region_id", "left")
+    sketch = F.percentile_approx("corr", list(QUANTILES), accuracy)
+    return values.groupBy("truth").agg(
+        F.count("corr").alias("n_corr"), F.count_if(F.col("corr").isNull()).alias("n_without"),
+        sketch.alias("q")).select("truth", "n_corr", "n_without", *(
+            F.get("q", F.lit(k)).alias(f"q{int(q * 100):02d}") for k, q in enumerate(QUANTILES)))

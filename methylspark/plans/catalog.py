@@ -636,6 +636,16 @@ def truth_report(spark, sf_dir):
                               star.truth(run.snvs), run.live_regions)
 
 
+@query
+def correlation_by_truth(spark, sf_dir):
+    """How well distance follows cluster labels in windows of true and of false variants."""
+    run = run_of(spark, sf_dir)
+    labels = cluster.cut_k(run.leaves, 3).join(run.reads.drop("hp"), ["region_id", "read_id"])
+    corr = assoc.label_distance_corr(run.distances, labels.withColumn(
+        "hp", F.least(F.col("cluster_id"), F.lit(2))), "hp").withColumn("corr", r6(F.col("corr")))
+    return assoc.correlation_by_truth(corr, run.live_regions, star.truth(run.snvs))
+
+
 # --- windows and set operations ----------------------------------------------
 
 @query

@@ -28,6 +28,9 @@ def _pair_metric(n: str, dist: str, where: str = "TRUE") -> str:
               FROM common WHERE {where} GROUP BY region_id, read_i, read_j)"""
 
 
+_CORR = """CASE WHEN (n * sxx - sx * sx) * (n * sy - sy * sy) > 0 THEN
+    (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * sy - sy * sy)) END"""
+
 _BINARY = "p IS NOT NULL AND q IS NOT NULL"
 
 _CONTRAST = """SELECT region_id, pos, n_{a}, n_{b}, mean_{a}, mean_{b}, mean_{a} - mean_{b} AS diff
@@ -444,9 +447,7 @@ def statements() -> dict[str, str]:
     add("cluster_agreement", f"""SELECT region_id, ari, nmi FROM ({_rand_index("k_crossed")})
         JOIN ({_mutual("k_crossed")}) USING (region_id)""", "k_crossed")
     add("label_distance_corr", f"""
-        SELECT region_id, CAST(n AS BIGINT) AS n_pairs, {r6('''
-            CASE WHEN (n * sxx - sx * sx) * (n * sy - sy * sy) > 0 THEN
-            (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * sy - sy * sy)) END''')} AS corr
+        SELECT region_id, CAST(n AS BIGINT) AS n_pairs, {r6(_CORR)} AS corr
         FROM (SELECT region_id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y)::DOUBLE AS sy,
                      sum(x * y)::DOUBLE AS sxy, sum(x * x)::DOUBLE AS sxx
               FROM (SELECT f.region_id, CAST(floor(dist * 1e6 + 0.5) AS BIGINT) AS x,
@@ -464,6 +465,26 @@ def statements() -> dict[str, str]:
                    FROM bh WHERE factor = 'allele' GROUP BY 1) USING (region_id)
         GROUP BY truth""", "status", "bh")
 
+    ranks = (5, 25, 50, 75, 95)
+    at_rank = ", ".join(f"list_sort(list(corr) FILTER (corr IS NOT NULL))["
+                        f"greatest(1, ceil({q / 100} * count(corr)))::BIGINT] AS q{q:02d}" for q in ranks)
+    add("correlation_by_truth", f"""
+        SELECT truth, count(corr) AS n_corr, count(*) - count(corr) AS n_without, {at_rank}
+        FROM (SELECT region_id, CASE WHEN snv_id % 3 = 0 THEN 'FP' ELSE 'TP' END AS truth
+              FROM status WHERE success)
+        LEFT JOIN (
+            SELECT region_id, {r6(_CORR)} AS corr
+            FROM (SELECT region_id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx,
+                         sum(y)::DOUBLE AS sy, sum(x * y)::DOUBLE AS sxy, sum(x * x)::DOUBLE AS sxx
+                  FROM (SELECT f.region_id, CAST(floor(dist * 1e6 + 0.5) AS BIGINT) AS x,
+                               CASE WHEN least(a.cluster_id, 2) <> least(b.cluster_id, 2) THEN 1
+                                    ELSE 0 END AS y
+                        FROM filled f
+                        JOIN cuts a ON a.k = 3 AND a.region_id = f.region_id AND a.read_id = f.read_i
+                        JOIN cuts b ON b.k = 3 AND b.region_id = f.region_id AND b.read_id = f.read_j)
+                  GROUP BY 1)) USING (region_id)
+        GROUP BY truth""", "status", "filled", "cuts")
+
     # Windows and set operations.
     add("read_ids", "SELECT region_id, read_key, read_id FROM pairs", "pairs")
     add("cpg_index", "SELECT DISTINCT region_id, chrom, pos, cpg_id FROM matrix", "matrix")

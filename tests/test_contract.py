@@ -19,12 +19,13 @@ def test_keys():
     assert set(catalog.QUERIES) <= set(contract.oracle_sql())
 
 
-def test_entry_without_the_training_data_operators():
-    """Their two folders may be missing; every other query stays."""
+@pytest.mark.parametrize("gone", [("corpus_pipeline", "methylspark.llm"), ("sentencepiece",)])
+def test_entry_without_the_training_data_operators(gone):
+    """Their two folders, or a package they need, may be missing; every other query stays."""
     code = ("import sys\n"
             "class Gone:\n"
             "    def find_spec(self, name, *rest):\n"
-            "        if name in ('corpus_pipeline', 'methylspark.llm'):\n"
+            f"        if name in {gone!r}:\n"
             "            raise ModuleNotFoundError(name, name=name)\n"
             "sys.meta_path.insert(0, Gone())\n"
             "import __spark_entry__ as e\n"
@@ -51,7 +52,9 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", ["region_result", "methylation_calls", "region_reads",
-                                  "dist_nhd", "fisher_exact"])
+                                  "dist_nhd", "fisher_exact", "cluster_reads_ward", "newick",
+                                  "cut_silhouette", "silhouette", "distance_csv_lines",
+                                  "phase_gate", "matrix_ref_columns", "correlation_by_truth"])
 def test_against_duckdb(spark, name):
     db = duckdb.connect()
     for t in TABLES:
