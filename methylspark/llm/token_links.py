@@ -23,9 +23,10 @@ empty result. Only doc_id and text are read. Special tokens' strings count as pl
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,21 +54,35 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+# Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
 class Tokenizers:
-    """Both tokenizers and the bytes of their entries."""
+    """Both tokenizers and the bytes of their entries.
+
+    A's file is read here and its merges are run by a library that remembers no words; the tests
+    hold its ids against the library that the file is made for. Files with another way to cut texts,
+    or whose merges are not in the order of their ids, are refused.
+    """
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
-        self._a = Tokenizer.from_file(path_a)
-        self._a.encode_special_tokens = True
+        import tiktoken
+        with open(path_a, encoding="utf-8") as file:
+            told = json.load(file)
+        cut, model, real = told["pre_tokenizer"], told["model"], byte_of_char()
+        ids = {bytes(map(real.__getitem__, token)): k for token, k in model["vocab"].items()}
+        order = [ids[bytes(map(real.__getitem__, "".join(m).replace(" ", "")))]
+                 for m in model["merges"]]
+        if (model["type"] != "BPE" or told["normalizer"] or cut["type"] != "ByteLevel"
+                or cut["add_prefix_space"] or not cut["use_regex"] or order != sorted(order)):
+            raise ValueError(f"{path_a} is not a plain byte-level BPE")
+        self._a = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=ids, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        real, special = byte_of_char(), {
-            k for k, t in self._a.get_added_tokens_decoder().items() if t.special}
-        self.bytes_a = [b""] * self._a.get_vocab_size()
-        for token, k in self._a.get_vocab().items():
-            self.bytes_a[k] = token.encode() if k in special else bytes(map(real.get, token))
+        self.bytes_a = [b""] * (max(ids.values()) + 1)
+        for token, k in ids.items():
+            self.bytes_a[k] = token
         self.bytes_b = []
         for k in range(self._b.get_piece_size()):
             piece = self._b.id_to_piece(k)
@@ -82,8 +97,8 @@ class Tokenizers:
                      for k in range(n) for end in (",", last)]
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [x.ids for x in a], self._b.encode(texts, num_threads=1)
+        return ([self._a.encode_ordinary(" " + t) for t in texts],
+                self._b.encode(texts, num_threads=1))
 
     def same(self, text: str, a: list[int], b: list[int]) -> bool:
         """Whether both lists of tokens give back blank + text."""
@@ -112,9 +127,11 @@ def merge_path(a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.
 def overlaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The tokens of A and B under each different end of one piece, counted from the piece's first
     ones, and the ends that both have."""
-    ends = np.union1d(a, b)
-    return (np.searchsorted(a, ends), np.searchsorted(b, ends),
-            np.intersect1d(a, b, assume_unique=True))
+    ends = np.concatenate([a, b])
+    ends.sort(kind="stable")
+    again = np.append(False, ends[1:] == ends[:-1])[:len(ends)]
+    common, ends = ends[again], ends[~again]
+    return np.searchsorted(a, ends), np.searchsorted(b, ends), common
 
 
 def align(a: np.ndarray, b: np.ndarray, piece: int = PIECE):
@@ -166,7 +183,7 @@ def _rows(tools: Tokenizers, given: list[tuple], type_of: pa.DataType) -> pa.Rec
     all_a = [x if ok else [] for x, ok in zip(all_a, same, strict=True)]
     all_b = [x if ok else [] for x, ok in zip(all_b, same, strict=True)]
     n_a, n_b = (np.array(list(map(len, x)), np.int64) for x in (all_a, all_b))
-    a, b = (np.array([k for ids in x for k in ids], np.int64) for x in (all_a, all_b))
+    a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (all_a, all_b))
     link_a, link_b, group_a, group_b, common = align(
         np.cumsum(tools.size_a[a]), np.cumsum(tools.size_b[b]))
     edge_a, edge_b = (np.append(0, np.cumsum(n)) for n in (n_a, n_b))

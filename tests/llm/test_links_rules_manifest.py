@@ -105,7 +105,13 @@ def tools():
 
 
 def expected(tools, texts):
-    ids_a, ids_b = tools.encode([t or "" for t in texts])
+    """By the library that A's file is made for."""
+    from tokenizers import Tokenizer
+    reader = Tokenizer.from_file(PATHS[0])
+    reader.encode_special_tokens = True
+    ids_a = [e.ids for e in reader.encode_batch([" " + (t or "") for t in texts],
+                                                add_special_tokens=False)]
+    _, ids_b = tools.encode([t or "" for t in texts])
     return brute.token_links(texts, tools.bytes_a, ids_a, tools.bytes_b, ids_b)
 
 
@@ -122,6 +128,16 @@ def test_links_equal_all_pairs_of_ranges(spark, tools):
     assert linked(spark, []) == []
 
 
+def test_both_readers_of_a_vocabulary_agree_on_every_character(tools):
+    from tokenizers import Tokenizer
+    reader = Tokenizer.from_file(PATHS[0])
+    texts = [" ".join(f"a{c}b {c}{c} 1{c}2 !{c}?  {c}s'{c}" for c in map(chr, range(k, k + 64)))
+             for k in range(0, 0x30000, 64) if not 0xD800 <= k < 0xE000]
+    ids, _ = tools.encode(texts)
+    assert ids == [e.ids for e in reader.encode_batch([" " + t for t in texts],
+                                                      add_special_tokens=False)]
+
+
 def test_links_of_the_given_documents(spark, tools):
     docs = pd.read_parquet(f"{SMALL}/documents.parquet").sort_values("doc_id")
     docs = docs[docs.text.str.len() < 4000]
