@@ -65,12 +65,20 @@ def given_labels(run: RegionRun) -> DataFrame:
     return run.reads.select("region_id", "read_id", (F.col("hp") + 1).alias("cluster_id"))
 
 
+def as_files(run: RegionRun, name: str, lines: DataFrame) -> str:
+    """Path of text files that hold ``lines(ord, value)`` in order, for the readers to open."""
+    path = run.store.path(name)
+    lines.repartitionByRange(4, "ord").sortWithinPartitions("ord").select("value").write.mode(
+        "overwrite").text(path)
+    return path
+
+
 # --- sources and sinks -------------------------------------------------------
 
 @query
 def load_vcf(spark, sf_dir):
-    snvs = variants.number_snvs(variants.select_snvs(
-        variants.parse_vcf(star.vcf_lines(spark, sf_dir))))
+    snvs = variants.load_vcf(spark, as_files(run_of(spark, sf_dir), "vcf",
+                                             star.vcf_lines(spark, sf_dir)))
     return snvs.select("snv_id", "chrom", "pos", "ref", "alt", "qual", "is_pass",
                        r6(F.col("somatic_conf")).alias("somatic_conf"), "info")
 
@@ -80,7 +88,8 @@ def load_snv_tsv(spark, sf_dir):
     lines = star.variant_records(spark, sf_dir).select("ord", F.concat_ws(
         "  ", "chrom", F.col("pos").cast("string"), "ref", "alt",
         F.when(F.col("ord") % 5 != 0, F.col("qual").cast("string"))).alias("value"))
-    return variants.parse_snv_tsv(lines).select("snv_id", "chrom", "pos", "ref", "alt", "qual")
+    path = as_files(run_of(spark, sf_dir), "snv_lines", lines)
+    return variants.load_snv_tsv(spark, path).select("snv_id", "chrom", "pos", "ref", "alt", "qual")
 
 
 @query
@@ -93,7 +102,9 @@ def select_snvs(spark, sf_dir):
 
 @query
 def load_alignments(spark, sf_dir):
-    parsed = alignments.parse_sam(star.sam_lines(run_of(spark, sf_dir).alignments))
+    run = run_of(spark, sf_dir)
+    parsed = alignments.load_alignments(
+        spark, as_files(run, "sam", star.sam_lines(run.alignments)), "sam")
     return parsed.select(
         "read_key", "qname", "flag", "chrom", "align_start", "mapq", "cigar", "hp", "ps",
         F.md5("seq").alias("seq_md5"), F.md5("qual").alias("qual_md5"),
@@ -106,6 +117,19 @@ def tile_reference(spark, sf_dir):
     return star.tiles(spark, sf_dir)
 
 
+@query
+def load_fasta_tiles(spark, sf_dir):
+    """Tiles from the lines of FASTA files, in which a contig is never one row, and their lengths."""
+    run = run_of(spark, sf_dir)
+    lines = F.regexp_replace("seq", "(.{1,60})", "\n$1")
+    text = run.contigs.select(F.col("chrom").alias("ord"),
+                              F.concat(F.lit(">"), "chrom", F.lit(" derived"), lines).alias("value"))
+    found = reference.load_fasta_tiles(spark, as_files(run, "fasta", text))
+    lengths = reference.tile_lengths(found).withColumnRenamed("length", "contig_length")
+    return found.join(lengths, "chrom").select(
+        "chrom", "tile", "tile_start", "core", F.md5("seq").alias("seq_md5"), "contig_length")
+
+
 @query
 def contig_lengths(spark, sf_dir):
     return reference.contig_lengths(star.contigs(spark, sf_dir),
@@ -119,10 +143,10 @@ def chrom_dictionary(spark, sf_dir):
 
 @query
 def load_annotation(spark, sf_dir):
-    lines = star.annotation(spark, sf_dir).select(F.concat_ws(
+    lines = star.annotation(spark, sf_dir).select(F.col("chrom").alias("ord"), F.concat_ws(
         "\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"),
         F.lower("cls")).alias("value"))
-    return annotation.parse_bed(lines)
+    return annotation.load_annotation(spark, as_files(run_of(spark, sf_dir), "bed", lines))
 
 
 @query

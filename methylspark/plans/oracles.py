@@ -104,12 +104,15 @@ def statements() -> dict[str, str]:
         WHERE qual >= 10 AND flt IN ('PASS', '.') AND info LIKE 'SOMATIC;%'
           AND pos BETWEEN 1 AND 1500 AND normal_af <= 0.04
           AND ref IN ('A','C','G','T') AND alt IN ('A','C','G','T')""", "records")
-    add("load_alignments", """SELECT read_key, qname, flag, chrom, align_start, mapq, cigar, hp,
+    add("load_alignments", """SELECT row_number() OVER (ORDER BY read_key) - 1 AS read_key, qname, flag, chrom, align_start, mapq, cigar, hp,
         ps, md5(seq) AS seq_md5, md5(qual) AS qual_md5, md5(mm) AS mm_md5,
         md5(CASE WHEN len(ml) = 0 THEN '' ELSE
             array_to_string(list_transform(ml, lambda x: CAST(x AS VARCHAR)), ',') END)
           AS ml_md5 FROM aln""", "aln")
     add("tile_reference", "SELECT chrom, tile, tile_start, core, seq FROM tiles", "tiles")
+    add("load_fasta_tiles", """SELECT chrom, tile, tile_start, core, md5(seq) AS seq_md5,
+        length AS contig_length FROM tiles JOIN (
+            SELECT chrom, length(seq) AS length FROM contigs) USING (chrom)""", "tiles", "contigs")
     add("contig_lengths", """SELECT chrom, coalesce(length(seq), -1) AS length
         FROM (SELECT DISTINCT chrom FROM records) LEFT JOIN contigs USING (chrom)""",
         "records", "contigs")

@@ -41,9 +41,12 @@ class RegionRun:
 
     snvs: DataFrame
     alignments: DataFrame
-    contigs: DataFrame
+    #: Whole contigs ``(chrom, seq)``, or null where ``tiles`` are given.
+    contigs: DataFrame | None
     params: Params = Params()
     annotation: DataFrame | None = None
+    #: The reference as tiles (``load_fasta_tiles``), so that no contig is ever one row.
+    tiles: DataFrame | None = None
     #: Where to cut the plan: called with a name and a table that later steps share.
     store: Callable[[str, DataFrame], DataFrame] = keep_lazy
 
@@ -53,7 +56,9 @@ class RegionRun:
 
     @cached_property
     def status(self) -> DataFrame:
-        return region_status(self.regions, reference.contig_lengths(self.contigs))
+        lengths = (reference.contig_lengths(self.contigs) if self.tiles is None
+                   else reference.tile_lengths(self.tiles))
+        return region_status(self.regions, lengths)
 
     @cached_property
     def live_regions(self) -> DataFrame:
@@ -95,7 +100,7 @@ class RegionRun:
 
     @cached_property
     def sites(self) -> DataFrame:
-        tiles = reference.tile_reference(self.contigs)
+        tiles = reference.tile_reference(self.contigs) if self.tiles is None else self.tiles
         return reference.reference_cpg_sites(
             reference.tiles_of_regions(tiles, self.live_regions))
 

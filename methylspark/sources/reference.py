@@ -84,6 +84,12 @@ def contig_lengths(contigs: DataFrame, names: DataFrame | None = None) -> DataFr
         "chrom", F.coalesce("length", F.lit(-1)).alias("length"))
 
 
+def tile_lengths(tiles: DataFrame) -> DataFrame:
+    """``(chrom, length)`` of contigs that are there as tiles."""
+    return tiles.groupBy("chrom").agg(
+        F.max(F.col("tile_start") + F.col("core")).cast("int").alias("length"))
+
+
 def reference_cpg_sites(tiles: DataFrame) -> DataFrame:
     """1-based position of every CG; tiles must overlap by at least one base."""
     return tiles.select("chrom", "tile_start", "core", "seq").mapInArrow(

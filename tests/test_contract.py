@@ -74,6 +74,17 @@ def test_lazy_plan_and_large_window_route_agree(spark, monkeypatch):
     assert sorted(map(tuple, catalog.lazy_run(spark, SMALL).result.collect())) == staged
 
 
+def test_tiles_in_the_place_of_contigs(spark):
+    """The same result where the reference comes as tiles from FASTA lines."""
+    from methylspark.plans.region_run import RegionRun
+    from methylspark.sources import reference
+    run = catalog.run_of(spark, SMALL)
+    text = run.contigs.selectExpr("chrom as ord", "concat('>', chrom, '\\n', seq) as value")
+    tiles = reference.load_fasta_tiles(spark, catalog.as_files(run, "fasta_of_test", text))
+    tiled = RegionRun(run.snvs, run.alignments, None, run.params, run.annotation, tiles)
+    assert sorted(map(tuple, tiled.result.collect())) == sorted(map(tuple, run.result.collect()))
+
+
 def test_clusters_cover_all_reads(spark):
     run = catalog.run_of(spark, SMALL)
     labels = catalog.QUERIES["cut_k"](spark, SMALL)
