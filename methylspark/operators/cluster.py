@@ -388,10 +388,12 @@ def cut_silhouette(leaves: DataFrame, distances: DataFrame, ks: list[int]) -> Da
     labels = cut.groupBy("region_id", "read_id").agg(
         F.sort_array(F.collect_list(F.struct("k", F.col("cluster_id").cast("bigint").alias("c"))))
         .alias("v")).select("region_id", "read_id", F.col("v.c").alias("labels"))
+    # summed as integers, so that equal scores are equal whatever the order of addition
+    unit = F.floor(F.col("silhouette") * 1e9 + 0.5)
     scores = _silhouettes(labels, distances).groupBy("region_id", "k").agg(
-        F.avg("silhouette").alias("mean"))
+        (F.sum(unit).cast("double") / F.count("silhouette")).alias("mean"))
     best = scores.groupBy("region_id").agg(F.max(F.struct(
-        F.coalesce(F.floor(F.col("mean") * 1e9), F.lit(-UNITS * 2)).alias("m"),
+        F.coalesce("mean", F.lit(-2.0 * UNITS)).alias("m"),
         (-F.col("k")).alias("neg"))).alias("b")).select("region_id", (-F.col("b.neg")).alias("at"))
     chosen = F.get(F.array(*[F.lit(k) for k in ks]), F.col("at"))
     return labels.join(best, "region_id").select(

@@ -426,10 +426,11 @@ CTES["cuts"] = (("late",), """
           FROM (SELECT *, sum(CASE WHEN height IS NULL OR late <= k - 1 THEN 1 ELSE 0 END) OVER (
                        PARTITION BY region_id, k ORDER BY leaf_pos) AS seg
                 FROM late CROSS JOIN (SELECT unnest([2, 3, 4, 5]) AS k)))""")
-CTES["cut_scores"] = (("cuts", "both_ways"), """
-    SELECT region_id, k, avg(CASE WHEN b IS NULL THEN NULL
-                             WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0
-                             ELSE (b - a) / greatest(a, b) END) AS mean
+_SCORE = """CASE WHEN b IS NULL THEN NULL WHEN a IS NULL OR greatest(a, b) = 0 THEN 0.0
+             ELSE (b - a) / greatest(a, b) END"""
+CTES["cut_scores"] = (("cuts", "both_ways"), f"""
+    SELECT cuts.region_id, cuts.k, sum(CAST(floor(({_SCORE}) * 1e9 + 0.5) AS BIGINT))::DOUBLE
+           / nullif(count({_SCORE}), 0) AS mean
     FROM cuts LEFT JOIN (
         SELECT m.region_id, m.k, m.read_i, max(mean) FILTER (m.other = o.cluster_id) AS a,
                min(mean) FILTER (m.other <> o.cluster_id) AS b
@@ -440,7 +441,11 @@ CTES["cut_scores"] = (("cuts", "both_ways"), """
         JOIN cuts o ON o.region_id = m.region_id AND o.k = m.k AND o.read_id = m.read_i
         GROUP BY ALL) s
       ON s.region_id = cuts.region_id AND s.k = cuts.k AND s.read_i = cuts.read_id
-    GROUP BY cuts.region_id, cuts.k""".replace("SELECT region_id, k, avg", "SELECT cuts.region_id, cuts.k, avg"))
+    GROUP BY cuts.region_id, cuts.k""")
+
+
+#: Tables behind the trees that several later ones read; worked out once.
+SHARED = {"pairs", "gated", "filled", "leaves_upgma", "cuts"}
 
 
 def sql(body: str, *names: str) -> str:
@@ -455,6 +460,6 @@ def sql(body: str, *names: str) -> str:
 
     for name in names:
         visit(name)
-    ctes = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' * (n in SHARED)}({CTES[n][1].strip()})" for n in order)
     ctes = _LF.sub(_log_point, ctes)
     return f"WITH RECURSIVE {ctes}\n{body.strip()}" if ctes else body.strip()

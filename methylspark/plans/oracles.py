@@ -388,7 +388,7 @@ def statements() -> dict[str, str]:
     add("cut_k", "SELECT region_id, read_id, cluster_id FROM cuts WHERE k = 3", "cuts")
     add("cut_silhouette", """
         SELECT region_id, read_id, cluster_id, k FROM cuts
-        JOIN (SELECT region_id, -max({'m': coalesce(floor(mean * 1e9), -2e9), 'neg': -k}).neg AS k
+        JOIN (SELECT region_id, -max({'m': coalesce(mean, -2e9), 'neg': -k}).neg AS k
               FROM cut_scores GROUP BY region_id) USING (region_id, k)""", "cuts", "cut_scores")
 
     # Clusters, from the fixed labelling.
