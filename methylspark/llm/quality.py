@@ -2,10 +2,12 @@
 
 Besides the base rules (word count, repeated three-word windows) a text is compared with the
 reference of its language by Jensen-Shannon distance (base 2, 0 to 1), once over character classes
-and once over common words. References are the mean histograms of all long enough texts of that
-language which pass the base rules, so they follow the corpus. Languages without a list of common
-words have no reference and are judged by the base rules alone, as are texts shorter than the
-guards. A text is rejected if either distance exceeds its limit.
+and once over its words: each listed common word, and one bin for all others. Case and punctuation at
+a word's edges do not matter there. References are the mean histograms of all texts of that
+language which pass the base rules and have enough common words, so they follow the corpus. Languages
+without a list of common words have no reference and are judged by the base rules alone, as are texts
+shorter than the guards. A text is rejected if either distance exceeds its limit; one without any
+common word is as far as a text can be.
 
 Null text counts as empty; empty and blank texts have zero counts and fail by their word count.
 Repeated rows are judged alike, each on its own row. An empty table gives an empty result. Input
@@ -20,11 +22,13 @@ from pyspark.sql import functions as F
 from methylspark.llm.tables import BLANK, Written, let, maybe_small, words
 
 MIN_WORDS, MAX_REPEAT_PCT = 50, 50
-#: Guards: shorter texts, and texts with fewer common words, have no such distance.
-MIN_CLASS_CHARS, MIN_COMMON_WORDS = 200, 20
+#: Guards: shorter texts have no such distance.
+MIN_CLASS_CHARS, MIN_JUDGED_WORDS = 200, 100
+#: Common words that a text needs to be part of a reference.
+MIN_COMMON_WORDS = 20
 #: Histograms of short texts scatter more, so their limit is wider.
 LONG_CHARS, MAX_CLASS_DISTANCE, MAX_CLASS_DISTANCE_LONG = 1600, 0.3, 0.2
-MAX_WORD_DISTANCE = 0.7
+LONG_WORDS, MAX_WORD_DISTANCE, MAX_WORD_DISTANCE_LONG = 200, 0.275, 0.23
 
 #: Common words by language: fixed values.
 COMMON = {
@@ -34,8 +38,12 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al".split(),
 }
 N_COMMON = 20
-#: Character classes counted by runs; what is left over is the last class. Fixed values.
-CLASSES = ["a-z", "A-Z", "0-9", r" \t\n\x0B\f\r", r".,;:!?'\"()-", "#*$%&|<>", r"\u0080-￿"]
+#: Punctuation at the edges of words.
+OPENING, CLOSING = '("', '.,;:!?")'
+SYMBOLS = "#*$%&|<>"
+#: Character classes counted by runs; beside them stand blanks, symbols and what is left over.
+CLASSES = ["a-z", "A-Z", "0-9", r".,;:!?'\"()-", r"\u0080-￿"]
+N_CLASSES = len(CLASSES) + 3
 
 
 def _chars_of(text: Column, members: str) -> Column:
@@ -57,6 +65,24 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
 
+def _common_counts() -> Column:
+    """How often each common word of the row's language stands in ``text``; null without a list."""
+    counts = F.lit(None).cast("array<double>")
+    for lang, members in COMMON.items():
+        # a word begins after a blank or opening mark, and only closing marks stand before its end
+        words_of = (rf"(?<![^ \t\n\x0B\f\r{OPENING}])(?:{'|'.join(members)})"
+                    rf"(?=[{CLOSING}]*(?:[ \t\n\x0B\f\r]|\z))")
+        # each stands between blanks of its own, so that replacement counts them
+        found = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(
+            F.lower("text"), F.lit(words_of), F.lit(0)), "  "), F.lit(" "))
+        keys = [F.lit(f" {w} ") for w in members]
+        counted = let(found, lambda s: F.array(*(
+            (F.length(s) - F.length(F.replace(s, k, F.lit("")))) / F.length(k)
+            for k in keys)))
+        counts = F.when(F.col("lang") == lang, counted).otherwise(counts)
+    return counts
+
+
 def row_key() -> Column:
     """Tells rows apart by id and text."""
     return F.xxhash64("doc_id", "text")
@@ -75,30 +101,23 @@ def measures(docs: DataFrame) -> DataFrame:
                    .otherwise(_covered(t)))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     n_dup = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    # every word stands between blanks of its own, so that words can be counted by replacement
-    spaced = F.concat(F.lit(" "), F.lower(F.array_join("w", "  ")), F.lit(" "))
-
-    def common(text: Column, word: Column) -> Column:
-        key = F.concat(F.lit(" "), word, F.lit(" "))
-        return ((F.length(text) - F.length(F.replace(text, key, F.lit("")))) / F.length(key))
-
-    listed = F.lit(None).cast("array<string>")
-    for lang, members in COMMON.items():
-        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, members))).otherwise(listed)
     counts = [_chars_of(F.col("text"), c) for c in CLASSES]
     first = split.select(
         "doc_id", "row_key", "lang", F.size("w").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
-        _chars_of(F.col("text"), "#*$%&|<>").cast("long").alias("n_symbols"),
+        _chars_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         n_dup.cast("long").alias("n_dup_lines"), n_repeat.cast("long").alias("n_repeat_words"),
         F.char_length("text").alias("n_chars"), F.array(*counts).alias("classes"),
-        let(spaced, lambda s: F.transform(listed, lambda w: common(s, w))).alias("common"))
+        _common_counts().alias("common"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     return (first
             .withColumn("classes", F.transform(F.concat("classes", F.array(
-                F.col("n_chars") - F.aggregate("classes", F.lit(0), lambda x, y: x + y))),
+                F.col("n_chars") - F.col("word_chars"), F.col("n_symbols"))),
                 lambda x: x.cast("double")))
+            .withColumn("classes", F.concat("classes", F.array(
+                F.col("n_chars") - total(F.col("classes")))))
             .withColumn("n_common", F.coalesce(total(F.col("common")), F.lit(0.0)))
+            .withColumn("common", F.concat("common", F.array(F.col("n_words") - F.col("n_common"))))
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))))
 
@@ -109,18 +128,18 @@ def _share(counts: Column) -> Column:
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """At most one row per listed language: mean shares of character classes and common words."""
+    """At most one row per listed language: mean shares of character classes and words."""
     usable = measured.filter(
         ~F.col("base_failed") & F.col("lang").isin(*COMMON)
         & (F.col("n_chars") >= MIN_CLASS_CHARS) & (F.col("n_common") >= MIN_COMMON_WORDS))
     shares = usable.select("lang", _share(F.col("classes")).alias("c"),
                            _share(F.col("common")).alias("w"))
-    means = [F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
-    means += [F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON)]
+    means = [F.avg(F.get("c", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
+    means += [F.avg(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(N_COMMON + 1)]
     return shares.groupBy("lang").agg(*means).select(
         F.col("lang").alias("ref_lang"),
-        F.array(*(f"c{i}" for i in range(len(CLASSES) + 1))).alias("ref_classes"),
-        F.array(*(f"w{i}" for i in range(N_COMMON))).alias("ref_common"))
+        F.array(*(f"c{i}" for i in range(N_CLASSES))).alias("ref_classes"),
+        F.array(*(f"w{i}" for i in range(N_COMMON + 1))).alias("ref_common"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -137,14 +156,16 @@ def judge(measured: DataFrame, refs: DataFrame) -> DataFrame:
     joined = measured.join(F.broadcast(refs), F.col("lang") == F.col("ref_lang"), "left")
     by_class = F.when(F.col("n_chars") >= MIN_CLASS_CHARS,
                       js_distance(_share(F.col("classes")), F.col("ref_classes")))
-    by_word = F.when(F.col("n_common") >= MIN_COMMON_WORDS,
+    by_word = F.when(F.col("n_words") >= MIN_JUDGED_WORDS,
                      js_distance(_share(F.col("common")), F.col("ref_common")))
     return (joined.withColumn("class_distance", by_class).withColumn("word_distance", by_word)
             .withColumn("kept", ~F.col("base_failed")
                         & (F.coalesce("class_distance", F.lit(0.0)) <= F.when(
                             F.col("n_chars") < LONG_CHARS, F.lit(MAX_CLASS_DISTANCE))
                             .otherwise(F.lit(MAX_CLASS_DISTANCE_LONG)))
-                        & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE))
+                        & (F.coalesce("word_distance", F.lit(0.0)) <= F.when(
+                            F.col("n_words") < LONG_WORDS, F.lit(MAX_WORD_DISTANCE))
+                            .otherwise(F.lit(MAX_WORD_DISTANCE_LONG))))
             .select("doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"))
 

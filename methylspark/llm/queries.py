@@ -247,8 +247,9 @@ def _op7_sql() -> str:
 def _op8_sql() -> str:
     classes = ", ".join(
         f"length(regexp_replace(text, '[^{c}]+', '', 'g'))" for c in (
-            "a-z", "A-Z", "0-9", r" \t\n\x0B\f\r", r".,;:!?''\"()-", "#*$%&|<>",
-            r"\x{0080}-\x{FFFF}"))
+            "a-z", "A-Z", "0-9", r".,;:!?''\"()-", r"\x{0080}-\x{FFFF}",
+            r" \t\n\x0B\f\r", quality.SYMBOLS))
+    edges = f"'[{quality.CLOSING}]+$', ''), '^.*[{quality.OPENING}]', ''"
     listed = " ".join(
         f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in members)}]"
         for lang, members in quality.COMMON.items())
@@ -276,14 +277,18 @@ def _op8_sql() -> str:
                    100 * n_repeat_words > {quality.MAX_REPEAT_PCT} * n_words AS base_failed
                    FROM base),
         counts AS (
-            SELECT doc_id, lang, n_chars, base_failed, list_append(c, n_chars - list_sum(c)) AS c, v
-            FROM (SELECT *, [{classes}] AS c, list_transform(CASE lang {listed} END, lambda k:
-                      (length(s) - length(replace(s, ' ' || k || ' ', ''))) / (length(k) + 2)) AS v
-                  FROM (SELECT *, ' ' || lower(array_to_string(w, '  ')) || ' ' AS s
-                        FROM judged))),
+            SELECT doc_id, lang, n_chars, n_words, base_failed, list_sum(v) AS n_common,
+                   list_append(c, n_chars - list_sum(c)) AS c,
+                   list_append(v, n_words - list_sum(v)) AS v
+            FROM (SELECT *, [{classes}] AS c, list_transform(known, lambda k:
+                      coalesce(map_extract_value(h, k), 0)) AS v
+                  FROM (SELECT *, list_histogram(list_filter(list_transform(w, lambda x:
+                            regexp_replace(regexp_replace(lower(x), {edges})),
+                            lambda x: list_contains(known, x))) AS h
+                        FROM (SELECT *, CASE lang {listed} END AS known FROM judged)))),
         bins AS (
-            SELECT doc_id, lang, n_chars, base_failed, kind, i, x / sum(x) OVER (
-                       PARTITION BY doc_id, kind) AS p, coalesce(list_sum(v), 0) AS n_common
+            SELECT doc_id, lang, n_chars, n_words, base_failed, kind, i, x / sum(x) OVER (
+                       PARTITION BY doc_id, kind) AS p, coalesce(n_common, 0) AS n_common
             FROM (SELECT *, 'c' AS kind, unnest(range(len(c))) AS i, unnest(c)::DOUBLE AS x
                   FROM counts
                   UNION ALL SELECT *, 'w', unnest(range(len(v))), unnest(v)::DOUBLE FROM counts)),
@@ -297,7 +302,7 @@ def _op8_sql() -> str:
                        + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS js
             FROM bins JOIN means USING (lang, kind, i)
             WHERE CASE kind WHEN 'c' THEN n_chars >= {quality.MIN_CLASS_CHARS}
-                  ELSE n_common >= {quality.MIN_COMMON_WORDS} END
+                  ELSE n_words >= {quality.MIN_JUDGED_WORDS} END
             GROUP BY doc_id, kind)
         SELECT j.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
                CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
@@ -305,7 +310,8 @@ def _op8_sql() -> str:
                NOT base_failed
                AND coalesce(c.js, 0) <= CASE WHEN n_chars < {quality.LONG_CHARS}
                    THEN {quality.MAX_CLASS_DISTANCE} ELSE {quality.MAX_CLASS_DISTANCE_LONG} END
-               AND coalesce(w.js, 0) <= {quality.MAX_WORD_DISTANCE} AS kept
+               AND coalesce(w.js, 0) <= CASE WHEN n_words < {quality.LONG_WORDS}
+                   THEN {quality.MAX_WORD_DISTANCE} ELSE {quality.MAX_WORD_DISTANCE_LONG} END AS kept
         FROM judged j LEFT JOIN far c ON c.doc_id = j.doc_id AND c.kind = 'c'
         LEFT JOIN far w ON w.doc_id = j.doc_id AND w.kind = 'w'"""
 

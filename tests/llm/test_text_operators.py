@@ -1,6 +1,7 @@
 """Secrets, quality, tokens, chat and pages against plain Python."""
 
 import random
+import re
 
 import brute
 import pytest
@@ -109,6 +110,39 @@ def test_quality_verdict(spark):
     assert kept.count() == judged.filter("kept").count()
 
 
+def test_quality_words(spark):
+    """Common words are counted whatever stands at their edges; texts without any are rejected."""
+    odd = ('The (the "the" the). the," THE! the; the: xthe the-the '
+           '("the,\n\tthe\x0bof. (of of) a the')
+    rows = spark.createDataFrame([(0, "en", odd), (1, "xx", odd), (2, "en", None), (3, None, "a")],
+                                 "doc_id long, lang string, text string")
+    got = {r.doc_id: r for r in quality.measures(rows).collect()}
+    plain = [w.lower().rstrip(quality.CLOSING) for w in re.findall(r"[^ \t-\r]+", odd)]
+    plain = [re.split(r'[("]', w)[-1] for w in plain]
+    want = [float(plain.count(w)) for w in quality.COMMON["en"]]
+    assert want[0] == 11 and want[1] == 3
+    assert got[0].common == [*want, len(plain) - sum(want)] and got[0].n_common == sum(want)
+    assert got[1].common is None and got[3].common is None and got[2].common == [0.0] * 21
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    keep = Written(spark)
+    measured = keep(quality.measures(docs))
+    refs = keep(quality.references(measured))
+    judged = quality.judge(measured, refs).join(labels.groupBy("doc_id").agg(
+        F.min("quality").alias("quality")), "doc_id")
+    far = judged.filter("not base_failed and n_words >= 100 and quality = 0")
+    assert far.count() > 4 and far.filter("kept").count() == 0
+    # a good text without its common words has usual characters and unusual words
+    good = judged.filter("quality = 1 and n_words >= 200").join(
+        docs.filter("lang = 'en'").select("doc_id", "lang", "text"), "doc_id")
+    bare = good.select("doc_id", "lang", F.regexp_replace(
+        "text", rf"(?i)(?<=[ \n])({'|'.join(quality.COMMON['en'])})(?=[ \n.,])", "gorvel").alias("text"))
+    bare = quality.judge(keep(quality.measures(bare)), refs).filter("not base_failed")
+    assert bare.count() > 5
+    assert bare.filter("kept or word_distance < 0.23 or class_distance > 0.2").count() == 0
+
+
 def test_sentencepiece_equals_library(spark, odd):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
