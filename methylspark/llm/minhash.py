@@ -10,8 +10,8 @@ ranks lie side by side in memory, so all coordinates of a shingle are one short
    candidate groups (a similarity of 0.8 goes unseen with probability 3e-6).
 3. Inside a candidate group all pairs are compared on full sets, exactly. Groups are cut into blocks
    of bounded size and every pair of blocks is a unit of work of its own; a unit returns a spanning
-   forest of its links, never the pairs. Groups above ``REFINE`` documents are first split by
-   requiring two common bands (missed with probability 5e-5 at 0.8).
+   forest of its links, never the pairs. Groups above ``REFINE`` documents get larger blocks, which
+   changes how often a text is sent but no result.
 4. Components of the links.
 
 Null, empty and blank texts have an empty set and link with nothing. Repeated rows of one doc_id
@@ -35,8 +35,8 @@ from methylspark.llm.shingles import mix, shingle_set
 from methylspark.llm.tables import Written, maybe_small
 
 SLOTS, BANDS, ROWS = 1 << 19, 32, 5
-#: Documents and shingles of a block; documents above which a group is refined.
-BLOCK, BLOCK_SHINGLES, REFINE = 256, 2_000_000, 20_000
+#: Documents and shingles of a block; documents above which a group has blocks ``WIDER`` times as large.
+BLOCK, BLOCK_SHINGLES, REFINE, WIDER = 256, 2_000_000, 20_000, 4
 
 _tables: dict[int, np.ndarray] = {}
 
@@ -194,10 +194,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80,
     buckets = keep(hits.join(maybe_small(rep_of), "doc_id").select("key", "rep").distinct())
 
     groups = keep(_groups(buckets, keep))
-    sized = groups.groupBy("component").count().filter(F.col("count") > REFINE)
-    large = keep(sized.select("component"))
-    if not large.isEmpty():
-        groups = keep(_refined(groups, large, buckets, keep))
     found = components(_compare(_units(docs, groups, members), width, percent), keep)
     named = found.select(F.col("node").alias("rep"), "component")
     return members.join(maybe_small(keep(named)), "rep", "left").select(
@@ -228,24 +224,15 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80,
     return rest.join(maybe_small(again), "doc_id", "left_anti").select(*docs.columns).union(once)
 
 
-def _refined(groups: DataFrame, large: DataFrame, buckets: DataFrame, keep: Written) -> DataFrame:
-    """Groups, with each of ``large`` split so that members share two buckets at a time."""
-    inside = groups.join(large, "component", "left_semi").select(F.col("node").alias("rep"))
-    mine = buckets.join(inside, "rep", "left_semi").groupBy("rep").agg(
-        F.sort_array(F.collect_list("key")).alias("k"))  # at most one key per band
-    pairs = mine.select("rep", F.explode(F.flatten(F.transform("k", lambda x, i: F.transform(
-        F.slice("k", i + 2, BANDS), lambda y: F.xxhash64(x, y))))).alias("key"))
-    return groups.join(large, "component", "left_anti").select("node", "component").union(
-        _groups(keep(pairs), keep))
-
-
 def _units(docs: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
     """``(grp, i, j, rep, text)``: each candidate in all block pairs of its group."""
     size = members.filter("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n"))
     placed = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(
         size, "rep")
+    many = F.count("*")
     blocks = placed.groupBy("grp").agg(F.greatest(
-        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        F.ceil(many / F.when(many > REFINE, WIDER * BLOCK).otherwise(BLOCK)),
+        F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     units = placed.join(blocks, "grp").select(
         "rep", "grp", block.alias("mine"),
