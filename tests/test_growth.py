@@ -51,3 +51,15 @@ def test_reads_bring_their_windows(spark, monkeypatch):
         assert found.groupBy("region_id", "read_key").count().filter("count > 1").count() == 0
         assert sorted(map(tuple, matrix.own_window_cells(found).collect())) == want
     assert calls.calls_in_own_windows(aln, reads.limit(0)).count() == 0
+
+
+def test_alignment_text_is_packed_and_dealt_out(spark):
+    """The text of all reads is gzipped, in order, in as many files as the shuffle has tasks of size."""
+    import glob
+
+    from methylspark.plans import catalog
+    small = "/root/testdata/sf0.001"
+    rows = catalog.QUERIES["load_alignments"](spark, small).count()
+    files = glob.glob(f"{catalog.store_of(spark, small).path('sam')}/part-*")
+    assert files and all(f.endswith(".txt.gz") for f in files)
+    assert rows == spark.read.parquet(f"{small}/lineitem.parquet").count()
