@@ -53,6 +53,24 @@ def test_reads_bring_their_windows(spark, monkeypatch):
     assert calls.calls_in_own_windows(aln, reads.limit(0)).count() == 0
 
 
+def test_calls_meet_sites_as_arrays(spark, monkeypatch):
+    """Validated calls equal those of a join row by row, but fewer rows than calls are joined."""
+    aln = _alignments(spark, 80, 3)
+    sites = spark.range(300).filter("id % 3 > 0").selectExpr(
+        "concat('chr', id % 2) chrom", "cast(id as int) pos")
+    single = calls.project_calls(calls.modified_bases(aln))
+    want = sorted(map(tuple, calls.validate_cpg(single, sites).collect()))
+    for width in (512, 16):
+        monkeypatch.setattr(calls, "SITE_BIN_BP", width)
+        got = calls.methylation_calls(aln, sites)
+        assert sorted((*r,)[:4] for r in got.collect()) == want and len(want) > 100
+        batches = calls._decodable(aln, Params()).toArrow().to_batches()
+        packed = sum(map(len, placement.place_in_bins(width)(batches)))
+        assert packed < single.count() / 2
+    assert calls.methylation_calls(aln.limit(0), sites).count() == 0
+    assert calls.methylation_calls(aln, sites.limit(0)).count() == 0
+
+
 def test_alignment_text_is_packed_and_dealt_out(spark):
     """The text of all reads is gzipped, in order, in as many files as the shuffle has tasks of size."""
     import glob
