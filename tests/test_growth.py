@@ -81,3 +81,32 @@ def test_alignment_text_is_packed_and_dealt_out(spark):
     files = glob.glob(f"{catalog.store_of(spark, small).path('sam')}/part-*")
     assert files and all(f.endswith(".txt.gz") for f in files)
     assert rows == spark.read.parquet(f"{small}/lineitem.parquet").count()
+
+
+def test_only_reads_near_a_window_get_their_bases(spark):
+    """The reads of a run are few, equal to those of the whole table, and give the same pairs."""
+    from methylspark.operators import reads
+    from methylspark.plans import catalog
+    small = "/root/testdata/sf0.001"
+    run, every = catalog.run_of(spark, small), catalog.alignments_of(spark, small)
+    assert 0 < run.alignments.count() < 0.6 * every.count()
+    assert run.alignments.exceptAll(every).count() == 0
+    whole = reads.overlapping_reads(every, run.live_regions, catalog.PARAMS)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, run.overlaps.collect()))
+
+
+def test_windows_bring_their_sites(spark):
+    """Cells on sites equal those of a join call by call; sites at bin borders and windows without any."""
+    aln = _alignments(spark, 60, 3)
+    windows = spark.createDataFrame(
+        [(g, f"chr{g % 3}", s, s + w) for g, (s, w) in enumerate(zip(range(1, 260, 4), [1, 2, 30, 300] * 17))],
+        "region_id INT, chrom STRING, win_start INT, win_end INT")
+    reads = windows.join(aln.select("read_key", "chrom"), "chrom").selectExpr(
+        "region_id", "cast(read_key + 7 as int) read_id", "read_key", "win_start", "win_end")
+    found = calls.calls_in_own_windows(aln, reads)
+    sites = spark.range(600).filter("id % 3 > 0 or id = 255").selectExpr(
+        "concat('chr', id % 2) chrom", "cast(id as int) pos")
+    for some in (sites, sites.limit(0)):
+        want = matrix.own_window_cells(found, some).collect()
+        assert sorted(map(tuple, matrix.cells_on_sites(found, windows, some).collect())) == sorted(map(tuple, want))
+        assert (len(want) > 300) == (some is sites)
