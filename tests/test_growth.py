@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from methylspark.functions import placement
 from methylspark.operators import calls, matrix
 from methylspark.params import Params
@@ -110,3 +112,21 @@ def test_windows_bring_their_sites(spark):
         want = matrix.own_window_cells(found, some).collect()
         assert sorted(map(tuple, matrix.cells_on_sites(found, windows, some).collect())) == sorted(map(tuple, want))
         assert (len(want) > 300) == (some is sites)
+
+
+def test_gates_are_decided_per_site(spark):
+    """The gated matrix equals that of gates applied cell by cell, with fewer shuffles."""
+    rows = [(g, i, 100 * g + i, f"chr{g % 2}", s, (37 * i + 11 * s) % 256)
+            for g in range(4) for i in range(9) for s in range(5, 40) if (s * (i + 1) + g) % 3]
+    cells = spark.createDataFrame(
+        rows, "region_id INT, read_id INT, read_key LONG, chrom STRING, pos INT, ml SMALLINT")
+    flags = cells.select("chrom", "pos", (F.col("pos") % 4 == 0).alias("in_pmd")).distinct()
+    params = Params(min_site_coverage=7)
+    whole = matrix.binarize(matrix.region_matrix(cells), params)
+    for some in (flags, None):
+        want = matrix.gate_coverage(whole if some is None else matrix.gate_pmd(whole, some), params)
+        got = matrix.gated_matrix(cells, params, some)
+        assert got.columns == want.columns and 0 < want.count() < len(rows)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in (got, want)]
+        assert joins[0] < joins[1]
