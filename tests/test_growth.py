@@ -130,3 +130,28 @@ def test_gates_are_decided_per_site(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in (got, want)]
         assert joins[0] < joins[1]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reads_are_dealt_out_once(spark):
+    """Reads meet their contig, its length, tiles and windows in one join; the table is as before."""
+    from methylspark.operators import reads
+    from methylspark.plans import catalog, star
+    small = "/root/testdata/sf0.001"
+    contigs = catalog.contigs_of(spark, small)
+    assert _plan(star.alignments(spark, small, contigs)).count("Join ") == 1
+    run = catalog.run_of(spark, small)
+    near = star.alignments(spark, small, contigs, reads.well_mapped(catalog.PARAMS), run.regions)
+    assert _plan(near).count("Join ") == 2 and "arrays_overlap" not in _plan(near)
+
+
+def test_variants_are_placed_once(spark):
+    """Numbering and filters read written records; no text is searched again."""
+    from methylspark.plans import catalog, star
+    small = "/root/testdata/sf0.001"
+    found = star.snvs(spark, small, catalog.records_of(spark, small))
+    assert "instr" not in _plan(found) and "instr" in _plan(star.snvs(spark, small))
+    assert sorted(map(str, found.collect())) == sorted(map(str, star.snvs(spark, small).collect()))
