@@ -155,3 +155,27 @@ def test_variants_are_placed_once(spark):
     found = star.snvs(spark, small, catalog.records_of(spark, small))
     assert "instr" not in _plan(found) and "instr" in _plan(star.snvs(spark, small))
     assert sorted(map(str, found.collect())) == sorted(map(str, star.snvs(spark, small).collect()))
+
+
+def test_cells_stay_packed_until_they_are_numbered(spark):
+    """Matrix, wide matrix and reference columns from packed cells equal those from cells as rows, and a
+    run writes one row per read and window."""
+    from methylspark.plans import catalog
+    run = catalog.run_of(spark, "/root/testdata/sf0.001")
+    cells, packed = run.cells.cache(), run.packed
+    assert 0 < packed.count() == cells.select("region_id", "read_id").distinct().count() < cells.count()
+    assert packed.select("region_id", "read_id").distinct().count() == packed.count()
+    rows = matrix.region_matrix(cells)
+
+    def same(got, want):
+        assert got.columns == want.columns and want.count() > 100
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+    same(matrix.numbered_matrix(packed, run.counts), rows)
+    same(run.gated, matrix.gated_matrix(cells, run.params, run.flags))
+    same(matrix.packed_matrix_wide(run.reads, packed, run.counts), matrix.region_matrix_wide(run.reads, rows))
+    same(matrix.matrix_ref_columns(None, run.live_regions, run.sites, run.counts),
+         matrix.matrix_ref_columns(cells, run.live_regions, run.sites))
+    assert _plan(run.matrix).count("Join ") == 1 and "explode" not in _plan(run.matrix)
+    assert matrix.numbered_matrix(packed, run.counts.limit(0)).count() == 0
+    cells.unpersist()
