@@ -174,8 +174,40 @@ def test_cells_stay_packed_until_they_are_numbered(spark):
     same(matrix.numbered_matrix(packed, run.counts), rows)
     same(run.gated, matrix.gated_matrix(cells, run.params, run.flags))
     same(matrix.packed_matrix_wide(run.reads, packed, run.counts), matrix.region_matrix_wide(run.reads, rows))
-    same(matrix.matrix_ref_columns(None, run.live_regions, run.sites, run.counts),
+    same(matrix.ref_columns(run.window_sites, run.counts),
          matrix.matrix_ref_columns(cells, run.live_regions, run.sites))
     assert _plan(run.matrix).count("Join ") == 1 and "explode" not in _plan(run.matrix)
     assert matrix.numbered_matrix(packed, run.counts.limit(0)).count() == 0
     cells.unpersist()
+
+
+def test_sites_are_found_as_arrays(spark, monkeypatch):
+    """Sites per bin and window equal those of a row for every site, also where all tiles are searched,
+    and reference columns need one join."""
+    from methylspark.operators import intervals
+    from methylspark.sources import reference
+    rng = random.Random(3)
+    contigs = spark.createDataFrame(
+        [(f"chr{k}", "".join(rng.choice("ACGcgN") for _ in range(n))) for k, n in enumerate((9000, 700, 1, 512))],
+        "chrom STRING, seq STRING")
+    windows = spark.createDataFrame([(g, f"chr{g % 5 if s < 700 else 0}", s, s + w) for g, (s, w) in enumerate(
+        zip([1, 250, 4000, 4095, 8900, 255, 256, 257], [600, 6, 400, 2, 300, 1, 2, 300]))],
+        "region_id INT, chrom STRING, win_start INT, win_end INT")
+    tiles = reference.tile_reference(contigs)
+    sites = reference.reference_cpg_sites(tiles).collect()
+    want = {}
+    for w in windows.collect():
+        inside = sorted(s.pos for s in sites if s.chrom == w.chrom and w.win_start < s.pos < w.win_end)
+        want |= {w.region_id: inside} if inside else {}
+    found = 0
+    for most in (intervals.BROADCAST_ROWS, 2):
+        monkeypatch.setattr(intervals.fits_broadcast, "__defaults__", (most,))
+        near = reference.tiles_near_regions(tiles, windows)
+        assert (near.count() == tiles.count()) == (most == 2)
+        bins = reference.cpg_site_bins(near, matrix.SITE_BIN_BP)
+        got = matrix.window_sites(windows, bins)
+        assert {r.region_id: r.sites for r in got.collect()} == want and len(want) >= 4
+        found += bins.count()
+    assert 0 < found < len(sites)
+    counts = spark.createDataFrame([(0, 5, 2)], "region_id INT, pos INT, n LONG")
+    assert _plan(matrix.ref_columns(got, counts)).count("Join ") <= 3
