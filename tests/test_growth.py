@@ -211,3 +211,15 @@ def test_sites_are_found_as_arrays(spark, monkeypatch):
     assert 0 < found < len(sites)
     counts = spark.createDataFrame([(0, 5, 2)], "region_id INT, pos INT, n LONG")
     assert _plan(matrix.ref_columns(got, counts)).count("Join ") <= 3
+
+
+def test_bases_go_once_through_the_interval_join(spark, monkeypatch):
+    """Beyond a broadcast reads meet their windows in one join, with the same pairs."""
+    from methylspark.operators import intervals, reads
+    from methylspark.plans import catalog
+    run = catalog.run_of(spark, "/root/testdata/sf0.001")
+    want = sorted(map(str, run.overlaps.collect()))
+    monkeypatch.setattr(intervals.fits_broadcast, "__defaults__", (3,))
+    found = reads.overlapping_reads(run.alignments, run.live_regions, catalog.PARAMS)
+    assert _plan(found).count("Join ") == 1
+    assert sorted(map(str, found.collect())) == want and len(want) > 100
