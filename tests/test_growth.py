@@ -223,3 +223,52 @@ def test_bases_go_once_through_the_interval_join(spark, monkeypatch):
     found = reads.overlapping_reads(run.alignments, run.live_regions, catalog.PARAMS)
     assert _plan(found).count("Join ") == 1
     assert sorted(map(str, found.collect())) == want and len(want) > 100
+
+
+def _rows_of(outputs):
+    """Rows of the outputs of a kernel, in order of their text."""
+    import pyarrow as pa
+    return sorted(str(row) for out in outputs for row in pa.table(
+        {k: pa.array(v) for k, v in out.items()}).to_pylist())
+
+
+def test_small_regions_are_merged_together():
+    """Trees of 300 regions come in a few steps, and are those of one region at a time."""
+    import numpy as np
+
+    from methylspark.operators import cluster
+    rng = np.random.default_rng(4)
+    parts, bounds = [], [0]
+    for region in range(300):
+        n = int(rng.integers(1, 12)) if region else cluster.BATCH_READS + 3
+        names = np.sort(rng.choice(100, n, replace=False))
+        i, j = (names[k] for k in np.triu_indices(n, 1))
+        known = rng.random(len(i)) < 0.7
+        unit = np.floor(rng.choice([0, 0.25, 1 / 3, 0.5, 1.0], known.sum()) * cluster.UNITS + 0.5)
+        parts.append((np.full(n + known.sum(), 2 * region), np.append(names, i[known]),
+                      np.append(names, j[known]), np.append(np.zeros(n), unit).astype(np.int64)))
+        bounds.append(bounds[-1] + len(parts[-1][0]))
+    rows = dict(zip(("region_id", "read_i", "read_j", "unit"), map(np.concatenate, zip(*parts))))
+    for method in cluster.METHODS:
+        for tree in (False, True):
+            one = cluster._cluster_kernel(method, tree)
+            want = [one({k: v[lo:hi] for k, v in rows.items()}) for lo, hi in zip(bounds, bounds[1:])]
+            got = list(cluster._batch_kernel(method, tree)(rows, np.array(bounds)))
+            assert len(got) <= 12 and _rows_of(got) == _rows_of(want)
+
+
+def test_batches_are_gathered(spark):
+    """A kernel gets whole groups, and with ``hold`` those of several batches at once."""
+    from methylspark.functions.grouping import apply_to_runs
+
+    def sizes(rows, bounds):
+        import numpy as np
+        yield {"groups": np.array([len(bounds) - 1]), "rows": np.array([bounds[-1]])}
+
+    df = spark.range(40_000).selectExpr("cast(id div 70 as int) g", "id")
+    found = {}
+    for hold in (0, 1 << 20):
+        got = apply_to_runs(df, ["g"], sizes, "groups LONG, rows LONG", together=True, hold=hold).collect()
+        assert sum(r.groups for r in got) == 572 and sum(r.rows for r in got) == 40_000
+        found[hold] = len(got)
+    assert found[1 << 20] <= 4
