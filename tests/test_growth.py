@@ -272,3 +272,66 @@ def test_batches_are_gathered(spark):
         assert sum(r.groups for r in got) == 572 and sum(r.rows for r in got) == 40_000
         found[hold] = len(got)
     assert found[1 << 20] <= 4
+
+
+def test_small_groups_are_compared_together(monkeypatch):
+    """Distances of 200 groups come in a few steps, and are those of one group at a time."""
+    import numpy as np
+
+    from methylspark.operators import distance
+    rng = np.random.default_rng(6)
+    rows, bounds, sites, levels, counts = [], [0], [], [], []
+    for g in range(200):
+        two = g % 3 == 0
+        for read in range(int(rng.integers(1, 9)) if g else 60):
+            mine = rng.choice(150 if g == 1 else 12, int(rng.integers(0, 12)), replace=False)
+            rows.append((g, 0, int(two), read if not two else read * 5, int(two and read * 5 >= 20)))
+            sites.append(mine)
+            levels.append(rng.choice([0, 10, 51, 204, 255], len(mine)).astype(float))
+            counts.append(len(mine))
+        bounds.append(len(rows))
+    names = ("region_id", "block_i", "block_j", "read_id", "block")
+    data = dict(zip(names, np.array(rows).T))
+    flat = np.concatenate(sites)
+    weights = np.where(flat % 3 == 0, 1.0, 4.0)
+    upto = np.append(0, np.cumsum(counts))
+
+    def group(lo, hi):
+        part = slice(upto[lo], upto[hi])
+        return {k: v[lo:hi] for k, v in data.items()} | {
+            k: (v[part], np.array(counts[lo:hi])) for k, v in cells.items()}
+
+    for metric in ("l1", "l2", "corr", "nhd_weighted"):
+        value = np.concatenate(levels)
+        cells = {"sites": flat, "weights": weights,
+                 "levels": (value > 100).astype(float) if metric == "nhd_weighted" else value}
+        for every in (True, False):
+            one = distance._block_kernel(metric, every)
+            want = _rows_of(one(group(lo, hi)) for lo, hi in zip(bounds, bounds[1:]))
+            for places in (1 << 14, 100):
+                monkeypatch.setattr(distance, "GROUP_CELLS", places)
+                got = list(distance._cell_kernel(metric, every)(group(0, len(rows)), np.array(bounds)))
+                assert _rows_of(got) == want and len(want) > 1000
+                assert places == 100 or len(got) <= 5
+
+
+def test_missing_pairs_arise_in_blocks(spark):
+    """Only reads and known pairs are joined and shuffled; the result is that of a join with all pairs."""
+    from methylspark.operators import distance
+    reads = spark.range(60).selectExpr("cast(id div 20 as int) region_id", "cast(id % 20 as int) read_id")
+    reads = reads.filter("region_id < 2 or read_id < 1")
+    known = distance.all_pairs(reads).filter("(read_i * 7 + read_j) % 3 = 0").selectExpr(
+        "*", "cast((read_i + read_j) % 6 as int) n_common", "read_j / 40 dist")
+    known = spark.createDataFrame(known.collect(), known.schema)
+    stray = known.selectExpr("region_id", "read_i", "read_j + 100 read_j", "n_common", "dist")
+    for params in (Params(), Params(missing_pairs="skip")):
+        filler = 1.0 if params.missing_pairs == "max_dist" else None
+        want = distance.all_pairs(reads).join(
+            known.filter("n_common >= 3"), ["region_id", "read_i", "read_j"], "left").select(
+            "region_id", "read_i", "read_j", F.coalesce("n_common", F.lit(0)).alias("n_common"),
+            F.coalesce("dist", F.lit(filler).cast("double")).alias("dist"))
+        want = sorted(map(str, want.collect()))
+        for block in (256, 6):
+            got = distance.fill_missing_pairs(reads, known.union(stray), params, block)
+            assert sorted(map(str, got.collect())) == want and len(want) == 380
+            assert _plan(got).count("Join ") == 1
