@@ -335,3 +335,27 @@ def test_missing_pairs_arise_in_blocks(spark):
             got = distance.fill_missing_pairs(reads, known.union(stray), params, block)
             assert sorted(map(str, got.collect())) == want and len(want) == 380
             assert _plan(got).count("Join ") == 1
+
+
+def test_distances_come_from_lists(spark):
+    """Distances from cells as lists equal those from cells as rows, and a run writes no row per cell."""
+    from methylspark.operators import distance
+    from methylspark.plans import catalog
+    run = catalog.run_of(spark, "/root/testdata/sf0.001")
+    reads, gated, lists = run.reads.cache(), run.gated.cache(), run.gated_lists.cache()
+    assert 0 < lists.count() == gated.select("region_id", "read_id").distinct().count() < gated.count()
+    for metric, every, block in (("nhd", True, 3), ("jaccard", False, 256), ("l1", True, 256),
+                                 ("l2", False, 3), ("corr", True, 3)):
+        want = distance.pair_distances(reads, gated, metric, block, every)
+        got = distance.list_distances(reads, lists, metric, run.params, block, every)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert want.count() > 100 and _plan(got).count("Join ") <= 2
+    assert distance.list_distances(reads, lists.limit(0), "nhd", every=False).count() == 0
+    wide = spark.createDataFrame(
+        [(1, r, [0, 63, 64, 200], [255, 0, v, 255]) for r, v in enumerate((0, 255, 128))],
+        "region_id INT, read_id INT, cpg_id ARRAY<INT>, ml ARRAY<SMALLINT>")
+    got = {(r.read_i, r.read_j): (r.n_common, r.dist) for r in distance.list_distances(
+        wide.select("region_id", "read_id"), wide, "nhd", run.params).collect()}
+    assert got == {(0, 1): (4, 0.25), (0, 2): (3, 0.0), (1, 2): (3, 0.0)}
+    for df in (reads, gated, lists):
+        df.unpersist()
