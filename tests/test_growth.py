@@ -359,3 +359,16 @@ def test_distances_come_from_lists(spark):
     assert got == {(0, 1): (4, 0.25), (0, 2): (3, 0.0), (1, 2): (3, 0.0)}
     for df in (reads, gated, lists):
         df.unpersist()
+
+
+def test_only_covered_sites_are_looked_up_in_the_annotation(spark, monkeypatch):
+    """Sites below the coverage gate are dropped before the sweep over the annotation."""
+    from methylspark.plans import catalog, region_run
+    run = catalog.run_of(spark, "/root/testdata/sf0.001")
+    want = sorted(map(str, matrix.gated_counts(run.counts, run.params, run.flags).collect()))
+    asked, whole = [], region_run.classes_at
+    monkeypatch.setattr(region_run, "classes_at", lambda sites, spans: asked.append(sites) or whole(sites, spans))
+    again = region_run.RegionRun(run.snvs, run.alignments, run.contigs, run.params, run.annotation,
+                                 store=run.store)
+    assert sorted(map(str, again._gated_counts.collect())) == want and want
+    assert [sites.filter(f"n < {run.params.min_site_coverage}").count() for sites in asked] == [0]
