@@ -85,6 +85,28 @@ def test_alignment_text_is_packed_and_dealt_out(spark):
     assert rows == spark.read.parquet(f"{small}/lineitem.parquet").count()
 
 
+def test_alignment_text_is_made_behind_the_shuffle(spark, monkeypatch, write):
+    """Reads are dealt out as bases and numbers, in order, without a run or a table of all reads; lines
+    are numbered without a shuffle of theirs."""
+    from methylspark.plans import catalog, star
+    from methylspark.sources import variants
+    small = "/root/testdata/sf0.001"
+    every = catalog.alignments_of(spark, small)
+    for needless in ("run_of", "alignments_of"):
+        monkeypatch.delattr(catalog, needless)
+    parsed = catalog.QUERIES["load_alignments"](spark, small).collect()
+    found = star.alignments_by_key(spark, small)
+    moved = _plan(found).split("RepartitionByExpression")[0].splitlines()[-2:]
+    assert all(x not in "".join(moved) for x in ("III", "C+m", "qname"))
+    keys = [r.read_key for r in found.select("read_key").collect()]
+    assert keys == sorted(keys) and len(keys) == len(parsed) == every.count()
+    assert found.columns == every.columns and found.exceptAll(every).count() == 0
+    in_order = {r.qname: n for n, r in enumerate(every.select("qname").orderBy("read_key").collect())}
+    assert {r.qname: r.read_key for r in parsed} == in_order
+    lines = variants.read_lines(spark, write("a.txt", "b\na\n"))
+    assert "strategy=broadcast" in _plan(lines) and sorted(lines.collect(), key=lambda r: r.ord)[0].value == "b"
+
+
 def test_only_reads_near_a_window_get_their_bases(spark):
     """The reads of a run are few, equal to those of the whole table, and give the same pairs."""
     from methylspark.operators import reads
