@@ -12,9 +12,10 @@ regression turns them into the score.
 Counts come from labelled rows with crc32(doc_id) mod 5 in 1..3; the regression is fitted on at most
 ``MAX_FIT`` rows with remainder 4; remainder 0 is held out. Counts are kept by exact n-gram in tables
 that grow with the corpus. A byte's evidence depends only on the n-gram that ends there, so it is
-computed once for every distinct n-gram of the corpus, by joins. Up to ``SMALL`` n-grams are
-broadcast with their evidence; beyond that words meet it in joins too, with the same result:
-evidence is kept in whole ``UNIT`` parts, whose sums do not depend on their order.
+computed once for every distinct n-gram of the corpus, by joins. N-grams are sent to every task with
+their evidence, in slices of about ``SMALL`` of which a task holds one at a time: texts are neither
+moved nor taken apart into rows. Beyond ``SLICES`` such slices words meet it in joins too, with the
+same result: evidence is kept in whole ``UNIT`` parts, whose sums do not depend on their order.
 
 Null, empty and blank texts have no evidence and get the score of zero features. Rows repeat their
 score. Labels that are null, or other than 0 and 1, are ignored; a doc_id with several labels counts
@@ -25,19 +26,23 @@ where there are none). Empty tables give empty results. Other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from methylspark.llm.shingles import _LOWER, _SPACE, word_hashes
 from methylspark.llm.tables import SMALL, Written, maybe_small
 
 ORDER, DISCOUNT, FLOOR, MAX_FIT, UNIT = 5, 0.75, 2.0, 20_000, 1 << 24
-#: Bytes of texts looked at in one go.
-STRETCH = 1_000_000
+#: Bytes of texts looked at in one go, and how many such stretches meet a slice each time it is loaded.
+STRETCH, HOLD = 1_000_000, 4
+#: Slices of a table that are sent to every task: about 1 GB on an executor's disk, 16 MB in a task.
+SLICES = 64
 
 
 def distinct_words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,34 +166,77 @@ def evidence(counted: DataFrame, keep: Written) -> DataFrame:
         "evidence"))
 
 
-class Model:
-    """Evidence of a bounded number of n-grams, and the features of texts by it."""
+class Sliced:
+    """A table of distinct numbers and a value of each, on every executor's disk in slices of about
+    ``SMALL`` rows; the driver and a task hold one slice at a time."""
+
+    def __init__(self, table: DataFrame, rows: int) -> None:
+        key, value = table.columns
+        cuts = max(1, -(-rows // SMALL))
+        inner = table.agg(F.percentile_approx(
+            key, [k / cuts for k in range(1, cuts)], 100 * cuts)).first()[0] if cuts > 1 else []
+        self.slices = []
+        for low, high in zip([None, *inner], [*inner, None], strict=True):
+            part = table
+            part = part if low is None else part.filter(F.col(key) > low)
+            told = (part if high is None else part.filter(F.col(key) <= high)).toArrow()
+            keys, values = (told.column(k).to_numpy() for k in (key, value))
+            order = np.argsort(keys)
+            self.slices.append(table.sparkSession.sparkContext.broadcast((keys[order], values[order])))
+
+    def look_up(self, wanted: np.ndarray, default: int) -> np.ndarray:
+        """The values of sorted numbers, ``default`` for those that are not in the table."""
+        out = np.full(len(wanted), default, np.int64)
+        for shared in self.slices:
+            # A worker would keep what it reads by ``value``, so with several slices this reads the file.
+            one = len(self.slices) == 1 or not shared._path
+            keys, values = shared.value if one else shared.load_from_path(shared._path)
+            if len(keys):
+                part = slice(*np.searchsorted(wanted, [keys[0], keys[-1] + 1]))
+                at = np.minimum(np.searchsorted(keys, wanted[part]), len(keys) - 1)
+                out[part] = np.where(keys[at] == wanted[part], values[at], default)
+        return out
+
 
-    def __init__(self, gram: np.ndarray, value: np.ndarray) -> None:
-        order = np.argsort(gram)
-        self.gram, self.value = gram[order], value[order]
+class Stretch:
+    """Some texts as words and n-grams, and their features once the n-grams have evidence."""
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
-        """Mean evidence per byte, and mean evidence above the floor per word, of each text."""
+    def __init__(self, texts: list[bytes]) -> None:
         raw = b"\n".join(texts)
+        self.n = len(texts)
         which, places, start, end = distinct_words(raw)
-        out = np.zeros((len(texts), 2))
-        if not len(which):
-            return out
-        word, codes = grams(raw, start, end)
-        of_word = np.bincount(word, self.value[np.searchsorted(self.gram, codes)],
-                              minlength=len(start))
-        size = (end - start + 1)[which]
         text = np.searchsorted(np.cumsum([len(s) + 1 for s in texts]), places, "right")
-        n = len(texts)
-        chars = np.bincount(text, size, minlength=n) * UNIT
-        out[:, 0] = np.bincount(text, of_word[which], minlength=n) / np.maximum(chars, 1)
-        words = np.bincount(text, minlength=n) * UNIT
-        above = np.maximum(of_word - FLOOR * UNIT, 0)[which]
-        out[:, 1] = np.bincount(text, above, minlength=n) / np.maximum(words, 1)
+        self.size = end - start + 1
+        word, codes = grams(raw, start, end)
+        self.codes, inverse = np.unique(codes, return_inverse=True)
+        # Several stretches are held at once, so places are kept in half the bytes.
+        self.which, self.text, self.word, self.inverse = (
+            x.astype(np.int32) for x in (which, text, word, inverse))
+
+    def features(self, value: np.ndarray) -> np.ndarray:
+        """Mean evidence per byte, and mean evidence above the floor per word, of each text; ``value``
+        is the evidence of ``codes``."""
+        out = np.zeros((self.n, 2))
+        if not len(self.which):
+            return out
+        of_word = np.bincount(self.word, value[self.inverse], minlength=len(self.size))
+        chars = np.bincount(self.text, self.size[self.which], minlength=self.n) * UNIT
+        out[:, 0] = np.bincount(self.text, of_word[self.which], minlength=self.n) / np.maximum(chars, 1)
+        words = np.bincount(self.text, minlength=self.n) * UNIT
+        above = np.maximum(of_word - FLOOR * UNIT, 0)[self.which]
+        out[:, 1] = np.bincount(self.text, above, minlength=self.n) / np.maximum(words, 1)
         return out
 
 
+def _features(stretches: Iterator[tuple[int, list[bytes]]], model: Sliced) -> Iterator[np.ndarray]:
+    """Features of all texts, ``HOLD`` stretches at a time."""
+    while held := [Stretch(some) for _, some in islice(stretches, HOLD)]:
+        codes = np.unique(np.concatenate([s.codes for s in held]))
+        value = model.look_up(codes, 0)
+        for s in held:
+            yield s.features(value[np.searchsorted(codes, s.codes)])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a slightly ridged logistic regression by Newton's method; the last is constant."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -209,12 +257,11 @@ def _spread(x: np.ndarray) -> np.ndarray:
                             np.log1p(200 * x[:, 1]) ** 2 / 10])
 
 
-def _scored(rows: DataFrame, model, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the two features of every row by a broadcast model."""
+def _scored(rows: DataFrame, model: Sliced, keep: list[str]) -> DataFrame:
+    """``keep`` columns and the two features of every row by a model in slices."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.value.features(some)
-                     for _, some in _stretches(batch.column(len(keep)))]
+            found = list(_features(_stretches(batch.column(len(keep))), model))
             x = np.concatenate(found) if found else np.zeros((0, 2))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(x[:, 0]), pa.array(x[:, 1])], [*keep, "f0", "f1"])
@@ -276,21 +323,36 @@ def remainder(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def _labelled(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` with ``toxic`` of ``known(label_id, toxic)``; null for the others. Texts are not moved while
+    the labels fit into slices."""
+    n = known.count()
+    numbers = {docs.schema["doc_id"].dataType, known.schema["label_id"].dataType} == {LongType()}
+    if not numbers or not SMALL < n <= SLICES * SMALL:
+        return docs.join(maybe_small(known), F.col("doc_id") == F.col("label_id"), "left")
+    labels = Sliced(known.filter("label_id is not null"), n)
+
+    @F.arrow_udf("int")
+    def label(ids: pa.Array) -> pa.Array:
+        asked, back = np.unique(ids.fill_null(0).to_numpy(), return_inverse=True)
+        found = labels.look_up(asked, -1)[back]
+        return pa.array(found.astype(np.int32), mask=(found < 0) | ids.is_null().to_numpy(zero_copy_only=False))
+
+    return docs.withColumn("toxic", label("doc_id"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``."""
     spark = docs.sparkSession
     keep = Written(spark)
     known = keep(labels.filter(F.col("toxic").isin(0, 1) & (remainder("doc_id") != 0)).groupBy(
         F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic")))
-    labelled = docs.select("doc_id", "text").join(
-        maybe_small(known), F.col("doc_id") == F.col("label_id"), "left")
+    labelled = _labelled(docs.select("doc_id", "text"), known)
     counted = keep(count_grams(labelled.select("text", F.when(
         remainder("doc_id") < 4, F.col("toxic")).alias("toxic"))))
     table = keep(evidence(counted, keep))
-    model = None
-    if table.count() <= SMALL:
-        told = table.toArrow()
-        model = spark.sparkContext.broadcast(Model(*(told.column(k).to_numpy() for k in (0, 1))))
+    n_grams = table.count()
+    model = Sliced(table, n_grams) if n_grams <= SLICES * SMALL else None
 
     def scored(rows: DataFrame, columns: list[str]) -> DataFrame:
         return _scored(rows, model, columns) if model else _joined(rows, table, columns, keep)

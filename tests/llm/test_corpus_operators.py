@@ -324,6 +324,31 @@ def test_toxicity_beyond_a_broadcast(spark, monkeypatch):
     assert [r.score for r in small] == pytest.approx([r.score for r in large], abs=1e-12)
 
 
+def test_toxicity_in_slices_moves_no_text(spark, monkeypatch):
+    """With more n-grams and labels than one slice holds, scores are the same and no words are rows."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(300)]
+    rows = [(2**60 + 999 * k, " ".join(rng.choice(words + ["vorkle"] * 90 * (k % 4 == 0)) for _ in range(k % 40)))
+            for k in range(400)]
+    rows += [(2**60 + 1, None), (2**60 + 2, ""), (2**60 + 3, "x"), (None, "vorkle")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(2**60 + 999 * k, int(k % 4 == 0)) for k in range(350)] + [(None, 1)],
+                                   "doc_id long, toxic int")
+    want = sorted(toxicity.toxicity(docs, labels).collect(), key=str)
+    monkeypatch.setattr(toxicity, "SMALL", 70)
+    monkeypatch.setattr(toxicity, "STRETCH", 500)
+    made, whole = [], toxicity.Sliced
+    monkeypatch.setattr(toxicity, "Sliced", lambda *a: made.append(whole(*a)) or made[-1])
+    monkeypatch.setattr(toxicity, "_joined", None)
+    monkeypatch.setattr(toxicity, "maybe_small", lambda df: df)
+    got = toxicity.toxicity(docs, labels)
+    assert sorted(got.collect(), key=str) == want and len({r.score for r in want}) > 50
+    sizes = [[len(s.value[0]) for s in m.slices] for m in made]
+    assert len(sizes) == 2 and all(len(x) >= 4 and max(x) <= 80 for x in sizes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "minhash_near_dedup", "secret_scan", "mixture", "sentencepiece"]
