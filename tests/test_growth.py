@@ -85,6 +85,68 @@ def test_alignment_text_is_packed_and_dealt_out(spark):
     assert rows == spark.read.parquet(f"{small}/lineitem.parquet").count()
 
 
+def test_calls_are_packed_for_the_shuffle(spark):
+    """Calls go to their sites as four bytes each, whatever the probability; reads are not taken apart
+    by expressions that filters would repeat, and sites are looked up without a sort."""
+    aln = _alignments(spark, 60, 3).withColumn("ml", F.expr(
+        "transform(ml, (v, i) -> cast(v + 100 * i - 300 as smallint))"))
+    sites = spark.range(400).filter("id % 3 > 0").selectExpr(
+        "concat('chr', id % 2) chrom", "cast(id as int) pos")
+    want = calls.validate_cpg(calls.project_calls(calls.modified_bases(aln)), sites).collect()
+    got = calls.methylation_calls(aln, sites.union(sites))
+    assert sorted((*r,)[:4] for r in got.collect()) == sorted(map(tuple, want))
+    values = {r.ml for r in want}
+    assert min(values) < 0 and max(values) > 255
+    assert "regexp" not in _plan(got) and "strategy=shuffle_hash" in _plan(got)
+    batches = calls._decodable(aln, Params()).toArrow().to_batches()
+    single = calls.project_calls(calls.modified_bases(aln)).count()
+    packed = [x for b in placement.place_in_bins(512)(batches) for x in b.column("calls").to_pylist()]
+    assert sum(map(len, packed)) == 4 * single
+
+
+def test_tags_and_cigars_as_text(spark):
+    """Odd tags and CIGARs: sections without deltas, long and empty numbers, too few probabilities."""
+    def read(mm, ml, cigar="20M", seq="C" * 20):
+        return (len(rows), "chr1", 10, cigar, seq, mm, ml)
+
+    rows = []
+    for mm, ml in [("C+m?,1,2,0;", [1, 2, 3]), ("C+h?,0,3;C+m?,0;", [7, 8, 9]), ("C+m?;", [1]), ("C+m?,;", [1]),
+                   ("C+m?,12,0,,1", [4, 5, 6, 7]), ("C+m?,0,0;", [1]), ("C+m?x,1;", [1]), ("C+m?,1,x2;", [5, 6]),
+                   ("C+m?", [1]), ("", []), (None, [1]), ("C+m?,1;", None), ("C+m?,007;", [3])]:
+        rows.append(read(mm, ml))
+    for cigar in ("5S10M5I", "10M7D10M", "*", None, "5H9=1X10=", "12"):
+        rows.append(read("C+m?,0,8,1;", [1, 2, 3], cigar))
+    rows.append(read("C+m?,0;", [1], "3M"))
+    df = spark.createDataFrame(rows, "read_key LONG, chrom STRING, align_start INT, cigar STRING, seq STRING, "
+                               "mm STRING, ml ARRAY<SMALLINT>").coalesce(1)
+    got = {}
+    for r in calls.modified_bases(df).collect():
+        got.setdefault(r.read_key, []).append((r.seq_idx, r.pos, r.ml))
+    at = lambda *x: [(i, None if p is None else p + 11, v) for i, p, v in x]
+    assert got == {
+        0: at((1, 1, 1), (4, 4, 2), (5, 5, 3)), 1: at((0, 0, 9)), 4: at((12, 12, 4), (13, 13, 5), (15, 15, 6)),
+        7: at((1, 1, 5)), 12: at((7, 7, 3)), 13: at((0, None, 1), (9, 4, 2), (11, 6, 3)),
+        14: at((0, 0, 1), (9, 9, 2), (11, 18, 3)), 15: at((0, None, 1), (9, None, 2), (11, None, 3)),
+        16: at((0, None, 1), (9, None, 2), (11, None, 3)), 17: at((0, 0, 1), (9, 9, 2), (11, 11, 3)),
+        18: at((0, None, 1), (9, None, 2), (11, None, 3)), 19: at((0, 0, 1))}
+
+
+def test_calls_of_all_reads_write_no_reads(spark, monkeypatch):
+    """Both queries give the rows of the written table of reads without it, and move each contig once."""
+    from methylspark.plans import catalog, star
+    small = "/root/testdata/sf0.001"
+    every = catalog.alignments_of(spark, small)
+    want = sorted(map(str, catalog._per_read(catalog._all_calls(spark, small, every), "pos").collect()))
+    for needless in ("run_of", "alignments_of", "contigs_of"):
+        monkeypatch.delattr(catalog, needless)
+    assert sorted(map(str, catalog.QUERIES["validate_cpg"](spark, small).collect())) == want and len(want) > 100
+    found = catalog.QUERIES["methylation_calls"](spark, small)
+    assert sum(r.n_calls for r in found.collect()) > 1000
+    assert "ReusedExchange [doc_id" in found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp" not in _plan(star.contigs(spark, small, usable=True)).split("RepartitionByExpression")[1]
+    assert "regexp" not in _plan(star.tiles(spark, small)).split("RepartitionByExpression")[1]
+
+
 def test_alignment_text_is_made_behind_the_shuffle(spark, monkeypatch, write):
     """Reads are dealt out as bases and numbers, in order, without a run or a table of all reads; lines
     are numbered without a shuffle of theirs."""
