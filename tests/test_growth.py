@@ -97,7 +97,7 @@ def test_calls_are_packed_for_the_shuffle(spark):
     assert sorted((*r,)[:4] for r in got.collect()) == sorted(map(tuple, want))
     values = {r.ml for r in want}
     assert min(values) < 0 and max(values) > 255
-    assert "regexp" not in _plan(got) and "strategy=shuffle_hash" in _plan(got)
+    assert not any(x in _plan(got) for x in ("regexp", "collect_set")) and "strategy=shuffle_hash" in _plan(got)
     batches = calls._decodable(aln, Params()).toArrow().to_batches()
     single = calls.project_calls(calls.modified_bases(aln)).count()
     packed = [x for b in placement.place_in_bins(512)(batches) for x in b.column("calls").to_pylist()]
@@ -147,6 +147,22 @@ def test_calls_of_all_reads_write_no_reads(spark, monkeypatch):
     assert "regexp" not in _plan(star.tiles(spark, small)).split("RepartitionByExpression")[1]
 
 
+def test_probabilities_are_made_for_a_batch_at_a_time(spark):
+    """ML values equal those written out one by one, and no expression goes over them."""
+    from methylspark.plans import star
+    rows = [(z, z // 7 % 2, z % 5 * (z % 11 > 0), z % 23) for z in range(0, 4194304, 7919)]
+    found = spark.createDataFrame(rows, "z LONG, hap INT, n_h INT, n_m INT").select(
+        "z", star._probabilities(*(F.col(c) for c in ("z", "hap", "n_h", "n_m"))).alias("ml"))
+    got = {r.z: r.ml for r in found.collect()}
+    for z, hap, n_h, n_m in rows:
+        want = [(z * 197 % 256 + i) * 13 % 256 for i in range(n_h)] + [
+            (i * 37 + z) % 256 if (i + z) % 6 == 0 else 255 - (i * i * 7 + z % 60) % 60 if hap
+            else (i + z // 11 % 5) % 5 * 11 + z % 11 for i in range(n_m)]
+        assert got[z] == (want[:-1] if z % 37 == 0 else want)
+    plan = _plan(star.alignments(spark, "/root/testdata/sf0.001").select("ml"))
+    assert "ArrowEvalPython" in plan and "smallint" not in plan
+
+
 def test_alignment_text_is_made_behind_the_shuffle(spark, monkeypatch, write):
     """Reads are dealt out as bases and numbers, in order, without a run or a table of all reads; lines
     are numbered without a shuffle of theirs."""
